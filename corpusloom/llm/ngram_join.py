@@ -31,14 +31,14 @@ from pyspark.taskcontext import TaskContext
 from corpusloom.llm import reduce
 from corpusloom.llm.bytetext import chained, column_bytes, mix, shingle_sets, slices
 from corpusloom.llm.graph import EDGES, Forest, components
-from corpusloom.llm.runtime import discard, materialize, partitions, ship
+from corpusloom.llm.runtime import discard, materialize, partitions, ship, trim
 
 SKETCH_BITS = 22
 BLOOM_BITS = 24
 FRAGMENTS = 8
 #: N-grams in a task: of a bucket of step 2, and of a block of step 3.
-BUCKET, BLOCK = 1_500_000, 1_500_000
-FLUSH = 1_500_000
+BUCKET, BLOCK = 500_000, 1_000_000
+FLUSH = 400_000
 _SEEDS = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
 SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, " + reduce.SCHEMA
 PREFIX = "bucket int, tokens binary, owners binary, ids binary, low binary, high binary"
@@ -76,6 +76,8 @@ def _signatures(n: int) -> Callable:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(cut), pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         rows = reduce.packed(sketch, TaskContext.get().partitionId())
         k = len(rows)
+        del sketch
+        trim()
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.array([r[i] for r in rows], schema.field(4 + i).type) for i in range(3)], schema=schema)
 
     return run
@@ -158,6 +160,8 @@ def _prefixes(n: int, percent: int, n_buckets: int, sketch) -> Callable:
                     ids, sizes, tokens, lengths, held = [], [], [], [], 0
         if ids:
             yield flush(ids, sizes, tokens, lengths)
+        ids = sizes = tokens = lengths = None
+        trim()
 
     return run
 
@@ -184,7 +188,10 @@ def _bucket_edges(percent: int) -> Callable:
         f = Forest()
         for u, v in set(zip(who[inner].tolist(), who[head_of[inner]].tolist(), strict=True)):
             f.join(u, v)
-        return pd.DataFrame(list(f.edges()), columns=["u", "v"], dtype="int64")
+        out = pd.DataFrame(list(f.edges()), columns=["u", "v"], dtype="int64")
+        del t, i, order, new, head_of, who, inner, f, tokens, ids, low, high
+        trim()
+        return out
 
     return run
 
@@ -290,6 +297,7 @@ def _resolve(percent: int, sketch) -> Callable:
         for _, g in pdf.groupby("component", sort=False):
             if len(g) > 1:
                 out += links(g["doc_id"].tolist(), [np.frombuffer(x, np.uint64) for x in g["grams"]], g["side"].tolist(), g["label"].tolist(), rank, percent)
+        trim()
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return run

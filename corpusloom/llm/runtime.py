@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +54,9 @@ def discard(spark: SparkSession, *paths: str) -> None:
 def ship(spark: SparkSession) -> None:
     """Makes this package importable by Python workers that were started without the repository on their path."""
     sc = spark.sparkContext
+    # Rows are whole texts: smaller Arrow batches bound what the JVM and a worker hold at once.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(":") or sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
@@ -62,3 +69,13 @@ def ship(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; workers are reused and would keep a task's peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
