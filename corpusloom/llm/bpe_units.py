@@ -55,18 +55,20 @@ def byte_alphabet() -> list[str]:
 class ByteBpe:
     """ids(text) as little-endian bytes of ``dtype``, equal to encode(text, add_special_tokens=False).ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = True) -> None:
+        """special: whether strings of added tokens in a text give their ids, as the library does by default."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = not special
         self.model = self.library.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             raise ValueError("a byte-level tokenizer without normalizer and prefix space is needed")
-        self.added = [t["content"] for t in spec.get("added_tokens", ())]
+        self.added = [t["content"] for t in spec.get("added_tokens", ()) if special]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         if sys.byteorder != "little":
             raise ValueError("ids are packed in the machine's order, which must be little-endian")

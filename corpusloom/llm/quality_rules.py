@@ -24,7 +24,7 @@ FEATURES = ("x1", "x2", "x3", "x4")
 #: Units of a fixed-point value in 1.
 SCALE = 1024
 #: Least standard deviations of log mean word length, and of log(1 + rate per thousand) of symbols, repeated lines and repeated words.
-FLOORS = (0.12, 0.8, 2.0, 2.0)
+FLOORS = (0.12, 0.9, 2.0, 2.0)
 MIN_GROUP = 20
 STEPS = 6
 BINS_PER_OCTAVE = 16

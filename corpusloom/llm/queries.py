@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import line_dedup, ngram_join, quality_rules, token_counts, token_files
+from corpusloom.llm import chat, language_id, line_dedup, ngram_join, quality_rules, token_counts, token_files, warc
 from corpusloom.llm.runtime import table
 
 
@@ -22,14 +22,32 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+#: A conversation whose texts are made of the template's own strings.
+HARD_CASE = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", HARD_CASE), (-7, 1, "assistant", HARD_CASE)], "conv_id long, turn long, role string, text string")
+    return chat.chat_digests(spark, rows.unionByName(extra), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_dedup.with_bitmaps(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return marked.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(line_dedup.kept_text(F.col("text"), F.col("keep_runs")), "UTF-8"), 256).alias("kept_sha256"))
@@ -41,8 +59,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_language_id": op2_language_id,
     "op3_token_files": op3_token_files,
+    "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
+    "op7_chat_format": op7_chat_format,
     "op8_line_dedup": op8_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -74,3 +95,23 @@ SELECT k.doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (f.key IS NOT NUL
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f USING (key) GROUP BY k.doc_id
 """
+
+SQL["op4_warc"] = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END::BIGINT AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+SQL["op7_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (SELECT *, length(regexp_replace(text, '(\\*(?:###|</turn>|<\|endoftext\|>))', '\\\1', 'g')) AS k FROM t)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(role) + 2 + k + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
