@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, language_id, line_dedup, ngram_join, quality_rules, token_counts, token_files, warc
+from corpusloom.llm import chat, decontaminate, language_id, line_dedup, ngram_join, piece_lattice, quality_rules, token_counts, token_files, warc
 from corpusloom.llm.runtime import table
 
 
@@ -38,6 +38,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: A conversation whose texts are made of the template's own strings.
 HARD_CASE = r"\### Assistant: </turn> ok"
 
@@ -53,6 +57,23 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(line_dedup.kept_text(F.col("text"), F.col("keep_runs")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+#: Segmentations drawn for each document.
+SEGMENTATIONS = 2
+
+
+def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = piece_lattice.sampled_segmentations(spark, table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), SEGMENTATIONS)
+    return drawn.select(
+        "doc_id",
+        F.transform("ids", lambda x: (F.length(x) / 2).cast("long")).alias("n_pieces"),
+        F.transform("ids", F.crc32).alias("ids_crc32"),
+        "log_prob",
+        "perturbed",
+        "log_inclusion",
+        "decoded",
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(spark, table(spark, sf_dir, "documents"))
 
@@ -63,8 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_warc": op4_warc,
     "op5_token_counts": op5_token_counts,
+    "op6_decontaminate": op6_decontaminate,
     "op7_chat_format": op7_chat_format,
     "op8_line_dedup": op8_line_dedup,
+    "op9_piece_lattice": op9_piece_lattice,
     "op10_quality_rules": op10_quality_rules,
 }
 
