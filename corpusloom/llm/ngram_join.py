@@ -2,15 +2,16 @@
 
 The distinct word n-grams of all documents get one global order, rare ones first; the order is cut into fragments, partial
 overlaps are counted fragment by fragment and summed per pair. Frequencies come from a counting sketch of fixed size over
-all documents; any function of the n-gram gives a valid order, so the sketch's errors cost time and never a link.
+the documents that can have a link; any function of the n-gram gives a valid order, so the sketch's errors cost time and never a link.
 
-1. One pass makes each document's n-gram count, a fingerprint of its set, and its share of the sketch.
-2. A second pass emits the fragment each link must meet in: the first ``n - ceil(t n) + 1`` n-grams of a document in the order.
-   Documents that share one there, and whose sizes allow a link, are chained into candidate groups. A task sends one entry for
-   each n-gram it has seen, so a common one costs a row per task.
-3. One document for each distinct set is kept per candidate group; its set is rebuilt and all pairs of the group are
-   resolved by summed partial overlaps. A group that is too large for a task is cut into blocks: first each block alone, then
-   pairs of blocks, in which only documents of different components are compared. Only links that join components leave a task.
+1. One pass cuts each document's n-grams by hash into fragments and sends each fragment's part to its bucket. Buckets find the n-grams of two
+   or more documents, and these partial counts, summed per document over the fragments, bound every overlap: a document of which less than
+   ``percent`` of the n-grams occur elsewhere has no link. Fragments travel as 32-bit hashes, whose rare collisions only raise the bound. A
+   task sends one entry for each n-gram it has seen, so a common one costs a row per task.
+2. For one document of each distinct set that is left, the first ``n - ceil(t n) + 1`` n-grams in the order are the fragment that each link must
+   meet in. Documents that share one there, and whose sizes allow a link, are chained into candidate groups.
+3. All pairs of a group are resolved by partial overlaps, counted fragment by fragment and summed. A group that is too large for a task is cut into blocks: first each
+   block alone, then pairs of blocks, in which only documents of different components are compared. Only links that join components leave a task.
 
 Contract: 100 * intersection >= percent * union links two documents. Null, empty and blank texts have no n-grams and link with
 nothing. A text of fewer than n words has one n-gram, its whole sequence. Rows that repeat a doc_id are
@@ -37,10 +38,14 @@ SKETCH_BITS = 22
 BLOOM_BITS = 24
 FRAGMENTS = 8
 #: N-grams in a task: of a bucket of step 2, and of a block of step 3.
-BUCKET, BLOCK = 500_000, 1_000_000
+BUCKET, BLOCK = 600_000, 1_000_000
 FLUSH = 400_000
 _SEEDS = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
-SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, " + reduce.SCHEMA
+#: Bytes of text for each n-gram, to choose the number of buckets; a wrong guess changes their size only.
+TEXT_PER_GRAM = 6
+MULTI = 0xFFFF
+FLUSH_DOCS = 60_000
+SPREAD = "part int, seq int, bucket int, tokens binary, owners binary, doc_id array<long>, n array<int>, fp1 array<long>, fp2 array<long>, local array<int>"
 PREFIX = "bucket int, tokens binary, owners binary, ids binary, low binary, high binary"
 
 
@@ -56,33 +61,113 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[list, list[np.ndarray
         yield ids[i:j], shingle_sets(raw[o[0] : o[-1]], o - o[0], n)
 
 
-def _signatures(n: int) -> Callable:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("block", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
+def _spread(n: int, n_buckets: int) -> Callable:
+    """Fragments of all documents by bucket, and a row of each flush with its documents, set sizes, set fingerprints and local counts."""
+    lists = [("doc_id", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("fp1", pa.list_(pa.int64())), ("fp2", pa.list_(pa.int64())), ("local", pa.list_(pa.int32()))]
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary()), *lists])
+
+    def flush(seq: int, ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        size = np.array([len(x) for x in sets], np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        cut = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        prints = []
+        for seed in _SEEDS:
+            run = np.zeros(len(flat) + 1, np.uint64)
+            np.cumsum(mix(flat ^ seed), out=run[1:])
+            prints.append((run[cut[1:]] - run[cut[:-1]]).view(np.int64))
+        order = np.argsort(flat, kind="stable")
+        token, who = flat[order], owner[order].astype(np.uint16)
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        heads = np.flatnonzero(new)
+        times = np.diff(np.append(heads, len(token)))
+        local = np.bincount(who[np.repeat(times > 1, times)], minlength=len(sets))
+        token, who = token[heads], who[heads]
+        who[times > 1] = MULTI
+        # The order by hash is the order by bucket.
+        bounds = np.searchsorted(token, _bounds(n_buckets))
+        part = TaskContext.get().partitionId()
+        rows = [(part, seq, -1, None, None, ids, size.tolist(), prints[0].tolist(), prints[1].tolist(), local.tolist())]
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            if b > a:
+                by = np.argsort(who[a:b], kind="stable")
+                rows.append((part, seq, k, _short(token[a:b][by], n_buckets).tobytes(), who[a:b][by].tobytes(), None, None, None, None, None))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        ids: list = []
+        held: list[np.ndarray] = []
+        tokens, seq = 0, 0
         for b in batches:
-            for ids, sets in _sets(b, n):
-                flat = np.concatenate(sets)
-                cut = np.cumsum([0, *map(len, sets)])
-                prints = []
-                for seed in _SEEDS:
-                    run = np.zeros(len(flat) + 1, np.uint64)
-                    np.cumsum(mix(flat ^ seed), out=run[1:])
-                    prints.append((run[cut[1:]] - run[cut[:-1]]).view(np.int64))
-                slot, times = np.unique(_slot(flat), return_counts=True)
-                sketch[slot] += times.astype(np.uint32)
-                k = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(cut), pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
-        rows = reduce.packed(sketch, TaskContext.get().partitionId())
-        k = len(rows)
-        del sketch
+            for some, sets in _sets(b, n):
+                ids += some
+                held += sets
+                tokens += sum(map(len, sets))
+                if tokens >= FLUSH or len(ids) >= FLUSH_DOCS - 10_000:
+                    yield flush(seq, ids, held)
+                    ids, held, tokens, seq = [], [], 0, seq + 1
+        if ids:
+            yield flush(seq, ids, held)
+        ids = held = None
         trim()
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.array([r[i] for r in rows], schema.field(4 + i).type) for i in range(3)], schema=schema)
 
     return run
 
 
+def _bounds(n_buckets: int) -> np.ndarray:
+    """Lower ends of equal ranges of 64-bit hashes, and the last one's upper end."""
+    width = (1 << 64) // n_buckets
+    return np.array([k * width for k in range(n_buckets)] + [(1 << 64) - 1], np.uint64)
+
+
+def _short(token: np.ndarray, n_buckets: int) -> np.ndarray:
+    """32 bits that tell the n-grams of a bucket apart, all but rarely."""
+    return mix(token).astype(np.uint32)
+
+
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: for each flush, how many of each document's n-grams occur in another entry."""
+    tokens = [np.frombuffer(x, np.uint32) for x in pdf["tokens"]]
+    token = np.concatenate(tokens)
+    order = np.argsort(token, kind="stable")
+    ordered = token[order]
+    same = ordered[1:] == ordered[:-1]
+    twice = np.zeros(len(token), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    del token, order, ordered, same
+    out, at = [], 0
+    for part, seq, owners, t in zip(pdf["part"], pdf["seq"], pdf["owners"], tokens, strict=True):
+        who = np.frombuffer(owners, np.uint16)[twice[at : at + len(t)]]
+        at += len(t)
+        count = np.bincount(who[who != MULTI])
+        if count.any():
+            out.append((part, seq, count.astype(np.uint32).tobytes()))
+    trim()
+    return pd.DataFrame(out, columns=["part", "seq", "counts"])
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one flush: the sum of its buckets' counts."""
+    parts = [np.frombuffer(x, np.uint32) for x in pdf["counts"]]
+    total = np.zeros(max(map(len, parts)), np.int64)
+    for p in parts:
+        total[: len(p)] += p
+    return pd.DataFrame({"part": pdf["part"].iloc[:1], "seq": pdf["seq"].iloc[:1], "shared": [total.tolist()]})
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sketch's rows for a table of sets."""
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+    for b in batches:
+        for g in b.column(0).to_pylist():
+            np.add.at(sketch, _slot(np.frombuffer(g, np.uint64)), 1)
+    rows = reduce.packed(sketch, TaskContext.get().partitionId())
+    del sketch
+    trim()
+    yield pa.RecordBatch.from_pydict({"block": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+
+
 def _prefix_length(size: int, percent: int) -> int:
     return size - (size * percent + 99) // 100 + 1
 
@@ -100,7 +185,7 @@ def _chains(tokens: np.ndarray, owners: np.ndarray, low: np.ndarray, high: np.nd
     return order, new, top - base
 
 
-def _prefixes(n: int, percent: int, n_buckets: int, sketch) -> Callable:
+def _prefixes(percent: int, n_buckets: int, sketch) -> Callable:
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "owners", "ids", "low", "high"))])
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
@@ -141,23 +226,21 @@ def _prefixes(n: int, percent: int, n_buckets: int, sketch) -> Callable:
         rank = np.frombuffer(sketch.value, np.uint8)
         ids, sizes, tokens, lengths, held = [], [], [], [], 0
         for b in batches:
-            for some, sets in _sets(b, n):
-                for i, s in zip(some, sets, strict=True):
-                    if i is None or not len(s):
-                        continue
-                    place = rank[_slot(s)]
-                    first = np.argsort(place, kind="stable")[: _prefix_length(len(s), percent)]
-                    # The sketch never counts too little, so rank 0 is an n-gram of one row.
-                    mine = s[first[place[first] > 0]]
-                    if len(mine):
-                        ids.append(i)
-                        sizes.append(len(s))
-                        tokens.append(mine)
-                        lengths.append(len(mine))
-                        held += len(mine)
-                if held >= FLUSH:
-                    yield flush(ids, sizes, tokens, lengths)
-                    ids, sizes, tokens, lengths, held = [], [], [], [], 0
+            for i, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(g, np.uint64)
+                place = rank[_slot(s)]
+                first = np.argsort(place, kind="stable")[: _prefix_length(len(s), percent)]
+                # The sketch never counts too little, so rank 0 is an n-gram of one set.
+                mine = s[first[place[first] > 0]]
+                if len(mine):
+                    ids.append(i)
+                    sizes.append(len(s))
+                    tokens.append(mine)
+                    lengths.append(len(mine))
+                    held += len(mine)
+            if held >= FLUSH:
+                yield flush(ids, sizes, tokens, lengths)
+                ids, sizes, tokens, lengths, held = [], [], [], [], 0
         if ids:
             yield flush(ids, sizes, tokens, lengths)
         ids = sizes = tokens = lengths = None
@@ -307,38 +390,46 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for each row of docs(doc_id, text)."""
     ship(spark)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    seen, seen_at = materialize(spark, source.mapInArrow(_signatures(n), SIGNATURE), "signatures")
-    counts = reduce.total(seen.where("block is not null").select("block", "part", "data"), 1 << SKETCH_BITS)
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_buckets = max(partitions(spark), 1 + size // TEXT_PER_GRAM // BUCKET)
+    spread, spread_at = materialize(spark, source.mapInArrow(_spread(n, n_buckets), SPREAD), "fragments")
+    shared = spread.where("bucket >= 0").select("part", "seq", "bucket", "tokens", "owners").groupBy("bucket").applyInPandas(_shared, "part int, seq int, counts binary")
+    summed = shared.groupBy("part", "seq").applyInPandas(_summed, "part int, seq int, shared array<long>")
+    flushes = spread.where("bucket < 0").select("part", "seq", "doc_id", "n", "fp1", "fp2", "local").join(summed, ["part", "seq"], "left")
+    each = flushes.select("shared", F.posexplode(F.arrays_zip("doc_id", "n", "fp1", "fp2", "local")).alias("at", "d"))
+    found = F.col("d.local") + F.coalesce(F.get("shared", F.col("at")), F.lit(0))
+    rows, rows_at = materialize(spark, each.select("d.doc_id", F.col("d.n").cast("long").alias("n_shingles"), "d.fp1", "d.fp2", (100 * found >= percent * F.col("d.n")).alias("may_link")), "signatures")
+    discard(spark, spread_at)
+
+    known = rows.where("doc_id is not null and n_shingles > 0 and may_link")
+    alike = known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    same = known.join(alike.where("copies > 1"), ["fp1", "fp2", "n_shingles"]).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    reps, reps_at = materialize(spark, alike.select(F.col("first").alias("doc_id"), "fp1", "fp2"), "representatives")
+    bits = reduce.total(reps.select("doc_id").mapInArrow(_bloom(0), reduce.SCHEMA), 1 << (BLOOM_BITS - 3), "uint8", "or")
+    bloom = spark.sparkContext.broadcast(bits.tobytes())
+    grams, grams_at = materialize(spark, source.mapInArrow(_wanted_sets(n, bloom), "doc_id long, grams binary").join(reps.select("doc_id"), "doc_id"), "sets")
+    counts = reduce.total(grams.select("grams").mapInArrow(_counted, reduce.SCHEMA), 1 << SKETCH_BITS)
     rank = np.ceil(4 * np.log2(np.maximum(counts, 1).astype(np.float64))).astype(np.uint8)
     sketch = spark.sparkContext.broadcast(rank.tobytes())
-    rows = seen.where("block is null").select("doc_id", "n_shingles", "fp1", "fp2")
-    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-
-    n_buckets = max(partitions(spark), 1 + total * (100 - percent) // 100 // BUCKET)
-    prefixes, prefixes_at = materialize(spark, source.mapInArrow(_prefixes(n, percent, n_buckets, sketch), PREFIX), "prefixes")
-    found = prefixes.where("bucket >= 0").groupBy("bucket").applyInPandas(_bucket_edges(percent), EDGES)
+    load = grams.agg(F.coalesce(F.sum(F.length("grams")), F.lit(0))).first()[0] // 8
+    n_buckets = max(partitions(spark), 1 + load * (100 - percent) // 100 // BUCKET)
+    prefixes, prefixes_at = materialize(spark, grams.mapInArrow(_prefixes(percent, n_buckets, sketch), PREFIX), "prefixes")
+    near = prefixes.where("bucket >= 0").groupBy("bucket").applyInPandas(_bucket_edges(percent), EDGES)
     local = prefixes.where("bucket < 0").mapInArrow(_unpacked, EDGES)
-    groups, groups_at = components(spark, found.union(local), "candidates")
-    groups, kept_groups = materialize(spark, groups.select(F.col("node").alias("doc_id"), "component"), "candidate-groups")
-    discard(spark, prefixes_at, groups_at)
-
-    known = rows.where("doc_id is not null and n_shingles > 0").join(groups, "doc_id")
-    alike = known.groupBy("component", "fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("first"))
-    # Equal sets in different candidate groups cannot occur: they share every n-gram.
-    same = known.join(alike, ["component", "fp1", "fp2", "n_shingles"]).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    weights = alike.groupBy("component").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    reps, reps_at = materialize(spark, alike.join(weights, "component").select(F.col("first").alias("doc_id"), "component", "weight"), "representatives")
-    bits = reduce.total(reps.select("doc_id").mapInArrow(_bloom(0), reduce.SCHEMA), 1 << (BLOOM_BITS - 3), "uint8", "or")
-    bloom = spark.sparkContext.broadcast(bits.tobytes())
-    grams = source.mapInArrow(_wanted_sets(n, bloom), "doc_id long, grams binary")
-    sets, sets_at = materialize(spark, grams.join(reps, "doc_id").withColumn("blocks", F.ceil(F.col("weight") / BLOCK).cast("int")), "sets")
-    bins = max(partitions(spark), 1 + int(sets.where("blocks = 1").agg(F.coalesce(F.sum(F.length("grams")), F.lit(0))).first()[0] // (8 * BLOCK)))
+    groups, groups_at = components(spark, near.union(local), "candidates")
+    discard(spark, prefixes_at)
+
+    member = grams.join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
+    weights = member.groupBy("component").agg((F.sum(F.length("grams")) / 8).alias("weight"))
+    sets, sets_at = materialize(spark, member.join(weights, "component").select("doc_id", "component", "grams", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")), "grouped-sets")
+    discard(spark, groups_at, grams_at)
+    bins = max(partitions(spark), 1 + int(load // BLOCK))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     alone = sets.select("doc_id", "component", "grams", F.lit(-1).alias("side"), F.col("doc_id").alias("label"), F.when(F.col("blocks") > 1, block).otherwise(-1).alias("block"), F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"))
     alone = alone.withColumn("bin", F.when(F.col("block") < 0, F.col("bin")).otherwise(F.col("component")))
     work = _resolve(percent, sketch)
     first, first_at = materialize(spark, alone.groupBy("block", "bin").applyInPandas(work, EDGES).union(same), "links")
-    paths = [seen_at, kept_groups, reps_at, sets_at, first_at]
+    paths = [rows_at, reps_at, sets_at, first_at]
     every = first
     large = sets.where("blocks > 1")
     if large.limit(1).count():
