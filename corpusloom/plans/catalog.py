@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from corpusloom.plans import retrieval, texts
+
+_PARTS = (retrieval, texts)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.SQL.items()}
