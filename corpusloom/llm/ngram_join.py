@@ -407,7 +407,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     reps, reps_at = materialize(spark, alike.select(F.col("first").alias("doc_id"), "fp1", "fp2"), "representatives")
     bits = reduce.total(reps.select("doc_id").mapInArrow(_bloom(0), reduce.SCHEMA), 1 << (BLOOM_BITS - 3), "uint8", "or")
     bloom = spark.sparkContext.broadcast(bits.tobytes())
-    grams, grams_at = materialize(spark, source.mapInArrow(_wanted_sets(n, bloom), "doc_id long, grams binary").join(reps.select("doc_id"), "doc_id"), "sets")
+    grams, grams_at = materialize(spark, source.mapInArrow(_wanted_sets(n, bloom), "doc_id long, grams binary"), "sets")
     counts = reduce.total(grams.select("grams").mapInArrow(_counted, reduce.SCHEMA), 1 << SKETCH_BITS)
     rank = np.ceil(4 * np.log2(np.maximum(counts, 1).astype(np.float64))).astype(np.uint8)
     sketch = spark.sparkContext.broadcast(rank.tobytes())
@@ -419,20 +419,23 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     groups, groups_at = components(spark, near.union(local), "candidates")
     discard(spark, prefixes_at)
 
-    member = grams.join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
-    weights = member.groupBy("component").agg((F.sum(F.length("grams")) / 8).alias("weight"))
-    sets, sets_at = materialize(spark, member.join(weights, "component").select("doc_id", "component", "grams", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")), "grouped-sets")
-    discard(spark, groups_at, grams_at)
+    # Only ids and sizes are moved to weigh groups. Both sides of these joins grow with the input, so they are sorted at every size.
+    node = groups.withColumnRenamed("node", "doc_id")
+    sizes = grams.select("doc_id", (F.length("grams") / 8).alias("size"))
+    weights = sizes.join(node.hint("merge"), "doc_id").groupBy("component").agg(F.sum("size").alias("weight"))
+    placed, placed_at = materialize(spark, node.join(weights.hint("merge"), "component").select("doc_id", "component", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")), "placed")
+    discard(spark, groups_at)
+    sets = grams.join(placed.hint("merge"), "doc_id")
     bins = max(partitions(spark), 1 + int(load // BLOCK))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     alone = sets.select("doc_id", "component", "grams", F.lit(-1).alias("side"), F.col("doc_id").alias("label"), F.when(F.col("blocks") > 1, block).otherwise(-1).alias("block"), F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"))
     alone = alone.withColumn("bin", F.when(F.col("block") < 0, F.col("bin")).otherwise(F.col("component")))
     work = _resolve(percent, sketch)
     first, first_at = materialize(spark, alone.groupBy("block", "bin").applyInPandas(work, EDGES).union(same), "links")
-    paths = [rows_at, reps_at, sets_at, first_at]
+    paths = [rows_at, reps_at, grams_at, placed_at, first_at]
     every = first
-    large = sets.where("blocks > 1")
-    if large.limit(1).count():
+    if placed.where("blocks > 1").limit(1).count():
+        large = sets.where("blocks > 1")
         so_far, so_far_at = components(spark, first, "block-links")
         labelled = large.join(so_far.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).withColumn("block", block)
         # A block meets each other block once, in the task of the pair.
