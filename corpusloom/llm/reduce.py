@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.runtime import discard, materialize
+
 BLOCKS = 16
 SCHEMA = "block int, part int, data binary"
 
@@ -31,7 +33,9 @@ def _sum(dtype: str, how: str):
 
 def total(rows: DataFrame, size: int, dtype: str = "uint32", how: str = "add") -> np.ndarray:
     """The array summed over all rows, brought to the driver: ``size`` entries, whatever the input."""
-    n = rows.agg(F.count(F.lit(1))).first()[0]
+    # The rows are counted to choose the tree's width, and must not be made twice for that.
+    rows, at = materialize(rows.sparkSession, rows, "partial-sums")
+    n = rows.count()
     fan = max(1, int((n / BLOCKS) ** 0.5))
     once = rows.withColumn("part", F.pmod("part", F.lit(fan))).groupBy("block", "part").applyInPandas(_sum(dtype, how), SCHEMA)
     twice = once.groupBy("block").applyInPandas(_sum(dtype, how), SCHEMA)
@@ -39,4 +43,5 @@ def total(rows: DataFrame, size: int, dtype: str = "uint32", how: str = "add") -
     pieces = np.array_split(out, BLOCKS)
     for r in twice.select("block", "data").collect():
         pieces[r[0]][:] = np.frombuffer(zlib.decompress(r[1]), dtype)
+    discard(rows.sparkSession, at)
     return out
