@@ -86,17 +86,19 @@ def _kept_runs(dropped: Column, n_lines: Column) -> Column:
 
 
 def with_bitmaps(spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """All columns of docs, and n_lines, n_dropped and keep_runs (null where nothing is dropped)."""
-    marks = dropped_lines(spark, docs, min_docs, min_chars, keep_first).withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_id", "_text").withColumnRenamed("dropped", "_dropped")
-    own = docs.withColumn("_n", F.size(split_lines(F.col("text"))))
-    joined = own.join(marks, own["doc_id"].eqNullSafe(F.col("_doc")) & (_text_id(own["text"]) == F.col("_text")), "left")
-    return joined.withColumns(
-        {
-            "n_lines": F.col("_n").cast("long"),
-            "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"),
-            "keep_runs": F.when(F.col("_dropped").isNotNull(), _kept_runs(F.col("_dropped"), F.col("_n"))),
-        }
-    ).drop("_doc", "_text", "_dropped", "_n")
+    """All columns of docs, and n_lines, n_dropped and keep_runs (null where nothing is dropped), which replace columns of these names."""
+    marks = dropped_lines(spark, docs, min_docs, min_chars, keep_first).select(F.struct("doc_id", "text_id", "dropped").alias("mark"))
+    # The row travels as one column, so that none of its names can clash.
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.col("row").getField("text")
+    joined = own.join(marks, F.col("row").getField("doc_id").eqNullSafe(F.col("mark.doc_id")) & (_text_id(text) == F.col("mark.text_id")), "left")
+    size = F.size(split_lines(text))
+    made = {
+        "n_lines": size.cast("long"),
+        "n_dropped": F.coalesce(F.size("mark.dropped"), F.lit(0)).cast("long"),
+        "keep_runs": F.when(F.col("mark").isNotNull(), _kept_runs(F.col("mark.dropped"), size)),
+    }
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
 def kept_text(text: Column, runs: Column) -> Column:
