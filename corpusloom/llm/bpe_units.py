@@ -25,7 +25,8 @@ _NEAR = re.compile(f"[{WHITE}][ \\n.,]|[ \\n][{WHITE}]|[^0-9A-Za-z\xc0-\xd6\xd8-
 _WORD = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 _STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
-LIMIT = 300_000
+#: Remembered stretches, and their most characters: longer ones are rare and would make the memory's size depend on the texts.
+LIMIT, LONGEST = 300_000, 64
 
 
 class Memo(dict):
@@ -38,6 +39,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

@@ -10,7 +10,7 @@ each edge not taken, with a Gumbel bound truncated at that value. The first k va
 is the threshold of their inclusion probabilities, 1 - exp(-exp(logp - threshold)).
 
 All draws come from a hash of doc_id, sample, word and step: a row's samples do not depend on other rows or on partitioning. Rows without a doc_id draw like doc_id 0.
-Null and empty texts have one segmentation, of no pieces. A text of fewer than k segmentations gives all of them. Repeated rows give equal results. Extra columns are ignored.
+Null and empty texts have one segmentation, of no pieces. The model's mark for a space, where it stands in a text, counts as a space. A text of fewer than k segmentations gives all of them. Repeated rows give equal results. Extra columns are ignored.
 """
 
 from __future__ import annotations
