@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.line_dedup import BLANKS, let
-from corpusloom.llm.runtime import discard, materialize
+from corpusloom.llm.runtime import discard, materialize, salted_join
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 FEATURES = ("x1", "x2", "x3", "x4")
@@ -138,16 +138,16 @@ def outliers(spark: SparkSession, counts: DataFrame) -> DataFrame:
     points = rows.where(~F.col("base_failed")).select("g_lang", "g_source", *FEATURES)
     now, at = materialize(spark, _estimates(points, True), "mcd")
     for _ in range(STEPS):
-        near = _distance(points.join(now, ["g_lang", "g_source"])).withColumn("bin", _bin(F.col("d2")))
+        near = _distance(salted_join(points, now, ["g_lang", "g_source"], list(FEATURES))).withColumn("bin", _bin(F.col("d2")))
         bins = near.groupBy("g_lang", "g_source", "bin").agg(F.count(F.lit(1)).alias("k"))
         each = Window.partitionBy("g_lang", "g_source")
         ranked = bins.withColumns({"upto": F.sum("k").over(each.orderBy("bin")), "all": F.sum("k").over(each)})
         edge = ranked.where(4 * F.col("upto") >= 3 * F.col("all")).groupBy("g_lang", "g_source").agg(F.min("bin").alias("edge"))
-        core = near.join(edge, ["g_lang", "g_source"]).where("bin <= edge")
+        core = salted_join(near, edge, ["g_lang", "g_source"], list(FEATURES)).where("bin <= edge")
         after, path = materialize(spark, _estimates(core, False), "mcd")
         discard(spark, at)
         now, at = after, path
-    return _distance(rows.join(now, ["g_lang", "g_source"], "left")).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
+    return _distance(salted_join(rows, now, ["g_lang", "g_source"], ["doc_id", *FEATURES], "left")).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
 
 
 def quality(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
@@ -67,6 +68,13 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(at))
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """left joined with right, which has few rows for a key, so that a frequent key of left is dealt to ``salts`` tasks by its columns ``spread``."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
