@@ -7,8 +7,8 @@ fixed-point values, so both combine map-side, no group meets in one task, and th
 document is rejected when its squared distance from its group's last estimate exceeds ``CUTOFF``.
 
 Standard deviations have a floor (``FLOORS``): most documents have no symbol or repetition at all, and a variance of zero would
-make any deviation infinite. A group of fewer than ``MIN_GROUP`` documents has no estimate and rejects nothing. Null lang or source is
-a group like others. Null and empty texts have no words and fail the base rules. Repeated rows count each. Extra columns are ignored.
+make any deviation infinite. A group of fewer than ``MIN_GROUP`` documents is judged by the estimate of its whole language, and where that
+has fewer too, by the estimate of all documents, so every document has a verdict. Null lang or source is a group like others. Null and empty texts have no words and fail the base rules. Repeated rows count each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ SCALE = 1024
 #: Least standard deviations of log mean word length, and of log(1 + rate per thousand) of symbols, repeated lines and repeated words.
 FLOORS = (0.12, 0.9, 2.0, 2.0)
 MIN_GROUP = 20
+#: Stands for all languages or sources in the key of a pool; keys of groups are empty or begin with "=".
+POOL = "*"
 STEPS = 6
 BINS_PER_OCTAVE = 16
 #: A share of 3/4 of a 4-dimensional normal has a covariance smaller by this factor: 0.75 / P(chi2_6 <= q), q the 0.75 quantile of chi2_4.
@@ -95,7 +97,7 @@ def _estimates(points: DataFrame, first: bool) -> DataFrame:
         sums[f"s{i}"] = F.sum(F.col(FEATURES[i])).cast("double")
         for j in range(i + 1):
             sums[f"s{i}{j}"] = F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("double")
-    g = points.groupBy("g_lang", "g_source").agg(*[v.alias(n) for n, v in sums.items()]).where(F.col("n") >= (MIN_GROUP if first else 1))
+    g = points.groupBy("g_lang", "g_source").agg(*[v.alias(n) for n, v in sums.items()])
     g = g.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") / SCALE for i in range(k)})
     cov = {}
     for i in range(k):
@@ -132,10 +134,29 @@ def _bin(d2: Column) -> Column:
     return F.floor(BINS_PER_OCTAVE * F.log2(F.greatest(d2, F.lit(1e-6)))).cast("int")
 
 
+def _judges(points: DataFrame) -> DataFrame:
+    """g_lang, g_source, the (e_lang, e_source) whose estimate judges the group, and ``also``: all estimates that its documents enter. A pool has POOL for what it joins."""
+    each = Window.partitionBy("g_lang")
+    sizes = points.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"))
+    langs = sizes.groupBy("g_lang").agg(F.sum("n").alias("of_lang"), F.min("n").alias("least"))
+    # A language's pool is needed where one of its groups is small; that of all, where such a language is small too.
+    need_all = langs.agg(F.coalesce(F.max((F.col("least") < MIN_GROUP) & (F.col("of_lang") < MIN_GROUP)), F.lit(False)).alias("need_all"))
+    d = sizes.withColumns({"of_lang": F.sum("n").over(each), "least": F.min("n").over(each)}).crossJoin(F.broadcast(need_all))
+    own, lang = F.col("n") >= MIN_GROUP, F.col("of_lang") >= MIN_GROUP
+    key = lambda a, b: F.struct(a.alias("lang"), b.alias("source"))
+    mine, pool, whole = key(F.col("g_lang"), F.col("g_source")), key(F.col("g_lang"), F.lit(POOL)), key(F.lit(POOL), F.lit(POOL))
+    also = F.array_compact(F.array(F.when(own, mine), F.when(lang & (F.col("least") < MIN_GROUP), pool), F.when(F.col("need_all"), whole)))
+    by = F.when(own, mine).when(lang, pool).otherwise(whole)
+    return d.select("g_lang", "g_source", by["lang"].alias("e_lang"), by["source"].alias("e_source"), also.alias("also"))
+
+
 def outliers(spark: SparkSession, counts: DataFrame) -> DataFrame:
-    """counts with its features and ``d2``, null where the base rules failed or the group has no estimate. counts must be a table, as it is read once per step."""
+    """counts with its features and ``d2``, null where the base rules failed. counts must be a table, as it is read once per step."""
     rows = features(counts).withColumns({"g_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), "g_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
     points = rows.where(~F.col("base_failed")).select("g_lang", "g_source", *FEATURES)
+    judges, judged = materialize(spark, _judges(points), "judges")
+    entered = salted_join(points, judges, ["g_lang", "g_source"], list(FEATURES)).select(F.explode("also").alias("k"), *FEATURES)
+    points, members = materialize(spark, entered.select(F.col("k.lang").alias("g_lang"), F.col("k.source").alias("g_source"), *FEATURES), "members")
     now, at = materialize(spark, _estimates(points, True), "mcd")
     for _ in range(STEPS):
         near = _distance(salted_join(points, now, ["g_lang", "g_source"], list(FEATURES))).withColumn("bin", _bin(F.col("d2")))
@@ -147,6 +168,10 @@ def outliers(spark: SparkSession, counts: DataFrame) -> DataFrame:
         after, path = materialize(spark, _estimates(core, False), "mcd")
         discard(spark, at)
         now, at = after, path
+    by = now.withColumnsRenamed({"g_lang": "e_lang", "g_source": "e_source"})
+    now, path = materialize(spark, judges.drop("also").join(by, ["e_lang", "e_source"]).drop("e_lang", "e_source"), "mcd")
+    for done in (at, members, judged):
+        discard(spark, done)
     return _distance(salted_join(rows, now, ["g_lang", "g_source"], ["doc_id", *FEATURES], "left")).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
 
 

@@ -367,3 +367,14 @@ def test_quality_rejects_outliers(spark):
         mean, cov = core.mean(0), np.cov(core.T, bias=True) * quality_rules.CONSISTENCY + np.diag(floors**2)
     d = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
     assert np.allclose([got[i].distance2 for i in range(128)], d, rtol=1e-6, atol=1e-9)
+
+
+def test_quality_judges_small_groups(spark):
+    """Groups too small for an estimate of their own are judged by their language's, small languages by that of all."""
+    rng = random.Random(8)
+    say = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    odd = lambda: " ".join("#$%&*" + w for w in say().split())
+    rows = [(i, say(), "en", "big") for i in range(60)] + [(100 + i, say(), "en", f"s{i % 5}") for i in range(20)] + [(200, odd(), "en", "s1"), (201, odd(), "en", None), (202, odd(), "xx", "s"), (203, say(), "xx", "s"), (204, odd(), None, None)]
+    got = {r.doc_id: r for r in quality_rules.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all(r.distance2 is not None for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {200, 201, 202, 204}
