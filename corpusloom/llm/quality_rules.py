@@ -4,7 +4,8 @@ Each document that passes the base rules gives a vector of four transformed stat
 minimum-covariance-determinant estimate is made by concentration steps: the three quarters of the group with the smallest
 Mahalanobis distances give the next mean and covariance. The quantile comes from counts in logarithmic bins and the moments from integer sums of
 fixed-point values, so both combine map-side, no group meets in one task, and the result does not depend on partitioning. A
-document is rejected when its squared distance from its group's last estimate exceeds ``CUTOFF``.
+document is rejected when its squared distance from its group's last estimate exceeds ``CUTOFF``, or when one statistic alone, measured by its own
+spread in the group's core with the smaller floor of ``ALONE``, does.
 
 Standard deviations have a floor (``FLOORS``): most documents have no symbol or repetition at all, and a variance of zero would
 make any deviation infinite. A group of fewer than ``MIN_GROUP`` documents is judged by the estimate of its whole language, and where that
@@ -25,6 +26,8 @@ FEATURES = ("x1", "x2", "x3", "x4")
 SCALE = 1024
 #: Least standard deviations of log mean word length, and of log(1 + rate per thousand) of symbols, repeated lines and repeated words.
 FLOORS = (0.12, 0.9, 2.0, 2.0)
+#: The same for a statistic alone. Each is below the statistic's greatest value, 6.91, or 5.71 for repeated words as base rules cap them, over the root of CUTOFF.
+ALONE = (0.12, 0.9, 1.05, 0.95)
 MIN_GROUP = 20
 #: Stands for all languages or sources in the key of a pool; keys of groups are empty or begin with "=".
 POOL = "*"
@@ -130,6 +133,13 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((v * v for v in z), F.lit(0.0)))
 
 
+def _alone(i: int) -> Column:
+    """Squared distance by one statistic only: its variance in the core is what the factor's row has besides the floor."""
+    variance = sum((F.col(f"l{i}{j}") * F.col(f"l{i}{j}") for j in range(i + 1)), F.lit(0.0)) - FLOORS[i] ** 2
+    e = F.col(FEATURES[i]) / SCALE - F.col(f"m{i}")
+    return e * e / (F.greatest(variance, F.lit(0.0)) + ALONE[i] ** 2)
+
+
 def _bin(d2: Column) -> Column:
     return F.floor(BINS_PER_OCTAVE * F.log2(F.greatest(d2, F.lit(1e-6)))).cast("int")
 
@@ -151,7 +161,7 @@ def _judges(points: DataFrame) -> DataFrame:
 
 
 def outliers(spark: SparkSession, counts: DataFrame) -> DataFrame:
-    """counts with its features and ``d2``, null where the base rules failed. counts must be a table, as it is read once per step."""
+    """counts with its features, ``d2`` and the greatest distance ``d2_alone`` by one statistic, null where the base rules failed. counts must be a table, as it is read once per step."""
     rows = features(counts).withColumns({"g_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), "g_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
     points = rows.where(~F.col("base_failed")).select("g_lang", "g_source", *FEATURES)
     judges, judged = materialize(spark, _judges(points), "judges")
@@ -172,12 +182,13 @@ def outliers(spark: SparkSession, counts: DataFrame) -> DataFrame:
     now, path = materialize(spark, judges.drop("also").join(by, ["e_lang", "e_source"]).drop("e_lang", "e_source"), "mcd")
     for done in (at, members, judged):
         discard(spark, done)
-    return _distance(salted_join(rows, now, ["g_lang", "g_source"], ["doc_id", *FEATURES], "left")).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
+    far = _distance(salted_join(rows, now, ["g_lang", "g_source"], ["doc_id", *FEATURES], "left")).withColumn("d2_alone", F.greatest(*[_alone(i) for i in range(len(FEATURES))]))
+    return far.withColumns({c: F.when(~F.col("base_failed"), F.col(c)) for c in ("d2", "d2_alone")})
 
 
 def quality(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2."""
     counts, _ = materialize(spark, base_counts(docs), "quality")
     judged = outliers(spark, counts)
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF)
+    kept = ~F.col("base_failed") & (F.coalesce(F.greatest("d2", "d2_alone"), F.lit(0.0)) <= CUTOFF)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))

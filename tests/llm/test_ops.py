@@ -378,3 +378,17 @@ def test_quality_judges_small_groups(spark):
     got = {r.doc_id: r for r in quality_rules.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert len(got) == len(rows) and all(r.distance2 is not None for r in got.values())
     assert {i for i, r in got.items() if not r.kept} == {200, 201, 202, 204}
+
+
+def test_quality_rejects_each_statistic_alone(spark):
+    """Documents that are odd only by repeated lines, or only by repeated words, go; a few repeats stay."""
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdef") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    lines = lambda own, marked: "\n".join(" ".join(words(6)) + ("\nabcde\nfedcb" if i < marked else "") for i in range(own))
+    w = words(76)
+    rows = [(i, lines(10, 0)) for i in range(80)] + [(100, lines(8, 8)), (101, lines(20, 2)), (102, " ".join(w + w[:12])), (103, " ".join(words(200) + w[:8] + words(90) + w[:8]))]
+    table = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.quality(spark, table).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [(got[i].n_dup_lines, got[i].n_repeat_words) for i in (100, 101, 102, 103)] == [(14, 0), (2, 0), (0, 24), (0, 16)]
+    assert {i for i, r in got.items() if not r.kept} == {100, 102}
