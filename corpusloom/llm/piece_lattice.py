@@ -29,6 +29,7 @@ from corpusloom.llm.token_counts import SPACE, PieceCounter
 
 ALPHA, RANK_SHIFT = 1.0, 8.0
 SLICE_CHARS = 1 << 19
+TABLE_BITS = 18
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = [np.uint64(x) for x in (0xD1342543DE82EF95, 0xA24BAED4963EE407, 0xAF251AF3B0F025B5)]
@@ -39,11 +40,11 @@ def uniform(seed: np.ndarray, sample: int, word: np.ndarray, step: int | np.ndar
     """Numbers in (0, 1) from a hash."""
     with np.errstate(over="ignore"):
         x = seed + _SPREAD[0] * np.uint64(2 * sample + use + 1) + _SPREAD[1] * word.astype(np.uint64) + _SPREAD[2] * np.asarray(step).astype(np.uint64)
-    return ((mix(mix(x) ^ seed) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
 class Vocabulary:
-    """Pieces by the hashes of all their prefixes."""
+    """Pieces in a trie of characters, whose steps are a hash table with chains, so that many nodes step at once."""
 
     def __init__(self, path: str) -> None:
         counter = PieceCounter(path)
@@ -63,88 +64,134 @@ class Vocabulary:
         self.text_at = np.cumsum(self.text_size) - self.text_size
         order = {p: r for r, (p, _) in enumerate(sorted(pieces.items(), key=lambda x: -x[1][1]))}
         self.weight = np.zeros(self.library.get_piece_size())
-        keys: dict[int, int] = {}
+        # A state is the number of the step into it; state -1 is the root, and the last entry of steps matches nothing.
+        number = {c: k for k, c in enumerate(sorted({c for p in pieces for c in p}), 1)}
+        states: dict[int, int] = {}
+        piece_of: list[int] = []
         for p, (i, _) in pieces.items():
             self.weight[i] = -ALPHA * np.log(order[p] + RANK_SHIFT)
-            h = 0
-            for k, c in enumerate(p):
-                h = ((h + ord(c) + 1) * int(_STEP)) & ((1 << 64) - 1)
-                h ^= h >> 31
-                if k == len(p) - 1:
-                    keys[h] = i
-                else:
-                    keys.setdefault(h, -1)
-        self.keys = np.array(sorted(keys), np.uint64)
-        self.values = np.array([keys[int(k)] for k in self.keys], np.int32)
+            state = -1
+            for c in p:
+                key = ((state + 1) << 16) | number[c]
+                if (to := states.get(key)) is None:
+                    to = states[key] = len(piece_of)
+                    piece_of.append(-1)
+                state = to
+            piece_of[state] = i
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in number]] = list(number.values())
+        self.piece_of = np.array(piece_of, np.int32)
+        self.root = np.full(len(number) + 1, -1, np.int32)
+        for c, k in number.items():
+            self.root[k] = states[k]
+        self.steps = np.array([*states, -1], np.int64).view(np.uint64)
+        self.head = np.full(1 << TABLE_BITS, -1, np.int32)
+        self.next = np.full(len(states) + 1, -1, np.int32)
+        for k, slot in enumerate(((self.steps[:-1] * _STEP) >> np.uint64(64 - TABLE_BITS)).tolist()):
+            self.next[k], self.head[slot] = self.head[slot], k
         self.longest = max(map(len, pieces))
         self.byte_weight = -ALPHA * np.log(len(order) + RANK_SHIFT)
 
+    def step(self, state: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the states have a step by their character, and the states it leads to."""
+        key = ((state + np.int32(1)).astype(np.uint64) << np.uint64(16)) | char
+        to = self.head[(key * _STEP) >> np.uint64(64 - TABLE_BITS)]
+        live = np.flatnonzero(to >= 0)
+        to, key = to[live], key[live]
+        wrong = np.flatnonzero(self.steps[to] != key)
+        while len(wrong):
+            to[wrong] = self.next[to[wrong]]
+            wrong = wrong[(to[wrong] >= 0) & (self.steps[to[wrong]] != key[wrong])]
+        known = to >= 0
+        return live[known], to[known]
+
 
 class Lattice:
-    """The word lattices of distinct words, in flat arrays: node = character, each word with one more node for its end."""
+    """The word lattices of distinct words, in flat arrays: node = character, each word with one more node for its end. A node's edges are neighbours, the longest first."""
 
     def __init__(self, v: Vocabulary, words: list[str]) -> None:
-        size = np.array([len(w) for w in words], np.int64)
+        size = np.array(list(map(len, words)), np.int64)
         self.start = np.cumsum(size + 1) - size - 1
         nodes = int((size + 1).sum())
         code = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32)
-        end = np.repeat(self.start + size, size + 1)
-        left = end - np.arange(nodes)
+        left = (np.repeat(self.start + size, size + 1) - np.arange(nodes)).astype(np.int32)
         self.is_end = left == 0
-        alive = np.flatnonzero(left > 0)
-        h = np.zeros(len(alive), np.uint64)
-        source, target, piece = [], [], []
-        single = np.zeros(nodes, bool)
-        for length in range(1, v.longest + 1):
-            fits = left[alive] >= length
-            alive, h = alive[fits], h[fits]
+        char = v.number[code]
+        degree = np.zeros(nodes, np.int8)
+        # Edges of a length have ascending sources, so an edge's seat at its node is the number of shorter ones.
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        alive = np.flatnonzero(~self.is_end).astype(np.int32)
+        state = alive
+        for length in range(v.longest):
+            if length:
+                fits = left[alive] > length
+                alive, state = alive[fits], state[fits]
             if not len(alive):
                 break
-            h = (h + code[alive + length - 1] + np.uint64(1)) * _STEP
-            h ^= h >> np.uint64(31)
-            at = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
-            known = v.keys[at] == h
-            alive, h, value = alive[known], h[known], v.values[at[known]]
-            whole = value >= 0
-            source.append(alive[whole])
-            target.append(alive[whole] + length)
-            piece.append(value[whole])
-            if length == 1:
-                single[alive[whole]] = True
-        odd = np.flatnonzero(~single & ~self.is_end)
-        source.append(odd)
-        target.append(odd + 1)
-        piece.append(np.full(len(odd), -1, np.int32))
-        source, target, piece = (np.concatenate(x) for x in (source, target, piece))
-        order = np.argsort(source, kind="stable")
-        self.source, self.target, self.piece = source[order], target[order], piece[order]
+            if length:
+                keep, state = v.step(state, char[alive + np.int32(length)])
+            else:
+                state = v.root[char[alive]]
+                keep = np.flatnonzero(state >= 0)
+                state = state[keep]
+                single = np.zeros(len(alive), bool)
+                single[keep[v.piece_of[state] >= 0]] = True
+                odd = alive[~single]
+                found.append((odd, np.full(len(odd), -1, np.int32), degree[odd]))
+                degree[odd] += 1
+            alive = alive[keep]
+            piece = v.piece_of[state]
+            whole = piece >= 0
+            at = alive[whole]
+            found.append((at, piece[whole], degree[at]))
+            degree[at] += 1
+        self.first = np.zeros(nodes + 1, np.int32)
+        np.cumsum(degree, out=self.first[1:])
+        edges = int(self.first[-1])
+        self.source, self.target, self.piece = (np.empty(edges, np.int32) for _ in range(3))
+        for k, (at, piece, seat) in enumerate(found):
+            spot = self.first[at + 1] - 1 - seat
+            self.source[spot], self.target[spot], self.piece[spot] = at, at + np.int32(max(k, 1)), piece
         self.code = code
-        self.bytes = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
-        weight = np.where(self.piece >= 0, v.weight[self.piece], v.byte_weight * self.bytes[self.source])
+        size_of = 1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)
+        weight = v.weight[self.piece]
+        odd = np.flatnonzero(self.piece < 0)
+        weight[odd] = v.byte_weight * size_of[self.source[odd]]
         # Log sums of all ways to each word's end, by distance from it.
         ahead = np.zeros(nodes)
         distance = left[self.source]
-        by = np.argsort(distance, kind="stable")
-        cuts = np.searchsorted(distance[by], np.arange(1, int(left.max(initial=0)) + 2))
+        by = np.argsort(distance.astype(np.uint16) if int(left.max(initial=0)) < 1 << 16 else distance, kind="stable")
+        cuts = np.cumsum(np.bincount(distance, minlength=1))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            e = by[a:b]
-            if not len(e):
+            if a == b:
                 continue
+            e = by[a:b]
             x, s = weight[e] + ahead[self.target[e]], self.source[e]
             first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
             top = np.maximum.reduceat(x, first)
             ahead[s[first]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(first, len(x))))), first))
         self.p = np.exp(weight + ahead[self.target] - ahead[self.source])
-        self.first = np.searchsorted(self.source, np.arange(nodes + 1))
-        run = np.concatenate([np.zeros(1), np.cumsum(self.p)])
-        self.key = self.source + np.minimum(run[1:] - run[self.first[self.source]], 1.0)
+        run = np.cumsum(self.p)
+        base = np.concatenate([np.zeros(1), run])[self.first[:-1]]
+        self.upto = run - base[self.source]
+        self.upto[self.first[1:][degree > 0] - 1] = np.inf
+
+    def log_rest(self, edge: np.ndarray) -> np.ndarray:
+        """Log probabilities of a node's other edges."""
         with np.errstate(divide="ignore"):
-            self.log_p, self.log_rest = np.log(self.p), np.log1p(-np.minimum(self.p, 1.0))
-        self.log_rest[np.diff(self.first)[self.source] == 1] = -np.inf
+            out = np.log1p(-np.minimum(self.p[edge], 1.0))
+        node = self.source[edge]
+        out[self.first[node + 1] - self.first[node] == 1] = -np.inf
+        return out
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by probability."""
-        return np.minimum(np.maximum(np.searchsorted(self.key, node + u, "right"), self.first[node]), self.first[node + 1] - 1)
+        edge = self.first[node]
+        over = np.flatnonzero(u >= self.upto[edge])
+        while len(over):
+            edge[over] += 1
+            over = over[u[over] >= self.upto[edge[over]]]
+        return edge
 
     def walk(self, word: np.ndarray, node: np.ndarray, step: np.ndarray, seed: np.ndarray, index: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
         """Edges from each node to its word's end, one walker after the other, and the number of each."""
@@ -160,7 +207,7 @@ class Lattice:
             k += 1
         count = np.bincount(np.concatenate(owners), minlength=len(word)) if owners else np.zeros(len(word), np.int64)
         offset = np.cumsum(count) - count
-        out = np.empty(int(count.sum()), np.int64)
+        out = np.empty(int(count.sum()), np.int32)
         for k, (e, o) in enumerate(zip(taken, owners, strict=True)):
             out[offset[o] + k] = e
         return out, count
@@ -168,8 +215,7 @@ class Lattice:
 
 def _truncated(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables at location, given that they are at most ``most``."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        return np.where(np.isneginf(location), -np.inf, location - np.logaddexp(location - most, np.log(-np.log(u))))
+    return location - np.log(np.exp(np.minimum(location - most, 700.0)) - np.log(u))
 
 
 class Path:
@@ -183,14 +229,22 @@ def _ramp(count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
+class _Numbers(dict):
+    """Numbers of words in the order of their first use."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def sample_slice(v: Vocabulary, texts: list[str], seeds: list[int], k: int) -> list[tuple[list[bytes], list[float], list[float], list[float]]]:
     """For each non-empty text: ids, log probabilities, perturbed values and log inclusion probabilities of at most k segmentations."""
-    number: dict[str, int] = {}
+    number = _Numbers()
     inst: list[int] = []
     counts = []
     for t in texts:
         found = _WORDS.findall(SPACE + t.replace(" ", SPACE))
-        inst += [number.setdefault(w, len(number)) for w in found]
+        inst += map(number.__getitem__, found)
         counts.append(len(found))
     lat = Lattice(v, list(number))
     n_docs = len(texts)
@@ -212,22 +266,20 @@ def sample_slice(v: Vocabulary, texts: list[str], seeds: list[int], k: int) -> l
             edge, count = lat.walk(word_of, lat.start[word_of], np.zeros(len(doc), np.int64), seed[doc], index, sample)
             path = Path(edge, np.repeat(np.arange(len(doc)), count), _ramp(count), np.searchsorted(np.repeat(doc, count), np.arange(n_docs + 1)))
         else:
-            chosen, parents, where = [], [], []
+            chosen, opened, parents, where = [], [], [], []
             value = np.full(n_docs, -np.inf)
             for d in range(n_docs):
-                if not heaps[d]:
-                    continue
-                heaps[d].sort()
-                bound, s, at, out, _ = heaps[d].pop()
-                p = paths[s]
-                token = int(p.cut[d]) + at
-                a, b = int(lat.first[lat.source[p.edge[token]]]), int(lat.first[lat.source[p.edge[token]] + 1])
-                rest = [e for e in range(a, b) if e not in out]
+                if heaps[d]:
+                    heaps[d].sort()
+                    chosen.append(d)
+                    opened.append(heaps[d].pop())
+                    parents.append((opened[-1][1], int(paths[opened[-1][1]].cut[d]) + opened[-1][2], opened[-1][2]))
+            heights = uniform(seed[chosen], sample, np.array([int(paths[s].word[t] - begin[d]) for d, (s, t, _) in zip(chosen, parents, strict=True)], np.int64), np.array([int(paths[s].step[t]) for s, t, _ in parents], np.int64), 0)
+            for d, (bound, s, at, out), (_, token, _), u in zip(chosen, opened, parents, heights.tolist(), strict=True):
+                node = lat.source[paths[s].edge[token]]
+                rest = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in out]
                 mass = lat.p[rest]
-                u = float(uniform(seed[d : d + 1], sample, np.array([int(p.word[token] - begin[d])]), np.array([int(p.step[token])]), 0)[0])
                 e = rest[min(int(np.searchsorted(np.cumsum(mass), u * mass.sum(), "right")), len(rest) - 1)]
-                chosen.append(d)
-                parents.append((s, token, at))
                 where.append(e)
                 value[d] = bound
                 fork[d] = (at, (*out, e), float(lat.p[list(out)].sum() + lat.p[e]))
@@ -258,10 +310,11 @@ def sample_slice(v: Vocabulary, texts: list[str], seeds: list[int], k: int) -> l
         paths.append(path)
         own = np.diff(path.cut)
         of = np.repeat(np.arange(n_docs), own)
-        lp = lat.log_p[path.edge]
+        with np.errstate(divide="ignore"):
+            lp = np.log(lat.p[path.edge])
         run = np.concatenate([np.zeros(1), np.cumsum(lp)])
         before = run[:-1] - run[path.cut[of]]
-        rest = lat.log_rest[path.edge].copy()
+        rest = lat.log_rest(path.edge)
         if sample:
             for d in chosen:
                 at, _, mass = fork[d]
@@ -290,7 +343,7 @@ def sample_slice(v: Vocabulary, texts: list[str], seeds: list[int], k: int) -> l
             for d, t in zip(docs_hit.tolist(), hits[firsts].tolist(), strict=True):
                 at = t - int(path.cut[d])
                 forked = sample and fork[d][0] == at
-                heaps[d].append((float(bounds[t]), len(paths) - 1, at, fork[d][1] if forked else (int(path.edge[t]),), 0.0))
+                heaps[d].append((float(bounds[t]), len(paths) - 1, at, fork[d][1] if forked else (int(path.edge[t]),)))
                 bounds[t] = -np.inf
             live = docs_hit
     out = []
@@ -325,11 +378,19 @@ def _ids(v: Vocabulary, lat: Lattice, path: Path) -> Callable[[int, int], bytes]
     return lambda a, b: out[at[a] : at[b]].tobytes()
 
 
+def decoded_bytes(v: Vocabulary, samples: list[bytes]) -> list[bytes]:
+    """The texts of segmentations in UTF-8, with the model's marks for spaces."""
+    i = np.frombuffer(b"".join(samples), "<u2")
+    size = v.text_size[i]
+    end = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    flat = v.text_bytes[np.repeat(v.text_at[i] - end[:-1], size) + np.arange(int(end[-1]))].tobytes()
+    cut = end[np.cumsum([0, *(len(s) // 2 for s in samples)])].tolist()
+    return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def decode(v: Vocabulary, ids: bytes) -> str:
     """The text of a segmentation, without the space that the model puts in front."""
-    i = np.frombuffer(ids, "<u2")
-    size = v.text_size[i]
-    return v.text_bytes[np.repeat(v.text_at[i] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))].tobytes().decode("utf-8").replace(SPACE, " ")[1:]
+    return decoded_bytes(v, [ids])[0].decode("utf-8").replace(SPACE, " ")[1:]
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -357,11 +418,15 @@ def _sample(model: str, k: int) -> Callable:
                     j += 1
                 full = [x for x in range(i, j) if texts[x]]
                 got = dict(zip(full, sample_slice(v, [texts[x] for x in full], [keys[x] or 0 for x in full], k), strict=True)) if full else {}
+                back = iter(decoded_bytes(v, [s for x in full for s in got[x][0]]))
                 rows = []
                 for x in range(i, j):
                     ids, logs, values, inclusion = got.get(x, ([b""], [0.0], [0.0], [0.0]))
-                    plain = (texts[x] or "").replace(SPACE, " ")
-                    rows.append((keys[x], ids, logs, values, inclusion, all(decode(v, s) == plain for s in ids)))
+                    same = True
+                    if x in got:
+                        marked = (SPACE + texts[x].replace(" ", SPACE)).encode()
+                        same = all([next(back) == marked for _ in ids])
+                    rows.append((keys[x], ids, logs, values, inclusion, same))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
                 i = j
         trim()
