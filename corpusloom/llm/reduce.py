@@ -35,6 +35,13 @@ def total(rows: DataFrame, size: int, dtype: str = "uint32", how: str = "add") -
     """The array summed over all rows, brought to the driver: ``size`` entries, whatever the input."""
     # The rows are counted to choose the tree's width, and must not be made twice for that.
     rows, at = materialize(rows.sparkSession, rows, "partial-sums")
+    out = total_of(rows, size, dtype, how)
+    discard(rows.sparkSession, at)
+    return out
+
+
+def total_of(rows: DataFrame, size: int, dtype: str = "uint32", how: str = "add") -> np.ndarray:
+    """``total`` of rows that are a table already."""
     n = rows.count()
     fan = max(1, int((n / BLOCKS) ** 0.5))
     once = rows.withColumn("part", F.pmod("part", F.lit(fan))).groupBy("block", "part").applyInPandas(_sum(dtype, how), SCHEMA)
@@ -43,5 +50,4 @@ def total(rows: DataFrame, size: int, dtype: str = "uint32", how: str = "add") -
     pieces = np.array_split(out, BLOCKS)
     for r in twice.select("block", "data").collect():
         pieces[r[0]][:] = np.frombuffer(zlib.decompress(r[1]), dtype)
-    discard(rows.sparkSession, at)
     return out

@@ -392,3 +392,57 @@ def test_quality_rejects_each_statistic_alone(spark):
     assert not any(r.base_failed for r in got.values())
     assert [(got[i].n_dup_lines, got[i].n_repeat_words) for i in (100, 101, 102, 103)] == [(14, 0), (2, 0), (0, 24), (0, 16)]
     assert {i for i, r in got.items() if not r.kept} == {100, 102}
+
+
+def brute_force(text, item):
+    """The checks of step 4 over every span of a whole text, with a plain table for each."""
+    a, b, answer = (t.lower().split() for t in (item, text, decontaminate.answer_of(item)))
+
+    def lcs(x, y):
+        row = [0] * (len(x) + 1)
+        for w in y:
+            last = 0
+            for k, v in enumerate(x):
+                last, row[k + 1] = row[k + 1], last + 1 if v == w else max(row[k + 1], row[k])
+        return row[-1]
+
+    span = len(a) + len(a) // 4 + 1
+    for s in range(max(0, len(b) - span) + 1):
+        share = lcs(a, b[s : s + span]) / len(a)
+        if share >= decontaminate.LCS_SURE or share >= decontaminate.LCS_LIKELY and lcs(answer, b[s : s + span]) / len(answer) >= decontaminate.ANSWER:
+            return True
+    return False
+
+
+def test_decontamination_equals_all_pairs(spark):
+    """Paraphrases of every strength: what all pairs of texts and items give by plain checks, at least 0.9 of it, and nothing else."""
+    rng = random.Random(11)
+    common = ["the", "of", "and", "to", "in", "a"]
+    say = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(800)}" for _ in range(n))
+    items = [(i, f"{say(rng.randint(14, 30))}. {say(5)}.") for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = items[i % 12][1].split()
+        for k in rng.sample(range(len(w) - 5), int(rng.choice([0, 0.1, 0.2, 0.3, 0.4, 0.5]) * len(w))):
+            w[k] = say(1)
+        if i % 5 == 0:
+            w.insert(rng.randrange(len(w)), say(3))
+        docs.append((i, f"{say(rng.randint(0, 40))} {' '.join(w)} {say(rng.randint(0, 40))}"))
+    want = {(d, i) for d, text in docs for i, item in items if brute_force(text, item)}
+    found = decontaminate.contaminated(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert 30 < len(want) < 60 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_decontamination_of_short_items_and_rows(spark):
+    """Short items stand alone as a line or sentence; rows without an id, repeated rows and a very long text are judged by their text."""
+    long = "filler words here " * 30_000
+    docs = [(1, "One.\nWhat is two plus two?\nmore"), (2, "so what is two plus two? no"), (3, "Yes. what is two plus two? Four."), (None, "WHAT IS TWO PLUS TWO?"), (5, None), (5, "clean"), (5, "clean"), (6, f"{long}\nwhat is two plus two?\n{long}")]
+    benchmark = spark.createDataFrame([(1, "What is two plus two?"), (1, "What is two plus two?"), (2, "")], "item_id long, text string")
+    table = spark.createDataFrame([(i, t, {"a": 1}, t) for i, t in docs], "doc_id long, text string, m map<string,int>, item_id string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, table, benchmark).collect()) == [(1, 1), (3, 1), (6, 1)]
+    left = decontaminate.uncontaminated(spark, table, benchmark)
+    assert left.columns == table.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([docs[1], (5, None), (5, "clean"), (5, "clean")])
+    assert decontaminate.uncontaminated(spark, table, benchmark.limit(0)).count() == len(docs)
+    assert decontaminate.uncontaminated(spark, table.limit(0), benchmark).count() == 0
