@@ -225,25 +225,42 @@ def learn(docs: DataFrame) -> tuple[list[str], Weights | None]:
     return langs, train(windows, np.array([len(p) for p in pieces]), np.array([at[x] for x in rows["lang"].to_pylist()]), len(langs))
 
 
+def _judged(net: Network, langs: list[str], text: pa.Array) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and share of labels of each text."""
+    raw, offs = column_bytes(text)
+    chance, labels = net.documents(raw, offs)
+    best = chance.argmax(axis=1)
+    said, score, share = [], [], []
+    for i, t in enumerate(text.to_pylist()):
+        known = t is not None and any(map(str.isalpha, t))
+        said.append(langs[best[i]] if known else UNKNOWN)
+        score.append(min(1.0, float(chance[i, best[i]])) if known else 0.0)
+        share.append(float(labels[i, best[i]]) if known else 0.0)
+    return said, score, share
+
+
 def _predict(langs: list[str], weights: Weights) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(weights)
         for b in batches:
-            raw, offs = column_bytes(b.column(1))
-            chance, labels = net.documents(raw, offs)
-            best = chance.argmax(axis=1)
-            said, score, share = [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                known = text is not None and any(map(str.isalpha, text))
-                said.append(langs[best[i]] if known else UNKNOWN)
-                score.append(min(1.0, float(chance[i, best[i]])) if known else 0.0)
-                share.append(float(labels[i, best[i]]) if known else 0.0)
+            said, score, share = _judged(net, langs, b.column(1))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "held_out": b.column(2), "lang_pred": said, "score": pa.array(score, pa.float64()), "label_share": pa.array(share, pa.float64())})
         trim()
 
     return run
 
 
+def _confident(langs: list[str], weights: Weights, text: int, least: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(weights)
+        for b in batches:
+            said, score, _ = _judged(net, langs, b.column(text))
+            yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(said, score, strict=True)], pa.bool_()))
+        trim()
+
+    return run
+
+
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, label_share of docs(doc_id, text, lang); label_share is the part of positions labelled as predicted."""
     ship(spark)
@@ -252,3 +269,17 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if weights is None:
         return source.select("doc_id", held_out().alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("label_share"))
     return source.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_predict(langs, weights), RESULT)
+
+
+def confident(spark: SparkSession, docs: DataFrame, lift: float = 1.2) -> DataFrame:
+    """The rows of docs, all its columns, whose language is known: a text with a letter, of which the best of n languages is ``lift`` times as probable as a guess of 1 / n.
+
+    Decided row by row where the text is read, so rows without an id or with equal ids do not matter. With one language only texts without a letter go; where there is
+    nothing to learn from, all do.
+    """
+    ship(spark)
+    langs, weights = learn(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")))
+    if weights is None:
+        return docs.where(F.lit(False))
+    least = lift / len(langs) if len(langs) > 1 else 0.0
+    return docs.mapInArrow(_confident(langs, weights, docs.columns.index("text"), least), docs.schema)

@@ -32,7 +32,7 @@ from pyspark.taskcontext import TaskContext
 from corpusloom.llm import reduce
 from corpusloom.llm.bytetext import chained, column_bytes, mix, shingle_sets, slices
 from corpusloom.llm.graph import EDGES, Forest, components
-from corpusloom.llm.runtime import discard, materialize, partitions, salted_join, ship, trim
+from corpusloom.llm.runtime import discard, materialize, numbered, partitions, salted_join, ship, trim
 
 SKETCH_BITS = 22
 BLOOM_BITS = 24
@@ -449,3 +449,24 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     result, _ = materialize(spark, out, "jaccard")
     discard(spark, *paths, final_at)
     return result
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, all its columns, less all but one of each group of linked rows: that of the smallest doc_id stays, rows without one after the others.
+
+    Rows are told apart by their place in the table, so repeated rows are linked like other equal texts, and rows without a doc_id or with equal ones are judged each.
+    Rows without words are linked with nothing and stay. An empty table stays empty. No column's name matters but those of doc_id and text.
+    """
+    rows, rows_at = numbered(spark, docs, "rows")
+    found = jaccard_components(spark, rows.select(F.col("number").alias("doc_id"), "row.text"), n, percent)
+    groups = found.where("component_id <> doc_id").select(F.col("component_id").alias("c")).distinct()
+    # Of all rows of a group, counted map-side; a group's rows never meet in one task.
+    members = salted_join(found.select(F.col("component_id").alias("c"), F.col("doc_id").alias("number")), groups, ["c"], ["number"])
+    ids = rows.select("number", F.col("row.doc_id").cast("long").alias("id"))
+    seats = members.join(ids.hint("merge"), "number").select("c", F.struct(F.col("id").isNull().alias("none"), "id", "number").alias("seat"))
+    seats, seats_at = materialize(spark, seats, "seats")
+    first = seats.groupBy("c").agg(F.min("seat").alias("first"))
+    gone, gone_at = materialize(spark, salted_join(seats, first, ["c"], ["seat"]).where(F.col("seat") != F.col("first")).select("seat.number"), "gone")
+    discard(spark, seats_at)
+    # Both sides grow with the input, so the join is sorted at every size.
+    return rows.join(gone.hint("merge"), "number", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,31 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def settle(spark: SparkSession) -> None:
+    """Frees what finished queries hold on the driver; Spark's cleaner then removes their shuffle files and broadcasts."""
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
+def numbered(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, str | None]:
+    """(row, number): the rows of docs as one column, so that no name can clash, and a number of each that is equal in every scan: its file's place among the table's files, and its place there.
+
+    docs read straight from Parquet files is numbered as it is; anything else is written first, and that table's path is returned for ``discard``.
+    """
+    path, place = None, (F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+    try:
+        straight = bool(docs.inputFiles()) and bool(docs.select(*place).schema)
+    except AnalysisException:  # made from files by more than reading them
+        straight = False
+    if not straight:
+        docs, path = materialize(spark, docs, name)
+    # One row per file.
+    files = [r[0] for r in docs.select(place[0]).distinct().sort("path").collect()]
+    listed = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "file string, place long")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *place)
+    return own.join(F.broadcast(listed), F.col("path") == F.col("file")).select("row", (F.shiftleft("place", 40) + F.col("at")).alias("number")), path
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
