@@ -12,28 +12,23 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, language_id, line_dedup, ngram_join, piece_lattice
 from corpusloom.llm.queries import SEGMENTATIONS, tokenizer_path
-from corpusloom.llm.runtime import materialize, table
-
-#: A mean probability below this is no better than a guess among the learnt languages.
-MIN_LANGUAGE_SCORE = 0.3
+from corpusloom.llm.runtime import discard, materialize, settle, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in ids(doc_id); rows without a doc_id stay."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language is as good as unknown, go."""
-    found = language_id.identify(spark, docs)
-    return _without(docs, found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE)))
+    """Documents without a letter go, and those of whose languages the best is hardly more probable than a guess. Each row is judged by its text alone."""
+    settle(spark)
+    return language_id.confident(spark, docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go from every document."""
+    """Lines found in ten documents or more go from every document; n_chars follows.
+
+    Rows of equal doc_id count as one document, rows without one together as one; each loses its own lines. A text that loses no line stays as it is, null included.
+    """
+    settle(spark)
     marked = line_dedup.with_bitmaps(spark, docs)
     kept = marked.withColumn("text", F.when(F.col("keep_runs").isNull(), F.col("text")).otherwise(line_dedup.kept_text(F.col("text"), F.col("keep_runs"))))
     if "n_chars" in docs.columns:
@@ -42,18 +37,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: the smallest doc_id. Documents without words are linked with nothing and stay."""
-    found = ngram_join.jaccard_components(spark, docs)
-    return _without(docs, found.where(F.col("component_id") != F.col("doc_id")))
+    """One row of each group of linked ones stays, that of the smallest doc_id; repeated rows and rows without a doc_id are told apart by their place in the table.
+
+    Rows without words are linked with nothing and stay.
+    """
+    settle(spark)
+    return ngram_join.one_of_each(spark, docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or a paraphrase of one, go."""
-    return _without(docs, decontaminate.contaminated(spark, docs, table(spark, sf_dir, "benchmark")))
+    """Rows whose text holds a benchmark item, or a paraphrase of one, go; those of null or empty texts stay."""
+    settle(spark)
+    return decontaminate.uncontaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document that is left."""
+    """Sampled segmentations of every row that is left; a null or empty text has one, of no pieces."""
+    settle(spark)
     return piece_lattice.sampled_segmentations(spark, docs, tokenizer_path("piece_bpe_32k.model"), SEGMENTATIONS)
 
 
@@ -70,8 +70,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's table is removed when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = materialize(spark, stage(spark, docs, sf_dir), "stage-" + "".join(c if c.isalnum() else "-" for c in name.lower()))
+        docs, path = materialize(spark, stage(spark, docs, sf_dir), "stage-" + "".join(c if c.isalnum() else "-" for c in name.lower()))
+        if before:
+            discard(spark, before)
+        before = path
     return docs
