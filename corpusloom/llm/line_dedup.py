@@ -1,10 +1,10 @@
 """Line dedup with DataFrame functions only.
 
-A line's key is the line without ASCII white space at its ends and with A-Z lower-cased, held as two 64-bit hashes. Documents are
-counted per key with map-side sums, so a line of every document costs a row per task. The occurrences of keys found in at
-least ``min_docs`` documents are range-partitioned by hash, with a salt from the document so that a frequent key spans
-partitions, and sorted by document and position; each run's first occurrence is streamed off its head and the heads of a key's salts are
-merged by a minimum. What is returned per document is a run-length compressed keep bitmap, not text.
+A line's key is the line without ASCII white space at its ends and with A-Z lower-cased, held as two 64-bit hashes. The occurrences of
+all lines are written once, range-partitioned by hash and document, so that a frequent key spans as many partitions as its share of the rows, and sorted by
+hash, document and position. Down each run the first occurrence of a key in a document is streamed off; these alone are counted, map-side, as
+the documents of a key, and the least of them is the key's first occurrence of all. Keys found in at least ``min_docs`` documents meet their
+occurrences again by a join that deals frequent keys to tasks in proportion to their rows. What is returned per document is a run-length compressed keep bitmap, not text.
 
 Null and empty texts are one empty line, whose key has no code points and which is never dropped unless ``min_chars`` is 0. Rows that repeat a
 doc_id count as one document; each keeps its own bitmap, by its text. Rows without a doc_id count as one document together.
@@ -18,11 +18,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.runtime import partitions
+from corpusloom.llm.runtime import balanced_join, discard, materialize, partitions
 
 #: ASCII white space.
 BLANKS = " \t\n\x0b\f\r"
-SALTS = 16
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -59,18 +58,19 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, min_
 
     ``keep_first`` leaves the first occurrence of each key, by document and position.
     """
-    found = occurrences(docs, min_chars)
-    counts = found.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    salted = counts.select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    hit = found.withColumn("salt", F.pmod(F.coalesce(F.xxhash64("doc_id", "text_id"), F.lit(0)), F.lit(SALTS))).join(salted, ["h1", "h2", "salt"])
-    ordered = hit.repartitionByRange(partitions(spark), "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
+    found, found_at = materialize(spark, occurrences(docs, min_chars), "lines")
+    ordered = found.repartitionByRange(partitions(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos", "text_id")
+    seat = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("pos", "text_id"))
+    each = ordered.withColumn("first", seat == 1).groupBy("h1", "h2").agg(
+        F.count_if("first").alias("n_docs"), F.count(F.lit(1)).alias("n"), *([F.min(F.when(F.col("first"), F.struct("doc_id", "pos", "text_id"))).alias("head")] if keep_first else [])
+    )
+    counts, counts_at = materialize(spark, each.where(F.col("n_docs") >= min_docs).drop("n_docs"), "frequent-lines")
+    hit = balanced_join(found, counts, ["h1", "h2"], ["doc_id", "text_id", "pos"], "n")
     if keep_first:
-        stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos", "text_id")
-        heads = ordered.withColumn("seat", F.row_number().over(stream))
-        firsts = heads.where("seat = 1").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "text_id")).alias("first"))
-        firsts = firsts.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-        ordered = heads.join(firsts, ["h1", "h2", "salt"]).where(~F.struct("doc_id", "pos", "text_id").eqNullSafe(F.col("first")))
-    return ordered.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+        hit = hit.where(~F.struct("doc_id", "pos", "text_id").eqNullSafe(F.col("head")))
+    marks, _ = materialize(spark, hit.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped")), "marks")
+    discard(spark, found_at, counts_at)
+    return marks
 
 
 def _kept_runs(dropped: Column, n_lines: Column) -> Column:

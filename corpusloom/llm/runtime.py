@@ -76,6 +76,31 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+#: Keys that balanced_join deals out: those with more than this part of all rows, so there are at most so many.
+SHARE = 1000
+
+
+def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], count: str, how: str = "inner") -> DataFrame:
+    """left joined with right, a table of one row per key, whose column ``count`` is the number of left's rows of that key, less that column.
+
+    A key of more than one in ``SHARE`` of these rows goes to tasks in proportion to its rows, by left's columns ``spread``; the list of such keys, of at most ``SHARE`` entries
+    whatever the input, is broadcast. No other key holds more than one in ``SHARE``. Keys are never null in right.
+    """
+    spark = left.sparkSession
+    total = right.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    parts = max(partitions(spark), 16)
+    hot = F.col(count) * SHARE > total
+    salts = F.when(hot, F.ceil(F.col(count) * F.lit(parts) / F.lit(max(total, 1)))).otherwise(1).cast("long")
+    listed = right.where(hot).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], salts.alias("_salts"))
+    dealt = left
+    for k in keys:
+        dealt = dealt.withColumn(f"_key_{k}", F.col(k))
+    dealt = dealt.join(F.broadcast(listed), [F.col(f"_key_{k}") == F.col(f"_hot_{k}") for k in keys], "left")
+    dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0))).drop("_salts", *[f"_{a}_{k}" for k in keys for a in ("key", "hot")])
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop(count)
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def settle(spark: SparkSession) -> None:
     """Frees what finished queries hold on the driver; Spark's cleaner then removes their shuffle files and broadcasts."""
     trim()
