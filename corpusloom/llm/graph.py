@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.runtime import discard, materialize
+from corpusloom.llm.runtime import discard, materialize, salted_join
 
 ROUNDS = 60
 
@@ -77,9 +77,10 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> tuple[DataFr
     for _ in range(ROUNDS):
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # A centre's edges are dealt to several tasks.
+        large = salted_join(both, least, ["u"], ["v"], salts=8).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smaller = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smaller, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = salted_join(large, smaller, ["u"], ["v"], salts=8).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after, path = materialize(spark, small, f"{name}-edges")
         # A round that finds only stars (every node has one edge, no centre is a leaf) has nothing left to join.
         leaves = after.groupBy("u").count()

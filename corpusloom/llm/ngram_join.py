@@ -423,7 +423,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     node = groups.withColumnRenamed("node", "doc_id")
     sizes = grams.select("doc_id", (F.length("grams") / 8).alias("size"))
     weights = sizes.join(node.hint("merge"), "doc_id").groupBy("component").agg(F.sum("size").alias("weight"))
-    placed, placed_at = materialize(spark, node.join(weights.hint("merge"), "component").select("doc_id", "component", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")), "placed")
+    placed, placed_at = materialize(spark, salted_join(node, weights.hint("merge"), ["component"], ["doc_id"]).select("doc_id", "component", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")), "placed")
     discard(spark, groups_at)
     sets = grams.join(placed.hint("merge"), "doc_id")
     bins = max(partitions(spark), 1 + int(load // BLOCK))
