@@ -1,7 +1,7 @@
 """WARC archives in Zstandard frames: one frame per record, after a leading skippable frame that holds the dictionary.
 
 Writing: equal payloads are found by SHA-256 with a map-side minimum of page_id; each record goes to a file of about ``FILE_BYTES`` of records. A task
-trains the dictionary of its files on the records of its first file, at most ``TRAIN_BYTES`` of them.
+trains the dictionary of its files on ``TRAIN_BYTES`` of the records of its first file and on made-up records of the same form, so every archive has one, however few its pages.
 Reading: the leading frame is loaded as the dictionary (plain or itself compressed), frames are decoded one by one, and each record's version, headers, block length and
 end, HTTP length and, for responses, payload digest are checked. Any fault raises ``WarcError``.
 
@@ -23,12 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from corpusloom.llm.files import open_input, write_whole
-from corpusloom.llm.runtime import materialize, partitions, scratch_path, ship
+from corpusloom.llm.runtime import balanced_join, materialize, partitions, scratch_path, ship
 
 SKIPPABLE = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 FILE_BYTES, TRAIN_BYTES, DICT_BYTES, LEVEL = 8 << 20, 1 << 20, 16 << 10, 3
-SALTS = 16
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -61,27 +60,31 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     return record(headers, http + (payload if refers_to is None else b""))
 
 
+def _own_form() -> list[bytes]:
+    """Records of this module's form, so that a dictionary can be trained for any number of pages."""
+    page = "<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{0}</title></head><body><div class=\"{1}\"><p>{0}</p><a href=\"/{1}\">{1}</a></div></body></html>"
+    out = []
+    for i in range(64):
+        payload = page.format(hashlib.sha256(b"%d" % i).hexdigest(), f"page-{i * i}").encode()
+        out.append(page_record(i, f"http://host{i}/{i * 7919}", payload, hashlib.sha256(payload).hexdigest(), i if i % 8 == 7 else None))
+    return out
+
+
 def trained(records: list[bytes]) -> bytes:
-    """A dictionary from records; empty where they are too few or too small to train one."""
-    sample, held = [], 0
+    """A dictionary from ``TRAIN_BYTES`` of the records and some of this module's own form."""
+    sample, held = _own_form(), 0
     for r in records:
         sample.append(r[:65536])
         held += len(sample[-1])
         if held >= TRAIN_BYTES:
             break
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, sample, k=256, d=8).as_bytes() if len(sample) >= 8 else b""
-    except zstandard.ZstdError:
-        return b""
+    return zstandard.train_dictionary(DICT_BYTES, sample, k=256, d=8).as_bytes()
 
 
 def archive(records: list[bytes], dictionary: bytes) -> list[bytes]:
-    out = []
-    if dictionary:
-        packed = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary)
-        out += [SKIPPABLE.to_bytes(4, "little"), len(packed).to_bytes(4, "little"), packed]
-    made = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True)
-    return out + [made.compress(r) for r in records]
+    packed = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary)
+    made = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
+    return [SKIPPABLE.to_bytes(4, "little"), len(packed).to_bytes(4, "little"), packed, *[made.compress(r) for r in records]]
 
 
 def frames(source, chunk: int = 1 << 16) -> Iterator[bytes]:
@@ -208,9 +211,8 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.sha2(payload, 256).alias("digest"), F.length(payload).alias("size"))
     small = own.where(F.col("size") >= least).select("page_id", "digest")
-    firsts = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("page_id").alias("n")).where("n > 1")
-    salted = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    later = small.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).join(salted, ["digest", "salt"]).where("page_id > first")
+    firsts, _ = materialize(pages.sparkSession, small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("page_id").alias("n")).where("n > 1"), "payloads")
+    later = balanced_join(small.where("page_id is not null"), firsts, ["digest"], ["page_id"], "n").where("page_id > first")
     marks = later.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
     joined = own.join(marks, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left")
     return joined.select("page_id", "url", "html", "digest", "refers_to")
