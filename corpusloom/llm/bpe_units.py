@@ -25,6 +25,12 @@ _NEAR = re.compile(f"[{WHITE}][ \\n.,]|[ \\n][{WHITE}]|[^0-9A-Za-z\xc0-\xd6\xd8-
 _WORD = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 _STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
+# The same by kinds of UTF-8 bytes: s is " " or "\n", w other white space, p "." or ",", a part of a letter or digit of the plain Latin range, o other ASCII, x what only _NEAR can tell.
+_KINDS = bytes(
+    ord("s" if c in b" \n" else "w" if c in b"\t\x0b\x0c\r" else "p" if c in b".," else "x" if c == 1 or c == 0xC2 or c > 0xC8 else "a" if c > 0x7F or chr(c).isalnum() else "o") for c in range(256)
+)
+_UNCUT = (b"ss", b"sp", b"ws", b"wp", b"sw", b"op", b"pp")
+_SIGNS = ("\xd7".encode(), "\xf7".encode())
 #: Remembered stretches, and their most characters: longer ones are rare and would make the memory's size depend on the texts.
 LIMIT, LONGEST = 300_000, 64
 
@@ -55,6 +61,15 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def uncut(text: str) -> bool:
+    """Whether a text may not simply be cut before each of " ", "\n", "." and ","."""
+    raw = text.encode()
+    kinds = raw.translate(_KINDS)
+    if b"x" in kinds or any(x in raw for x in _SIGNS):
+        return _NEAR.search(text) is not None
+    return kinds[:1] == b"p" or any(x in kinds for x in _UNCUT)
+
+
 class ByteBpe:
     """ids(text) as little-endian bytes of ``dtype``, equal to encode(text, add_special_tokens=False).ids."""
 
@@ -103,7 +118,7 @@ class ByteBpe:
     def ids(self, text: str) -> bytes:
         if any(a in text for a in self.added):
             return self._pack(self.library.encode(text, add_special_tokens=False).ids)
-        if _NEAR.search(text):
+        if uncut(text):
             return b"".join(map(self.memo.__getitem__, _STRETCH.findall(text)))
         cut = text.replace(" ", "\x01 ").replace(".", "\x01.").replace(",", "\x01,").replace("\n", "\x01\n").split("\x01")
         return b"".join(map(self.memo.__getitem__, cut if cut[0] else cut[1:]))

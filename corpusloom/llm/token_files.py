@@ -2,7 +2,7 @@
 
 A monotone sequence of n values below u takes about 2 + log2(u / n) bits each: the low bits are stored as they are, the
 high bits in unary in a bit vector, and a directory of every ``SAMPLE``-th set bit answers select(i), so that any document's offset
-is found without a table of 64-bit offsets. Document ids are coded the same way, relative to the file's first.
+is found without a table of 64-bit offsets; reading a whole file selects between one directory entry and the next. Document ids are coded the same way, relative to the file's first.
 
 File: magic, a JSON header with the places of its sections, ids (16 bits where the vocabulary allows, else 32), boundaries, document ids.
 Documents are range-partitioned and sorted by doc_id (nulls first), each task writes files of at most ``FILE_IDS`` ids (a longer document has its own file),
@@ -78,14 +78,23 @@ class EliasFano:
     def __getitem__(self, i: int) -> int:
         return ((self.select(i) - i) << self.low_bits) | self._low(i)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
-        out = (ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low_bits)
-        if self.low_bits and self.n:
-            low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
-            out |= (low << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    def run(self, k: int) -> np.ndarray:
+        """The values of directory entry k: select(i) of SAMPLE neighbours at once, from the bits between two entries."""
+        first, n = k * SAMPLE, min(SAMPLE, self.n - k * SAMPLE)
+        begin = int(self.directory[k])
+        stop = int(self.directory[k + 1]) if k + 1 < len(self.directory) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[begin // 8 : (stop + 7) // 8], bitorder="little")
+        ones = np.flatnonzero(bits[begin % 8 :])[:n] + begin
+        out = (ones - np.arange(first, first + n)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            a = first * self.low_bits
+            low = np.unpackbits(self.low[a // 8 : (a + n * self.low_bits + 7) // 8], bitorder="little")[a % 8 :][: n * self.low_bits]
+            out |= low.reshape(n, self.low_bits).astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
         return out
 
+    def all(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *map(self.run, range(-(-self.n // SAMPLE)))])
+
     def sections(self) -> tuple[dict, list[bytes]]:
         parts = [self.low.tobytes(), self.high.tobytes(), self.directory.tobytes()]
         return {"n": self.n, "low_bits": self.low_bits, "wide": self.directory.dtype == np.uint64, "bytes": [len(p) for p in parts]}, parts
@@ -132,8 +141,24 @@ class TokenFile:
     def tokens(self, i: int) -> np.ndarray:
         return self.ids[self.ends[i - 1] if i else 0 : self.ends[i]]
 
-    def all_ids(self) -> list[int | None]:
-        return [None] * self.head["nulls"] + (self.names.all().view(np.int64) + self.head["base"]).tolist()
+    def runs(self) -> Iterator[tuple[list[int | None], np.ndarray]]:
+        """Document ids, and their offsets and the last one's end, of SAMPLE documents at a time."""
+        nulls, names, known = self.head["nulls"], [], -1
+        end = 0
+        for k in range(-(-len(self) // SAMPLE)):
+            ends = self.ends.run(k).astype(np.int64)
+            ids: list[int | None] = []
+            for i in range(k * SAMPLE, k * SAMPLE + len(ends)):
+                if i < nulls:
+                    ids.append(None)
+                    continue
+                j = i - nulls
+                if j // SAMPLE != known:
+                    known = j // SAMPLE
+                    names = (self.names.run(known).view(np.int64) + self.head["base"]).tolist()
+                ids.append(names[j % SAMPLE])
+            yield ids, np.concatenate([np.array([end], np.int64), ends])
+            end = int(ends[-1])
 
 
 def _writer(path: str, tokenizer: str, end_id: int) -> Callable:
@@ -146,22 +171,24 @@ def _writer(path: str, tokenizer: str, end_id: int) -> Callable:
         names: list[int | None] = []
         lengths: list[int] = []
         held: list[bytes] = []
+        total = 0
 
         def close() -> pa.RecordBatch:
             at = f"{path}/part-{part:06d}-{seq:06d}.tok"
             write_whole(at, pack_file(names, lengths, held, width))
-            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((at, part, seq, len(names), sum(lengths)), schema, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((at, part, seq, len(names), total), schema, strict=True)], schema=schema)
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = bpe.ids(text or "") + end
                 k = len(data) // width
-                if names and sum(lengths) + k > FILE_IDS:
+                if names and total + k > FILE_IDS:
                     yield close()
-                    names, lengths, held, seq = [], [], [], seq + 1
+                    names, lengths, held, seq, total = [], [], [], seq + 1, 0
                 names.append(doc_id)
                 lengths.append(k)
                 held.append(data)
+                total += k
         if names:
             yield close()
 
@@ -172,11 +199,18 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             f = TokenFile(path)
-            ends = f.ends.all().astype(np.int64)
-            starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
-            wide = f.ids.astype("<u4")
-            sums = [zlib.crc32(wide[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(f.all_ids(), pa.int64()), "start": pa.array(starts + base), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(sums, pa.int64())})
+            ids: list[int | None] = []
+            starts: list[np.ndarray] = []
+            sizes: list[np.ndarray] = []
+            sums: list[int] = []
+            for some, at in f.runs():
+                wide = f.ids[at[0] : at[-1]].astype("<u4")
+                cut = (at - at[0]).tolist()
+                ids += some
+                starts.append(at[:-1] + base)
+                sizes.append(np.diff(at))
+                sums += [zlib.crc32(wide[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(np.concatenate(starts)), "n_tokens": pa.array(np.concatenate(sizes)), "ids_crc32": pa.array(sums, pa.int64())})
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int) -> DataFrame:

@@ -131,6 +131,7 @@ def test_token_files(spark, docs, none):
 def test_elias_fano(values):
     e = token_files.EliasFano.of(np.array(values, np.int64))
     assert e.all().tolist() == values
+    assert [x for k in range(-(-len(values) // token_files.SAMPLE)) for x in e.run(k).tolist()] == values
     assert [e[i] for i in range(0, len(values), max(1, len(values) // 50))] == values[:: max(1, len(values) // 50)]
 
 
@@ -141,6 +142,64 @@ def test_token_file_random_access(tmp_path):
     assert [f.doc_id(i) for i in range(3)] == [None, 3, 900] and [f.tokens(i).tolist() for i in range(3)] == [[1, 2, 3], [], [4]]
 
 
+def test_token_files_roll_over(spark, docs, tmp_path, monkeypatch):
+    """Many small files give the offsets of one; a document longer than a file's size has its own."""
+    whole = sorted(map(repr, token_files.token_files(spark, docs, tokenizer_path("byte_bpe_50k.json"), 2).collect()))
+    monkeypatch.setattr(token_files, "FILE_IDS", 50)
+    monkeypatch.setattr(token_files, "SAMPLE", 3)
+    ids = [None, None, *range(7), 1 << 40]
+    data = [np.arange(k % 4 + (60 if k == 5 else 0), dtype="<u2").tobytes() for k in range(len(ids))]
+    (tmp_path / "f").write_bytes(b"".join(token_files.pack_file(ids, [len(x) // 2 for x in data], data, 2)))
+    f = token_files.TokenFile(str(tmp_path / "f"))
+    got = [(i, int(a), int(b)) for some, at in f.runs() for i, a, b in zip(some, at[:-1], at[1:], strict=True)]
+    ends = np.cumsum([len(x) // 2 for x in data]).tolist()
+    assert got == list(zip(ids, [0, *ends[:-1]], ends, strict=True)) and [f.doc_id(k) for k in range(len(f))] == ids
+
+    def small(batches):
+        token_files.FILE_IDS = 50
+        yield from token_files._writer(str(tmp_path / "t"), tokenizer_path("byte_bpe_50k.json"), 2)(batches)
+
+    source = docs.select("doc_id", "text").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id", "text")
+    manifest = source.mapInArrow(small, token_files.MANIFEST).toPandas().sort_values(["part", "seq"])
+    manifest["base"] = manifest["n_ids"].cumsum() - manifest["n_ids"]
+    assert len(manifest) > 10
+    assert sorted(map(repr, token_files.read_token_files(spark.createDataFrame(manifest), 2).collect())) == whole
+
+
+def test_texts_that_may_be_cut():
+    from corpusloom.llm import bpe_units
+
+    rng = random.Random(9)
+    alphabet = [*"ab1  \n.,'é×÷ßɏɐ·\x1c\t\r\x85\x01中-", "\u2028"]
+    for _ in range(20_000):
+        t = "".join(rng.choices(alphabet[: rng.choice([8, 14, len(alphabet)])], k=rng.randint(0, 7)))
+        assert bpe_units.uncut(t) == (bpe_units._NEAR.search(t) is not None), repr(t)
+
+
+def test_warc_has_a_dictionary_however_few_its_records():
+    import io
+
+    for n in (0, 1, 7):
+        records = [warc.page_record(i, None, b"x" * i, hashlib.sha256(b"x" * i).hexdigest(), None) for i in range(n)]
+        data = b"".join(warc.archive(records, warc.trained(records)))
+        assert int.from_bytes(data[:4], "little") == warc.SKIPPABLE and list(warc.frames(io.BytesIO(data))) == records
+
+
+def test_warc_rolls_over(spark, monkeypatch, tmp_path):
+    """Files of one task; the smallest page_id of a payload, given twice, is a response both times."""
+    pages = spark.createDataFrame([(i % 50, f"http://h/{i}", "y" * 300 if i % 3 == 0 else f"{i} " * 90) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+
+    def small(batches):
+        warc.FILE_BYTES = 2000
+        yield from warc._writer(str(tmp_path / "w"))(batches)
+
+    manifest = warc.with_revisits(pages).coalesce(1).mapInArrow(small, "path string, records long")
+    rows = warc.read_archives(spark.createDataFrame(manifest.collect(), manifest.schema), 2).collect()
+    assert len(list((tmp_path / "w").iterdir())) > 5 and len(rows) == 60
+    assert {r.record_type for r in rows if r.page_id == 0} == {"response"}
+    assert {(r.page_id, r.refers_to) for r in rows if r.record_type == "revisit"} == {(i % 50, 0) for i in range(0, 60, 3) if i % 50}
+
+
 def test_token_counts(spark, docs, none):
     import sentencepiece
 
