@@ -2,7 +2,8 @@
 
 Each document that passes the base rules gives a vector of four transformed statistics. For every (lang, source) a
 minimum-covariance-determinant estimate is made by concentration steps: the three quarters of the group with the smallest
-Mahalanobis distances give the next mean and covariance. The quantile comes from counts in logarithmic bins and the moments from integer sums of
+Mahalanobis distances give the next mean and covariance. Steps start from the classical estimate, from medians with median absolute deviations, and from medians with
+the least deviations alone, as a classical start that outliers have moved may never leave them; after ``TRIALS`` steps the start of the least determinant goes on. The quantile comes from counts in logarithmic bins and the moments from integer sums of
 fixed-point values, so both combine map-side, no group meets in one task, and the result does not depend on partitioning. A
 document is rejected when its squared distance from its group's last estimate exceeds ``CUTOFF``, or when one statistic alone, measured by its own
 spread in the group's core with the smaller floor of ``ALONE``, does.
@@ -31,7 +32,8 @@ ALONE = (0.12, 0.9, 1.05, 0.95)
 MIN_GROUP = 20
 #: Stands for all languages or sources in the key of a pool; keys of groups are empty or begin with "=".
 POOL = "*"
-STEPS = 6
+STEPS, TRIALS = 6, 3
+MAD = 1.4826
 BINS_PER_OCTAVE = 16
 #: A share of 3/4 of a 4-dimensional normal has a covariance smaller by this factor: 0.75 / P(chi2_6 <= q), q the 0.75 quantile of chi2_4.
 CONSISTENCY = 1.485
@@ -100,7 +102,7 @@ def _estimates(points: DataFrame, first: bool) -> DataFrame:
         sums[f"s{i}"] = F.sum(F.col(FEATURES[i])).cast("double")
         for j in range(i + 1):
             sums[f"s{i}{j}"] = F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("double")
-    g = points.groupBy("g_lang", "g_source").agg(*[v.alias(n) for n, v in sums.items()])
+    g = points.groupBy("start", "g_lang", "g_source").agg(*[v.alias(n) for n, v in sums.items()])
     g = g.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") / SCALE for i in range(k)})
     cov = {}
     for i in range(k):
@@ -119,7 +121,36 @@ def _estimates(points: DataFrame, first: bool) -> DataFrame:
             for a in range(j):
                 e = e - F.col(f"l{i}{a}") * F.col(f"l{j}{a}")
             g = g.withColumn(f"l{i}{j}", e / F.col(f"l{j}{j}"))
-    return g.select("g_lang", "g_source", *[f"m{i}" for i in range(k)], *[f"l{i}{j}" for i in range(k) for j in range(i + 1)])
+    return g.select(*_columns())
+
+
+def _columns() -> list[str]:
+    k = len(FEATURES)
+    return ["start", "g_lang", "g_source", *[f"m{i}" for i in range(k)], *[f"l{i}{j}" for i in range(k) for j in range(i + 1)]]
+
+
+def _robust_starts(points: DataFrame) -> DataFrame:
+    """Starts 1 and 2: medians, with median absolute deviations and with floors only. Values are fixed-point numbers of a small range, so a median comes from counts of bounded number."""
+    k = len(FEATURES)
+    middle = points.groupBy("g_lang", "g_source").agg(*[F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(FEATURES)])
+    apart = salted_join(points, middle, ["g_lang", "g_source"], list(FEATURES))
+    spread = apart.groupBy("g_lang", "g_source").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(k)], *[F.percentile(F.abs(F.col(x) - F.col(f"m{i}")), F.lit(0.5)).alias(f"s{i}") for i, x in enumerate(FEATURES)])
+    both = spread.withColumn("start", F.explode(F.array(F.lit(1), F.lit(2))))
+    made = {f"m{i}": F.col(f"m{i}") / SCALE for i in range(k)}
+    for i in range(k):
+        for j in range(i):
+            made[f"l{i}{j}"] = F.lit(0.0)
+        made[f"l{i}{i}"] = F.sqrt(F.when(F.col("start") == 1, (MAD * F.col(f"s{i}") / SCALE) ** 2).otherwise(0.0) + FLOORS[i] ** 2)
+    return both.withColumns(made).select(*_columns())
+
+
+def _least(estimates: DataFrame) -> DataFrame:
+    """Of each group's starts, that of the least determinant; the first of equals."""
+    determinant = F.lit(1.0)
+    for i in range(len(FEATURES)):
+        determinant = determinant * F.col(f"l{i}{i}")
+    best = estimates.groupBy("g_lang", "g_source").agg(F.min(F.struct(determinant.alias("determinant"), *[c for c in _columns() if c[:2] != "g_"])).alias("best"))
+    return best.select("g_lang", "g_source", "best.*").select(*_columns())
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -167,17 +198,21 @@ def outliers(spark: SparkSession, counts: DataFrame) -> DataFrame:
     judges, judged = materialize(spark, _judges(points), "judges")
     entered = salted_join(points, judges, ["g_lang", "g_source"], list(FEATURES)).select(F.explode("also").alias("k"), *FEATURES)
     points, members = materialize(spark, entered.select(F.col("k.lang").alias("g_lang"), F.col("k.source").alias("g_source"), *FEATURES), "members")
-    now, at = materialize(spark, _estimates(points, True), "mcd")
-    for _ in range(STEPS):
+    starts = _estimates(points.withColumn("start", F.lit(0)), True).union(_robust_starts(points))
+    now, at = materialize(spark, starts, "mcd")
+    keys = ["start", "g_lang", "g_source"]
+    for step in range(STEPS):
         near = _distance(salted_join(points, now, ["g_lang", "g_source"], list(FEATURES))).withColumn("bin", _bin(F.col("d2")))
-        bins = near.groupBy("g_lang", "g_source", "bin").agg(F.count(F.lit(1)).alias("k"))
-        each = Window.partitionBy("g_lang", "g_source")
+        bins = near.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("k"))
+        each = Window.partitionBy(*keys)
         ranked = bins.withColumns({"upto": F.sum("k").over(each.orderBy("bin")), "all": F.sum("k").over(each)})
-        edge = ranked.where(4 * F.col("upto") >= 3 * F.col("all")).groupBy("g_lang", "g_source").agg(F.min("bin").alias("edge"))
-        core = salted_join(near, edge, ["g_lang", "g_source"], list(FEATURES)).where("bin <= edge")
-        after, path = materialize(spark, _estimates(core, False), "mcd")
+        edge = ranked.where(4 * F.col("upto") >= 3 * F.col("all")).groupBy(*keys).agg(F.min("bin").alias("edge"))
+        core = salted_join(near, edge, keys, list(FEATURES)).where("bin <= edge")
+        found = _estimates(core, False)
+        after, path = materialize(spark, _least(found) if step == TRIALS - 1 else found, "mcd")
         discard(spark, at)
         now, at = after, path
+    now = now.drop("start")
     by = now.withColumnsRenamed({"g_lang": "e_lang", "g_source": "e_source"})
     now, path = materialize(spark, judges.drop("also").join(by, ["e_lang", "e_source"]).drop("e_lang", "e_source"), "mcd")
     for done in (at, members, judged):

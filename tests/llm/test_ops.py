@@ -505,3 +505,28 @@ def test_decontamination_of_short_items_and_rows(spark):
     assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([docs[1], (5, None), (5, "clean"), (5, "clean")])
     assert decontaminate.uncontaminated(spark, table, benchmark.limit(0)).count() == len(docs)
     assert decontaminate.uncontaminated(spark, table.limit(0), benchmark).count() == 0
+
+
+def test_quality_leaves_a_contaminated_start(spark, monkeypatch):
+    """A fifth of a group, all odd alike, moves the classical estimate; the estimate of several starts rejects all of them, no less clearly than the classical start alone."""
+    rng = random.Random(13)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(4, 6))) for _ in range(n))
+    odd = lambda: say(50).replace("a", "aklm").replace("b", "b##").replace("c", "c$")
+    texts = [say(60) for _ in range(96)] + [odd() for _ in range(24)]
+    table = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.quality(spark, table).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == set(range(96, 120))
+    far = min(got[i].distance2 for i in range(96, 120))
+    monkeypatch.setattr(quality_rules, "_robust_starts", lambda points: quality_rules._estimates(points.withColumn("start", F.lit(1)), True))
+    alone = {r.doc_id: r for r in quality_rules.quality(spark, table).collect()}
+    assert far >= 0.999 * min(alone[i].distance2 for i in range(96, 120))
+
+
+def test_least_determinant_of_the_starts(spark):
+    k = [f"l{i}{j}" for i in range(4) for j in range(i + 1)]
+    line = lambda start, source, d: (start, "=en", source, *[0.5 * start] * 4, *[d if c[1] == c[2] else 9.0 for c in k])
+    rows = [line(0, "a", 2.0), line(1, "a", 1.0), line(2, "a", 3.0), line(0, "b", 1.0), line(1, "b", 1.0)]
+    columns = ["start int", "g_lang string", "g_source string", *[f"m{i} double" for i in range(4)], *[f"{c} double" for c in k]]
+    best = quality_rules._least(spark.createDataFrame(rows, ", ".join(columns))).collect()
+    assert sorted(map(tuple, best)) == sorted([rows[1], rows[3]])
