@@ -32,7 +32,7 @@ from pyspark.taskcontext import TaskContext
 from corpusloom.llm import reduce
 from corpusloom.llm.bytetext import chained, column_bytes, mix, shingle_sets, slices
 from corpusloom.llm.graph import EDGES, Forest, components
-from corpusloom.llm.runtime import discard, materialize, numbered, partitions, salted_join, ship, trim
+from corpusloom.llm.runtime import balanced_join, discard, materialize, numbered, partitions, salted_join, ship, trim
 
 SKETCH_BITS = 22
 BLOOM_BITS = 24
@@ -402,9 +402,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     discard(spark, spread_at)
 
     known = rows.where("doc_id is not null and n_shingles > 0 and may_link")
-    alike = known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    same = salted_join(known, alike.where("copies > 1"), ["fp1", "fp2", "n_shingles"], ["doc_id"]).where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    reps, reps_at = materialize(spark, alike.select(F.col("first").alias("doc_id"), "fp1", "fp2"), "representatives")
+    alike, reps_at = materialize(spark, known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "representatives")
+    same = balanced_join(known, alike.where("copies > 1"), ["fp1", "fp2", "n_shingles"], ["doc_id"], "copies").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    reps = alike.select(F.col("first").alias("doc_id"))
     bits = reduce.total(reps.select("doc_id").mapInArrow(_bloom(0), reduce.SCHEMA), 1 << (BLOOM_BITS - 3), "uint8", "or")
     bloom = spark.sparkContext.broadcast(bits.tobytes())
     grams, grams_at = materialize(spark, source.mapInArrow(_wanted_sets(n, bloom), "doc_id long, grams binary"), "sets")
