@@ -12,28 +12,30 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.functions.text import CHARS_PER_TOKEN
 from corpusloom.operators.chunking import MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS, merge_small
 
 CHUNK = "source string, chunk_id long, text string, section_type string, chapter string, chapter_number string, section string, article_number int, article_title string, paragraph_number int, annex_number string, annex_title string, hierarchy_path string, token_estimate int, context_header string"
 
-# Names of kinds of passages, and the headings of the two formats.
+# Names of kinds of passages, words of their paths, and the headings and marks of the two formats, for re.MULTILINE.
 RECITAL, ARTICLE, ANNEX, PREAMBLE = "overweging", "artikel", "bijlage", "preambule"
 EU_HEADINGS = {
-    "chapter": r"^HOOFDSTUK\s+([IVXLC]+)\s*\n+\s*([^\n]+)",
-    "section": r"^Afdeling\s+(\d+)\s*\n+\s*([^\n]+)",
+    "chapter": r"(HOOFDSTUK\s+[IVXLC]+)\s*\n\s*((?![Aa][Ff][Dd][Ee][Ll][Ii][Nn][Gg])[A-Z][A-Z\- ,À-Þ]{2,}(?:\n(?![Aa][Ff][Dd][Ee][Ll][Ii][Nn][Gg])[A-Z][A-Z\- ,À-Þ]{2,})*)",
+    "section": r"(Afdeling\s+\d+)\s*\n\s*(.+?)(?=\n)",
     "article": r"^Artikel\s+(\d+)\s*$",
 }
 LAW_HEADINGS = {
-    "chapter": r"^Hoofdstuk\s+(\d+)\.?\s*([^\n]*)$",
-    "section": r"^(?:Paragraaf|Afdeling)\s+([\d.]+?)\.?\s+([^\n]*)$",
-    "article": r"^Artikel\s+(\d+)[a-z]*\.?[ \t]*([^\n]*)$",
+    "chapter": r"^Hoofdstuk\s+(\d+)\.\s+(.+)$",
+    "section": r"^Paragraaf\s+([\d.]+)\.\s+(.+)$",
+    "article": r"^Artikel\s+(\d+[a-z]?)\.\s+(.+)$",
 }
-RECITAL_MARK = r"^\((\d+)\)[ \t]*$|^\((\d+)\)[ \t]+(?=[A-Z])"
-ANNEX_HEADING = r"^BIJLAGE\s+([IVXLC]+)\s*$"
-DEFINITION_MARK = r"^(\d+)\)\s"
-PARAGRAPH_MARK = {"eu": r"^(\d+)\.\s+", "law": r"^(\d+)\.?\t"}
+RECITAL_MARK = r"^\((\d+)\)\s*$|^\((\d+)\)\s+(?=[A-Z])"
+ANNEX_HEADING = r"^BIJLAGE\s+([IVXLC]+)\s*(?:\n(.+?))?(?=\n)"
+DEFINITION_MARK = r"^(\d+)\)"
+PARAGRAPH_MARK = {"eu": r"^(\d+)\.\s*$", "law": r"^(\d+)\.\t"}
+LABEL = {"eu": {"chapter": "{}", "section": "{}"}, "law": {"chapter": "Hoofdstuk {}", "section": "Paragraaf {}"}}
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,8 @@ class Passage:
     kind: str
     path: str
     fields: dict = field(default_factory=dict)
+    #: The path as headers show it, where it differs.
+    shown: str = ""
 
 
 def tokens(text: str) -> int:
@@ -96,7 +100,7 @@ def within_budget(p: Passage) -> list[Passage]:
         return [p]
     parts = packed(p.text)
     if len(parts) < 2:
-        return [Passage(t, p.kind, p.path, p.fields) for t in parts]
+        return [Passage(t, p.kind, p.path, p.fields, p.shown) for t in parts]
     return [Passage(t, p.kind, f"{p.path} (deel {i}/{len(parts)})", p.fields) for i, t in enumerate(parts, 1)]
 
 
@@ -107,8 +111,8 @@ def recitals(text: str) -> list[Passage]:
         last[int(m[1] or m[2])] = m
     marks = sorted(last.items(), key=lambda x: x[1].start())
     ends = [m.start() for _, m in marks[1:]] + [len(text)] * bool(marks)
-    found = [(n, text[m.end() : e].strip()) for (n, m), e in zip(marks, ends, strict=True)]
-    return [p for n, body in found if body for p in within_budget(Passage(body, RECITAL, f"Overweging {n}", {"paragraph_number": n}))]
+    found = [Passage(text[m.end() : e].strip(), RECITAL, f"Overwegingen > ({n})", {"paragraph_number": n}, f"Overwegingen > Overweging ({n})") for (n, m), e in zip(marks, ends, strict=True)]
+    return [q for p in found for q in within_budget(p)]
 
 
 def _paragraphs(p: Passage, mark: str) -> list[Passage]:
@@ -125,54 +129,57 @@ def _paragraphs(p: Passage, mark: str) -> list[Passage]:
     return out
 
 
-def _definitions(p: Passage, mark: str) -> list[Passage]:
-    """Items of a definitions article; a small one joins the passage before. Without items the article is like any other."""
+def _definitions(p: Passage) -> list[Passage]:
+    """Items of a definitions article; a small one joins the passage before. An article without items gives nothing."""
     intro, parts = stretches(p.text, DEFINITION_MARK)
-    if not parts:
-        return _paragraphs(p, mark)
-    out = [Passage(intro.strip(), p.kind, p.path, p.fields)] if tokens(intro.strip()) >= MIN_TOKENS else []
+    intro = intro.strip()
+    out = [Passage(intro, p.kind, f"{p.path} > Inleiding", p.fields)] if parts and tokens(intro) >= MIN_TOKENS else []
     for m, body in parts:
         text = (m[0] + body).strip()
+        item = Passage(text, p.kind, f"{p.path} > Definitie {m[1]}", p.fields | {"paragraph_number": int(m[1])})
         if out and tokens(text) < MIN_TOKENS:
             before = out[-1]
-            out[-1] = Passage(f"{before.text}\n\n{text}", before.kind, f"{before.path}, {m[1]}", before.fields)
+            out[-1] = Passage(f"{before.text}\n\n{text}", before.kind, f"{before.path}, {m[1]}", before.fields, before.shown or before.path)
         else:
-            out.append(Passage(text, p.kind, f"{p.path} > Definitie {m[1]}", p.fields | {"paragraph_number": int(m[1])}))
+            out.append(item)
     return out
 
 
 def articles(text: str, source: Source) -> list[Passage]:
-    headings = EU_HEADINGS if source.layout == "eu" else LAW_HEADINGS
+    """Articles with the chapter and section that hold at their heading. In a regulation the title is the body's first line, in a law it stands in the heading."""
+    eu = source.layout == "eu"
+    headings, label = EU_HEADINGS if eu else LAW_HEADINGS, LABEL[source.layout]
     marks = sorted(((m.start(), kind, m) for kind, rx in headings.items() for m in re.finditer(rx, text, re.M)), key=lambda x: x[0])
-    # A section's heading does not close the article before it.
-    closing = [at for at, kind, _ in marks if kind != "section"] + [len(text)]
     state = {"chapter": "", "chapter_number": "", "section": ""}
     out: list[Passage] = []
-    for at, kind, m in marks:
-        if kind == "chapter":
-            state = {"chapter": m[2].strip(), "chapter_number": m[1], "section": ""}
-        elif kind == "section":
-            state = state | {"section": m[2].strip()}
-        else:
-            body = text[m.end() : next(c for c in closing if c > at)].strip()
-            title = body.partition("\n")[0].strip() if source.layout == "eu" else m[2].strip()
-            if not body:
-                continue
-            lead = [f"Hoofdstuk {state['chapter_number']}: {state['chapter']}"] if state["chapter_number"] else [""] if source.layout == "eu" else []
-            path = " > ".join([*lead, *([state["section"]] if state["section"] else []), f"Artikel {m[1]}"])
-            p = Passage(body, ARTICLE, path, state | {"article_number": int(m[1]), "article_title": title})
-            mark = PARAGRAPH_MARK[source.layout]
-            out += _definitions(p, mark) if source.layout == "eu" and int(m[1]) == source.definitions_article else _paragraphs(p, mark)
+    for k, (_, kind, m) in enumerate(marks):
+        if kind != "article":
+            number, title = m[1].strip(), m[2].strip()
+            if kind == "chapter":
+                state = {"chapter": f"{label[kind].format(number)} — {re.sub(r'\s+', ' ', title) if eu else title}", "chapter_number": number, "section": ""}
+            else:
+                state = state | {"section": f"{label[kind].format(number)} — {title}"}
+            continue
+        # A section's heading does not close the article before it.
+        end = next((at for at, other, _ in marks[k + 1 :] if other != "section"), len(text))
+        body = text[m.end() : end].strip()
+        title = body.partition("\n")[0].strip() if eu else m[2].strip()
+        own = f"Artikel {m[1]} — {title}" if title or not eu else f"Artikel {m[1]}"
+        lead = [state["chapter"]] if eu or state["chapter"] else []
+        path = " > ".join([*lead, *([state["section"]] if state["section"] else []), own])
+        n = int(re.match(r"\d+", m[1])[0])
+        p = Passage(body, ARTICLE, path, state | {"article_number": n, "article_title": title})
+        out += _definitions(p) if eu and n == source.definitions_article else _paragraphs(p, PARAGRAPH_MARK[source.layout])
     return out
 
 
 def annexes(text: str) -> list[Passage]:
+    """Annexes; the line below an annex's heading is its title and no part of its text."""
     out = []
     for m, body in stretches(text, ANNEX_HEADING)[1]:
-        body = body.strip()
-        title = body.partition("\n")[0].strip()
-        if body:
-            out += within_budget(Passage(body, ANNEX, f"Bijlage {m[1]}", {"annex_number": m[1], "annex_title": title}))
+        title = (m[2] or "").strip()
+        path = f"Bijlage {m[1]} — {title}" if title else f"Bijlage {m[1]}"
+        out += within_budget(Passage(body.strip(), ANNEX, path, {"annex_number": m[1], "annex_title": title}))
     return out
 
 
@@ -187,24 +194,28 @@ def regions(text: str, source: Source) -> tuple[str, str, str]:
     if first:
         chapter = text.rfind("HOOFDSTUK I", 0, first.start())
         at = chapter if chapter >= 0 else first.start()
-    end = re.search(r"^BIJLAGE\s+I\s*$", text[at:], re.M) if source.annexes else None
-    stop = at + end.start() if end else len(text)
+    end = re.search(r"^BIJLAGE\s+I\s*$", text, re.M) if source.annexes else None
+    stop = end.start() if end else len(text)
     return text[:at], text[at:stop], text[stop:]
 
 
 def passages(text: str, source: Source) -> list[dict]:
     """A document's chunks, small ones merged and numbered from 0."""
-    text = cleaned(text, source.footers)
+    if source.layout == "law":  # plain text: only footers go
+        for f in source.footers:
+            text = re.sub(f, "", text)
+    else:
+        text = cleaned(text, source.footers)
     if source.end_marker and source.end_marker in text:
         text = text[: text.index(source.end_marker)].strip()
     head, body, tail = regions(text, source)
     if source.layout == "law":
-        found = [Passage(head.strip(), PREAMBLE, "Preambule")] if tokens(head.strip()) >= MIN_TOKENS else []
+        found = within_budget(Passage(head.strip(), PREAMBLE, "Preambule")) if tokens(head.strip()) >= MIN_TOKENS else []
     else:
         found = recitals(head)
     found += articles(body, source) + annexes(tail)
     rows = [
-        {"text": p.text, "tokens": tokens(p.text), "section_type": p.kind, "hierarchy_path": p.path, "context_header": f"{source.display} > {p.path}:"}
+        {"text": p.text, "tokens": tokens(p.text), "section_type": p.kind, "hierarchy_path": p.path, "context_header": f"{source.display} > {p.shown or p.path}:"}
         | {k: p.fields.get(k, "") for k in ("chapter", "chapter_number", "section", "article_title", "annex_number", "annex_title")}
         | {k: p.fields.get(k) for k in ("article_number", "paragraph_number")}
         for p in found
@@ -212,15 +223,23 @@ def passages(text: str, source: Source) -> list[dict]:
     return [r | {"source": source.label, "chunk_id": i, "token_estimate": r["tokens"]} for i, r in enumerate(merge_small(rows))]
 
 
-def chunked(docs: DataFrame, sources: list[Source]) -> DataFrame:
-    """Chunks of docs(source, text), one document per source and row; sources without a description are left out."""
+def chunked(docs: DataFrame, sources: list[Source], key: str | None = None) -> DataFrame:
+    """Chunks of docs(source, text), one document per row; sources without a description are left out. ``key`` names a column that tells documents of a source apart and is kept."""
     known = {s.label: s for s in sources}
     columns = [c.split()[0] for c in CHUNK.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for label, text in zip(b["source"], b["text"], strict=True) if label in known for r in passages(text or "", known[label])]
-            frame = pd.DataFrame(rows, columns=columns)
+            rows = [r | {"key": k} for k, label, text in zip(b["key"], b["source"], b["text"], strict=True) if label in known for r in passages(text or "", known[label])]
+            frame = pd.DataFrame(rows, columns=["key", *columns])
             yield frame.astype({"article_number": "Int32", "paragraph_number": "Int32"})
 
-    return docs.select("source", "text").mapInPandas(run, CHUNK)
+    made = docs.select((F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"), "source", "text").mapInPandas(run, f"key string, {CHUNK}")
+    return made.withColumnRenamed("key", key) if key else made.drop("key")
+
+
+def statistics(chunks: DataFrame) -> DataFrame:
+    """One row: number of chunks, least, most and total tokens, their mean rounded down, and the number of each section type as a map."""
+    by_type = chunks.groupBy("section_type").agg(F.count(F.lit(1)).alias("n"), F.min("token_estimate").alias("lo"), F.max("token_estimate").alias("hi"), F.sum("token_estimate").alias("sum"))
+    total = by_type.agg(F.sum("n").alias("n_chunks"), F.min("lo").alias("min_tokens"), F.max("hi").alias("max_tokens"), F.sum("sum").alias("total_tokens"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("section_type", "n")))).alias("by_type"))
+    return total.withColumn("mean_tokens", F.floor(F.try_divide("total_tokens", "n_chunks")))

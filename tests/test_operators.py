@@ -137,20 +137,61 @@ def test_structure_of_eu_text():
     assert [r["article_number"] for r in rows if r["section_type"] == "artikel"] == [1, 2, 3]
     assert rows[-1]["annex_number"] == "I" and [r["chunk_id"] for r in rows] == list(range(len(rows)))
     third = next(r for r in rows if r["article_number"] == 3)
-    assert (third["chapter_number"], third["section"]) == ("II", "")
+    assert (third["chapter_number"], third["section"]) == ("HOOFDSTUK II", "")
     first = next(r for r in rows if r["article_number"] == 1)
     assert first["text"].endswith("Eerste afdeling")
 
 
 def test_structure_of_law_text():
     rows = structure.passages(legal.LAW_TEXT, legal.SOURCES[1])
-    assert [(r["article_number"], r["article_title"], r["section"]) for r in rows] == [(1, "Begrippen", "Begrippen"), (12, "Slot", "Begrippen")]
+    assert [(r["article_number"], r["article_title"], r["section"]) for r in rows] == [(1, "Begrippen", "Paragraaf 1.1 — Begrippen"), (12, "Slot", "Paragraaf 1.1 — Begrippen")]
     assert all("Lasten" not in r["text"] for r in rows)
 
 
 def test_long_article_is_cut_at_its_paragraphs():
-    body = "Inleiding hier.\n" + "\n".join(f"{i}. " + "woord " * 500 + "." for i in (1, 2, 3))
+    body = "Inleiding hier.\n" + "\n".join(f"{i}.\n" + "woord " * 500 + "." for i in (1, 2, 3))
     rows = structure.passages(f"HOOFDSTUK I\nX\nArtikel 1\n{body}\n", structure.Source("s", "S"))
     assert [r["paragraph_number"] for r in rows] == [1, 2, 3]
-    assert rows[0]["text"].startswith("Inleiding hier.\n\n1. woord")
+    assert rows[0]["text"].startswith("Inleiding hier.\n\n1.\nwoord")
     assert structure.passages("geen artikelen", structure.Source("s", "S")) == []
+
+
+EU = structure.Source("s", "S", definitions_article=9, annexes=True)
+LAW = structure.Source("w", "W", layout="law")
+LONG = "woord " * 700 + "einde."
+
+
+@pytest.mark.parametrize(
+    ("source", "text", "want"),
+    [
+        # Chapter titles over several lines of capitals; a section's heading is none.
+        (EU, "HOOFDSTUK I\nALGEMENE\nBEPALINGEN\nAfdeling 2\nEen deel\nArtikel 1\nTitel\nTekst.\n", [("HOOFDSTUK I — ALGEMENE BEPALINGEN > Afdeling 2 — Een deel > Artikel 1 — Titel", "Titel\nTekst.")]),
+        (EU, "HOOFDSTUK I\nAFDELING 1\nArtikel 1\nTitel\n", [(" > Artikel 1 — Titel", "Titel")]),
+        # Empty recitals and articles are passages too, which join their neighbours.
+        (EU, "(1)\n(2) Tweede.\nArtikel 1\n", [("Overwegingen > (1) + (2)", "\n\nTweede."), (" > Artikel 1", "")]),
+        # A number alone on its line marks a paragraph, numbers inside lines do not.
+        (EU, f"Artikel 1\n1. a\n2. b\n{LONG}\n", [("", None)]),
+        (EU, f"Artikel 1\nTitel\n1.\n{LONG}\n2.\nKort.\n", None),
+        # Definitions: an introduction of its own, then items; without items there is nothing.
+        (EU, "Artikel 9\n" + "inleiding " * 30 + "\n1)een;\n2) twee.\n", [(" > Artikel 9 — " + ("inleiding " * 30).strip() + " > Inleiding, 1, 2", ("inleiding " * 30).strip() + "\n\n1)een;\n\n2) twee.")]),
+        (EU, "Artikel 9\nGeen items.\n", []),
+        # An annex's title is in the path, not in the text.
+        (EU, "BIJLAGE I\nLijst\nEen.\nBIJLAGE II\n\nTwee.\n", [("Bijlage I — Lijst + Bijlage II", "Een.\n\nTwee.")]),
+        # A law: dots are needed, sections are paragraphs, letters stay in the path.
+        (LAW, "Hoofdstuk 1 Zonder punt\nHoofdstuk 2. Met punt\nAfdeling 3. Geen deel\nArtikel 4a. Titel\nTekst.\n", [("Hoofdstuk 2 — Met punt > Artikel 4a — Titel", "Tekst.")]),
+    ],
+)
+def test_structure_rules(source, text, want):
+    got = [(r["hierarchy_path"], r["text"]) for r in structure.passages(text, source)]
+    if want is None:
+        assert [p for p, _ in got] == [" > Artikel 1 — Titel > Lid 1", " > Artikel 1 — Titel > Lid 2"] or got[0][0].startswith(" > Artikel 1 — Titel > Lid 1 (deel 1/")
+    elif want and want[0][1] is None:
+        assert got and all("Lid" not in p for p, _ in got)
+    else:
+        assert got == want
+
+
+def test_long_preamble_is_packed():
+    rows = structure.passages("Wij. " * 2000 + "\nHoofdstuk 1. Een\nArtikel 1. T\nTekst.\n", LAW)
+    assert [r["section_type"] for r in rows] == ["preambule"] * (len(rows) - 1) + ["artikel"] and len(rows) > 2
+    assert rows[0]["context_header"] == f"W > Preambule (deel 1/{len(rows) - 1}):" and all(r["token_estimate"] <= 1001 for r in rows)
