@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters of one estimated token.
+# Characters of one estimated token, and the end of a sentence.
 CHARS_PER_TOKEN = 4
 SENTENCE_END = r"(?U)(?<=[.;:])\s+|\n{2,}"
 
@@ -98,3 +98,10 @@ def namespaced(doc: Column, own_doc: Column, chunk_id: Column) -> Column:
 
 def shown(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
+
+
+def label_of(key: Column, labels: Mapping[str, str], default: str | None = None) -> Column:
+    """The label of a key; ``default`` for others, which are an error without one."""
+    known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    other = F.lit(default) if default is not None else F.raise_error(F.concat(F.lit("no label for "), F.coalesce(key, F.lit("null")))).cast("string")
+    return F.when(F.map_contains_key(known, key), F.element_at(known, key)).otherwise(other)

@@ -3,47 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import CHARS_PER_TOKEN, sentences
+from corpusloom.sources.tables import dense_index
 
 MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS = 1000, 50, 50
 
 
+def _spans(sizes: Sequence[int], budget: int, overlap: int) -> list[int]:
+    """Begin and end of each chunk, end to end."""
+    sums = [0, *accumulate(sizes)]
+    out, start, opened = [], 0, 0
+    for i in range(len(sizes)):
+        if i > opened and sums[i + 1] - sums[start] > budget:
+            out += [start, i]
+            opened = i
+            # The first sentence from which at most the overlap is carried over.
+            while sums[i] - sums[start] > overlap:
+                start += 1
+    return [*out, start, len(sizes)] if sizes else []
+
+
 def pack(parts: Column, budget: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> Column:
     """Array of chunks of an array of sentences: filled from the left up to ``budget`` tokens, each next one starting with the longest run of
-    last sentences that has at most ``overlap`` tokens. A longer sentence is a chunk of its own.
+    last sentences that has at most ``overlap`` tokens. A longer sentence is a chunk of its own. Null gives null.
 
-    The fold carries counts only: sentence i opens a chunk if the tokens since the chunk's start would pass the budget, and the start moves to the first sentence from which the
-    overlap fits.
+    Only sizes leave the JVM: one pass over them, linear in the sentences, gives each chunk's first and last.
     """
 
-    def let(x: Column, body) -> Column:
-        return F.transform(F.array(x), body)[0]
-
-    def chunks(s: Column) -> Column:
-        sizes = F.transform(s, lambda x: F.floor(F.length(x) / CHARS_PER_TOKEN))
-        sums = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-
-        def cut(total: Column) -> Column:
-            start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), F.lit(0).alias("a"), F.lit(0).alias("b"))
-
-            def step(state: Column, i: Column) -> Column:
-                full = (i > state["b"]) & (F.get(total, i + 1) - F.get(total, state["a"]) > budget)
-                # The first sentence from which at most the overlap is carried over.
-                carried = F.coalesce(F.array_min(F.filter(F.sequence(state["a"], i), lambda j: F.get(total, i) - F.get(total, j) <= overlap)), i)
-                opened = F.struct(F.concat(state["done"], F.array(F.struct(state["a"].alias("a"), i.alias("b")))).alias("done"), carried.cast("int").alias("a"), i.alias("b"))
-                return F.when(full, opened).otherwise(state)
+    @F.pandas_udf("array<int>")
+    def spans(sizes: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else _spans(x.tolist(), budget, overlap) for x in sizes])
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), start, step, lambda st: F.concat(st["done"], F.array(F.struct(st["a"].alias("a"), F.size(s).alias("b")))))
-
-        spans = let(sums, cut)
-        return F.transform(spans, lambda x: F.array_join(F.slice(s, x["a"] + 1, x["b"] - x["a"]), " "))
-
-    return F.when(F.size(parts) == 0, F.array().cast("array<string>")).otherwise(let(parts, chunks))
+    sizes = F.transform(parts, lambda x: F.floor(F.length(x) / CHARS_PER_TOKEN).cast("int"))
+    ends = lambda at: F.transform(F.filter(at, lambda x, i: i % 2 == 0), lambda a, i: F.struct(a.alias("a"), F.get(at, 2 * i + 1).alias("b")))
+    return F.transform(F.array(spans(sizes)), lambda at: F.transform(ends(at), lambda x: F.array_join(F.slice(parts, x["a"] + 1, x["b"] - x["a"]), " ")))[0]
 
 
 def packed(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -99,7 +99,7 @@ def merged(chunks: DataFrame) -> DataFrame:
 
 def numbered(chunks: DataFrame, source: str, *order: str) -> DataFrame:
     """With chunk_id, dense from 0 in each source."""
-    return chunks.withColumn("chunk_id", F.row_number().over(Window.partitionBy(source).orderBy(*order)).cast("long") - 1)
+    return dense_index(chunks, [source], list(order), "chunk_id")
 
 
 def variants(chunks: DataFrame, header: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -112,19 +112,54 @@ def size_bucket(tokens: Column) -> Column:
     return F.when(tokens < 50, "<50").when(tokens < 200, "50-200").when(tokens < 500, "200-500").when(tokens < 800, "500-800").when(tokens <= 1000, "800-1000").otherwise(">1000")
 
 
-def batches_without_repeats(rows: DataFrame, text: str, size: int) -> DataFrame:
-    """rows with ``batch``: no text twice in one. Copies of a text go to different batches, as the k-th copy takes a batch that starts k places further on."""
-    copy = F.row_number().over(Window.partitionBy(text).orderBy("row_id")) - 1
-    n = F.greatest(F.ceil(F.lit(rows.count()) / size), F.lit(1))
-    most = rows.groupBy(text).count().agg(F.max("count")).first()[0] or 1
-    return rows.withColumn("batch", F.pmod(F.xxhash64(text) + copy, F.greatest(n, F.lit(most))).cast("long"))
+#: Hexadecimal digits, to read a number from a digest.
+DIGITS = "0123456789abcdef"
+
+
+def _digit(x: Column) -> Column:
+    return F.instr(F.lit(DIGITS), F.substring(F.md5(x.cast("string").cast("binary")), 1, 1)) - 1
+
 
+def batches_without_repeats(rows: DataFrame, text: str, size: int, salts: int = 4) -> DataFrame:
+    """rows with ``batch``: at most ``size`` rows, no text twice.
+
+    Copies of a text are numbered within ``salts`` parts of the rows; the rows of a part, a copy number and a digit of the text's digest hold each text once, and are cut into batches
+    in order of row_id. All batches but the last of each such share are full, and a text of very many copies is spread.
+    """
+    part = rows.withColumns({"_part": (_digit(F.col("row_id")) % salts).cast("int"), "_share": _digit(F.col(text)).cast("int")})
+    copied = part.withColumn("_copy", F.row_number().over(Window.partitionBy(text, "_part").orderBy("row_id")) - 1)
+    placed = dense_index(copied, ["_part", "_copy", "_share"], ["row_id"], "_at")
+    return placed.withColumn("batch", F.concat_ws("/", "_part", "_copy", "_share", F.floor(F.col("_at") / size).cast("string"))).drop("_part", "_copy", "_share", "_at")
+
+
+def in_batches(frames: Iterator[pd.DataFrame], client, column: str, concurrent: int = 1, attempts: int = 1) -> Iterator[pd.DataFrame]:
+    """Calls client(list of prompts) -> list of replies. With ``concurrent`` above 1 each prompt is a call of its own, so many at a time.
+
+    A call that fails is made again, ``attempts`` times in all; then its rows get a null reply and the last error's message. Replies keep the rows' order.
+    """
+
+    def call(prompts: list) -> tuple[list, list]:
+        said = ""
+        for _ in range(attempts):
+            try:
+                replies = list(client(prompts))
+                if len(replies) != len(prompts):
+                    raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
+                return replies, [None] * len(prompts)
+            except Exception as e:  # noqa: BLE001  a remote client may raise anything; the rows carry it
+                said = str(e)
+        return [None] * len(prompts), [said] * len(prompts)
 
-def in_batches(frames: Iterator[pd.DataFrame], client, column: str) -> Iterator[pd.DataFrame]:
-    """Calls client(list of prompts) -> list of replies for each batch; an error gives its rows a null reply and its message."""
     for b in frames:
-        try:
-            replies, errors = list(client(b[column].tolist())), [None] * len(b)
-        except Exception as e:  # noqa: BLE001  a remote client may raise anything; the rows carry it
-            replies, errors = [None] * len(b), [str(e)] * len(b)
-        yield b.assign(content=replies, error=errors)
+        prompts = b[column].tolist()
+        if concurrent > 1:
+            with ThreadPoolExecutor(concurrent) as pool:
+                done = list(pool.map(lambda p: call([p]), prompts))
+        else:
+            done = [call(prompts)]
+        yield b.assign(content=[x for replies, _ in done for x in replies], error=[x for _, errors in done for x in errors])
+
+
+def first_rows(rows: DataFrame, order: str, most: int | None) -> DataFrame:
+    """The first ``most`` rows in order; all of them without a number, or with 0."""
+    return rows.orderBy(order).limit(most) if most else rows

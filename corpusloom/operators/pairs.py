@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Score names and their weights in the overall score.
+from corpusloom.sources.tables import dense_index
+
+# Score names and their weights in the overall score.
 WEIGHTS = {"relevance": 0.35, "accuracy": 0.25, "clarity": 0.20, "specificity": 0.20}
 
 
@@ -34,9 +36,9 @@ def eval_ids(ids: DataFrame, key: str, share: float = 0.15, stratum: str | None
     by = [stratum] if stratum else []
     one = ids.select(key, *by).distinct()
     if by:
-        w = Window.partitionBy(*by)
-        ranked = one.withColumns({"_r": F.row_number().over(w.orderBy(seeded(F.col(key), seed), key)), "_n": F.count(F.lit(1)).over(w)})
-        return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).select(key)
+        ranked = dense_index(one.withColumn("_o", seeded(F.col(key), seed)), by, ["_o", key], "_r")
+        sizes = one.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(stratum, "_s")
+        return ranked.join(sizes, ranked[stratum].eqNullSafe(sizes["_s"])).where(F.col("_r") < F.greatest(F.lit(1), F.floor(F.col("_n") * share))).select(key)
     n = max(1, int(one.count() * share))
     return one.orderBy(seeded(F.col(key), seed), key).limit(n).select(key)
 
@@ -108,3 +110,39 @@ def survivors(rows: DataFrame, score: Column, thresholds: list[float]) -> DataFr
     counts = rows.agg(F.count(F.lit(1)).alias("all"), *[F.sum((F.coalesce(score, F.lit(0.0)) >= t).cast("long")).alias(f"k{i}") for i, t in enumerate(thresholds)])
     rows_of = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.coalesce(F.col(f"k{i}"), F.lit(0)).alias("n")) for i, t in enumerate(thresholds)])
     return counts.select("all", F.explode(rows_of).alias("x")).select("x.threshold", "x.n", F.round(F.try_divide("x.n", "all"), 6).alias("share"))
+
+
+def first_stratum(rows: DataFrame, key: str, stratum: str, seq: str) -> DataFrame:
+    """key with the stratum of its first row."""
+    return rows.groupBy(key).agg(F.min_by(stratum, seq).alias(stratum))
+
+
+# The columns of a training table, and those that are empty where a pair lacks them.
+TRAINING, FILLED = ("anchor", "positive", "chunk_id"), ("section_type", "hierarchy_path", "document_name")
+
+
+def training_columns(rows: DataFrame) -> DataFrame:
+    """Only the columns of a training table."""
+    filled = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in FILLED]
+    return rows.select(*TRAINING, *filled)
+
+
+def corpus_index(rows: DataFrame, text: str = "positive") -> DataFrame:
+    """cid, text: each text once, numbered from 0 in order."""
+    return dense_index(rows.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).distinct(), [], ["text"], "cid").select("cid", "text")
+
+
+def with_index(rows: DataFrame, corpus: DataFrame, text: str = "positive") -> DataFrame:
+    """rows with the cid of their text. Texts meet by digest, so that they are moved but not sorted, and are compared after."""
+    left = rows.withColumn("_digest", F.sha2(F.col(text), 256))
+    right = corpus.select("cid", F.col("text").alias("_text"), F.sha2("text", 256).alias("_digest"))
+    return left.join(right, "_digest").where(F.col(text) == F.col("_text")).drop("_digest", "_text")
+
+
+def evaluation_triple(rows: DataFrame, seq: str, part: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, corpus, relevant) of pairs(anchor, positive, chunk_id): queries(eval_set, qid, text), qid = q_ and the row's number, corpus(eval_set, cid, text), where the last
+    pair's text counts, and relevant(eval_set, qid, cid). All rows are the set ``combined``; ``part`` names a column each of whose values is a set besides."""
+    sets = F.array(F.lit("combined"), F.col(part)) if part else F.array(F.lit("combined"))
+    every = rows.select(F.explode(sets).alias("eval_set"), "anchor", "positive", F.col("chunk_id").cast("string").alias("cid"), F.col(seq).alias("_seq")).where("eval_set is not null")
+    numbered = dense_index(every, ["eval_set"], ["_seq"], "_n").withColumn("qid", F.concat(F.lit("q_"), F.col("_n")))
+    return numbered.select("eval_set", "qid", F.col("anchor").alias("text")), every.groupBy("eval_set", "cid").agg(F.max_by("positive", "_seq").alias("text")), numbered.select("eval_set", "qid", "cid")

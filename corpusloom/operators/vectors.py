@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of queries and of one of the corpus.
-QUERY_BLOCK, CORPUS_BLOCK = 4096, 16384
+#: Rows of a block of queries and of one of the corpus: a block's similarities are 64 MB, of which a task holds three copies at most.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 8192
 HITS = "dim int, qid long, cid long, sim double"
 
 
@@ -27,6 +27,19 @@ def _unit(m: np.ndarray, dim: int) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-9)
 
 
+def _first(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k largest entries, ties by column: all that reach the k-th largest, then in order."""
+    n = sim.shape[1]
+    if n > k:
+        row, col = np.nonzero(sim >= np.partition(sim, n - k, axis=1)[:, n - k, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(sim.shape))
+    order = np.lexsort((col, -sim[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
+
+
 def _best(dims: Sequence[int], k: int):
     def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -39,8 +52,8 @@ def _best(dims: Sequence[int], k: int):
                 sim = np.round(_unit(q, d) @ _unit(c, d).T, 12)
                 if "cap" in queries:
                     sim[sim > queries["cap"].to_numpy()[:, None]] = -np.inf
-                top = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # ties by id
-                out.append(pd.DataFrame({"dim": d, "qid": np.repeat(qid, top.shape[1]), "cid": cid[top].ravel(), "sim": np.take_along_axis(sim, top, 1).ravel()}))
+                row, col = _first(sim, k)
+                out.append(pd.DataFrame({"dim": d, "qid": qid[row], "cid": cid[col], "sim": sim[row, col]}))
                 out[-1] = out[-1][~np.isneginf(out[-1]["sim"])]
         return pd.concat(out) if out else pd.DataFrame(columns=["dim", "qid", "cid", "sim"])
 
@@ -67,7 +80,7 @@ METRICS = "ndcg_10, mrr_10, map_100, recall_1, recall_3, recall_5, recall_10, ac
 
 
 def metrics(hits: DataFrame, relevant: DataFrame) -> DataFrame:
-    """Means per dim over queries with a relevant row. hits(dim, qid, rank, hit boolean), relevant(qid, n_rel)."""
+    """Means per dim over queries with a relevant row, those without any hit row included, as 0. hits(dim, qid, rank, hit boolean), relevant(qid, n_rel)."""
     seen = hits.join(relevant.where("n_rel > 0"), "qid")
     so_far = F.sum(F.col("hit").cast("int")).over(Window.partitionBy("dim", "qid").orderBy("rank"))
     seen = seen.withColumn("so_far", so_far)
@@ -82,7 +95,8 @@ def metrics(hits: DataFrame, relevant: DataFrame) -> DataFrame:
         cols[f"recall_{k}"] = F.col(f"h{k}") / F.col("n_rel")
         cols[f"accuracy_{k}"] = (F.col(f"h{k}") > 0).cast("double")
         cols[f"precision_{k}"] = F.col(f"h{k}") / k
-    return per.groupBy("dim").agg(*[F.avg(v).alias(n) for n, v in cols.items()])
+    total = relevant.where("n_rel > 0").agg(F.count(F.lit(1)).alias("_n"))  # one row
+    return per.groupBy("dim").agg(*[F.sum(v).alias(n) for n, v in cols.items()]).crossJoin(F.broadcast(total)).select("dim", *[(F.col(n) / F.col("_n")).alias(n) for n in cols])
 
 
 def negatives(queries: DataFrame, corpus: DataFrame, gold: DataFrame, n: int, dim: int, range_min: int = 0, max_score: float | None = None, margin: float = 0.0) -> DataFrame:
@@ -106,6 +120,49 @@ def negatives(queries: DataFrame, corpus: DataFrame, gold: DataFrame, n: int, di
     return wrong.withColumn("seat", F.row_number().over(order)).where(F.col("seat") <= n).select("qid", "seat", "cid", "sim")
 
 
+def _above(dim: int):
+    def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(corpus):
+            return pd.DataFrame(columns=["qid", "wrong", "over", "near"])
+        sim = np.round(_unit(np.stack(queries["vec"].to_numpy()), dim) @ _unit(np.stack(corpus["vec"].to_numpy()), dim).T, 12)
+        wrong = corpus["cid"].to_numpy()[None, :] != queries["gold_cid"].to_numpy()[:, None]
+        count = lambda limit: ((sim > queries[limit].to_numpy()[:, None]) & wrong).sum(axis=1)
+        return pd.DataFrame({"qid": queries["qid"], "wrong": wrong.sum(axis=1), "over": count("most"), "near": count("cap")})
+
+    return run
+
+
+def skipped(queries: DataFrame, corpus: DataFrame, gold: DataFrame, n: int, dim: int, range_min: int = 0, max_score: float | None = None, margin: float = 0.0) -> DataFrame:
+    """One row: wrong rows that ``negatives`` passes over by each filter, in the order range, highest score, margin, and match (the right row, met last by a query that is short of n).
+
+    Blocks count what lies above each query's limits; only counts leave them.
+    """
+    high = F.lit(float("inf") if max_score is None else float(max_score))
+    cap = F.least(high, F.col("gold_sim") - margin) if margin > 0 else high
+    n_q, n_c = 1 + queries.count() // QUERY_BLOCK, 1 + corpus.count() // CORPUS_BLOCK
+    q = queries.join(gold, "qid").select("qid", "vec", "gold_cid", high.alias("most"), cap.alias("cap"))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
+    c = corpus.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(n_c))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+    each = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(_above(dim), "qid long, wrong long, over long, near long").groupBy("qid").agg(*[F.sum(x).alias(x) for x in ("wrong", "over", "near")])
+    first = F.lit(range_min)
+    left = F.col("wrong") - F.greatest(first, F.col("near"))
+    return each.agg(
+        F.sum(F.least(first, F.col("wrong") + 1)).alias("skipped_range"),
+        F.sum(F.greatest(F.col("over") - first, F.lit(0))).alias("skipped_max"),
+        F.sum(F.greatest(F.col("near") - F.greatest(first, F.col("over")), F.lit(0))).alias("skipped_margin"),
+        F.sum(((left < n) & (F.col("wrong") >= first)).cast("long")).alias("skipped_match"),
+        F.sum((left < n).cast("long")).alias("insufficient"),
+    )
+
+
+def collapse(rows: DataFrame) -> DataFrame:
+    """rows(id, anchor, relevant, irrelevant) to their norms, the cosines of the anchor with both, and the gap: equal norms and a gap near 0 are signs of a collapsed encoder."""
+    norm = lambda c: F.sqrt(F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    cos = lambda c: F.aggregate(F.zip_with(normalised(F.col("anchor")), normalised(F.col(c)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    out = rows.select("id", *[norm(c).alias(f"norm_{c}") for c in ("anchor", "relevant", "irrelevant")], *[cos(c).alias(f"cos_{c}") for c in ("relevant", "irrelevant")])
+    return out.withColumn("gap", F.col("cos_relevant") - F.col("cos_irrelevant"))
+
+
 def widened(found: DataFrame, queries: DataFrame, n: int, text: str = "text") -> DataFrame:
     """One row per query with negative_1 to negative_n, empty where there are fewer. found(qid, seat, text)."""
     wide = found.groupBy("qid").pivot("seat", list(range(1, n + 1))).agg(F.first(text))

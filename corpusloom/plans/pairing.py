@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import pairs as P
+from corpusloom.operators import reports as R
+from corpusloom.sources import tables
+from corpusloom.streaming import arrivals
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +119,71 @@ def threshold_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.survivors(_scored(spark, sf_dir), _overall(), [5, 6, 6.5, 7, 7.5, 8])
 
 
-QUERIES = {f.__name__: f for f in (pairs_union, pairs_dedup_anchor, pairs_dedup_pair, split_chunk_level, split_stratified, split_leak_check, eval_triple_first_wins, eval_triple_last_wins, llm_json_extract, llm_validate, score_filter, score_stats, threshold_survival)}
+def corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text once, numbered in order."""
+    return P.corpus_index(_docs(spark, sf_dir), "text").select("cid", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+def gold_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in the corpus of distinct texts."""
+    d = _docs(spark, sf_dir).select("doc_id", "text")
+    return P.with_index(d, P.corpus_index(d, "text"), "text").select("doc_id", "cid")
+
+
+def _triple(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    d = _docs(spark, sf_dir).select(F.col("lang").alias("anchor"), "text", "source", "doc_id")
+    rows = d.select("anchor", F.md5(F.col("text").cast("binary")).alias("positive"), (F.floor(F.col("doc_id") / 3)).alias("chunk_id"), "source", "doc_id")
+    return P.evaluation_triple(rows, "doc_id", "source")
+
+
+def evaluation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, _, relevant = _triple(spark, sf_dir)
+    return queries.join(relevant, ["eval_set", "qid"]).select("eval_set", "qid", "text", "cid")
+
+
+def evaluation_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three neighbouring documents are a chunk, of which the last text counts."""
+    return _triple(spark, sf_dir)[1].select("eval_set", "cid", "text")
+
+
+def split_first_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of three neighbouring documents, in the stratum of their first one."""
+    rows = _docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 3).alias("chunk_id"), "source", "doc_id")
+    chunks = P.first_stratum(rows, "chunk_id", "source", "doc_id")
+    train, held = P.split(rows, P.eval_ids(chunks, "chunk_id", stratum="source"), "chunk_id")
+    return train.withColumn("part", F.lit("train")).unionByName(held.withColumn("part", F.lit("eval"))).select("doc_id", "chunk_id", "part")
+
+
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select(F.col("source").alias("chunk_id"), "doc_id")
+    train, held = P.split(rows, P.eval_ids(rows.select("doc_id"), "doc_id"), "doc_id")
+    return R.split_statistics(train, held).select("part", "n_pairs", "n_chunks", "pairs_per_chunk", "n_shared")
+
+
+def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.training_columns(_pairs(spark, sf_dir).withColumn("section_type", F.when(F.col("source_seq") == 0, "chat")))
+    md5 = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
+    return rows.select(md5("anchor"), md5("positive"), "chunk_id", "section_type", "hierarchy_path", "document_name")
+
+
+def json_lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a new version of JSON lines and read back."""
+    rows = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    at = tables.write_versioned(rows, f"{tables.shared_dir(spark)}/corpusloom/lines-{uuid.uuid4().hex[:12]}")
+    return tables.json_lines(spark, at, "doc_id long, text string, lang string").select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with scores as arriving JSON lines: what the stream keeps and rejects."""
+    at = f"{tables.shared_dir(spark)}/corpusloom/stream-{uuid.uuid4().hex[:12]}"
+    scores = F.to_json(F.struct(*[F.col(f"quality_scores.{n}") for n in [*P.WEIGHTS, "overall"]]))
+    _scored(spark, sf_dir).select(F.col("doc_id").alias("pair_id"), F.when(F.col("quality_scores").isNotNull(), F.concat(F.lit("Scores: "), scores)).otherwise("none").alias("reply")).write.json(f"{at}/in")
+    arrivals.split_by_score(arrivals.scored_replies(spark, f"{at}/in"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    both = [spark.read.parquet(f"{at}/out/{part}").select("pair_id", F.lit(part == "kept").alias("kept"), F.round("quality_scores.overall", 6).alias("overall")) for part in ("kept", "rejected")]
+    return both[0].union(both[1])
+
+
+QUERIES = {f.__name__: f for f in (corpus_index, gold_lookup, evaluation_queries, evaluation_corpus, split_first_stratum, split_counts, training_table, json_lines_roundtrip, stream_scores, pairs_union, pairs_dedup_anchor, pairs_dedup_pair, split_chunk_level, split_stratified, split_leak_check, eval_triple_first_wins, eval_triple_last_wins, llm_json_extract, llm_validate, score_filter, score_stats, threshold_survival)}
 
 _PAIRS = r"""WITH p AS (
   SELECT 0::BIGINT AS source_seq, u.conv_id * 1000 + u.turn AS seq, u.conv_id || ':' || u.turn AS chunk_id, u.text AS anchor FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn WHERE u.role = 'user' AND a.role = 'assistant'
@@ -125,7 +194,22 @@ _REPLIES = """WITH b AS (SELECT doc_id, '{"queries": ["q' || doc_id || '", ' ||
 _SCORED = """WITH s AS (SELECT d.doc_id, 6 + quality * 2 - toxic * 2 AS relevance, 5 + quality * 3 - toxic * 2 AS accuracy, 4 + quality * 4 - toxic * 2 AS clarity, 3 + quality * 5 - toxic * 2 AS specificity,
   5.5::DOUBLE + quality * 2.5::DOUBLE - toxic * 1.5::DOUBLE + d.doc_id % 3 * 0.5::DOUBLE AS overall FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 _DIMENSIONS = " UNION ALL ".join(f"SELECT '{n}' AS dimension, {n}::DOUBLE AS v FROM s WHERE {n} IS NOT NULL" for n in [*P.WEIGHTS, "overall"])
+_SETS = "WITH d AS (SELECT unnest(['combined', source]) AS eval_set, lang AS anchor, md5(text) AS positive, (doc_id // 3)::VARCHAR AS cid, doc_id FROM documents)"
 SQL = {
+    "corpus_index": "SELECT row_number() OVER (ORDER BY text) - 1 AS cid, md5(text) AS md5 FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)",
+    "gold_lookup": "SELECT doc_id, dense_rank() OVER (ORDER BY text) - 1 AS cid FROM documents WHERE text IS NOT NULL",
+    "evaluation_queries": _SETS + " SELECT eval_set, 'q_' || (row_number() OVER (PARTITION BY eval_set ORDER BY doc_id) - 1) AS qid, anchor AS text, cid FROM d WHERE eval_set IS NOT NULL",
+    "evaluation_corpus": _SETS + " SELECT eval_set, cid, arg_max(positive, doc_id) AS text FROM d WHERE eval_set IS NOT NULL GROUP BY ALL",
+    "split_first_stratum": """WITH c AS (SELECT doc_id // 3 AS chunk_id, arg_min(source, doc_id) AS source FROM documents GROUP BY ALL),
+r AS (SELECT chunk_id, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || chunk_id), chunk_id) <= greatest(1, floor(count(*) OVER (PARTITION BY source) * 0.15)) AS held FROM c)
+SELECT doc_id, chunk_id, CASE WHEN held THEN 'eval' ELSE 'train' END AS part FROM documents JOIN r ON chunk_id = doc_id // 3""",
+    "split_counts": """WITH s AS (SELECT source, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= greatest(1, floor(count(*) OVER () * 0.15)) THEN 'eval' ELSE 'train' END AS part FROM documents),
+k AS (SELECT source, part, count(*) AS k, count(*) OVER (PARTITION BY source) = 2 AS shared FROM s GROUP BY source, part)
+SELECT part, sum(k)::BIGINT AS n_pairs, count(*) AS n_chunks, round(sum(k) / count(*), 6) AS pairs_per_chunk, count(*) FILTER (shared) AS n_shared FROM k GROUP BY part""",
+    "training_table": _PAIRS.replace("u.text AS anchor", "u.text AS anchor, a.text AS positive, 'chat' AS section_type, 'chat' AS document_name").replace("[1] FROM documents", "[1], text, '', source FROM documents")
+    + " SELECT md5(anchor) AS anchor, md5(positive) AS positive, chunk_id, section_type, '' AS hierarchy_path, document_name FROM p",
+    "json_lines_roundtrip": "SELECT doc_id, lang, md5(text) AS md5 FROM documents",
+    "stream_scores": _SCORED + " SELECT doc_id AS pair_id, coalesce(overall, 0) >= 7 AS kept, round(overall, 6) AS overall FROM s",
     "pairs_union": _PAIRS + " SELECT source_seq, seq, chunk_id, md5(anchor) AS anchor_md5 FROM p",
     "pairs_dedup_anchor": _PAIRS + f", o AS (SELECT *, {_ORDER.format(keys='anchor')} AS o FROM p) SELECT source_seq, seq, chunk_id, md5(anchor) AS anchor_md5 FROM o WHERE o = 1",
     "pairs_dedup_pair": _PAIRS + f", o AS (SELECT *, {_ORDER.format(keys='anchor, chunk_id')} AS o FROM p) SELECT source_seq, seq, chunk_id, md5(anchor) AS anchor_md5 FROM o WHERE o = 1",

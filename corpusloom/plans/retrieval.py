@@ -21,9 +21,9 @@ def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(q.select("qid", "vec"), c.select("cid", "vec"), 10, [64]).select("qid", "cid", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
-def _metrics(spark: SparkSession, sf_dir: str, dims: tuple[int, ...]) -> DataFrame:
+def _metrics(spark: SparkSession, sf_dir: str, dims: tuple[int, ...], least: float = -2.0) -> DataFrame:
     q, c = _sides(spark, sf_dir)
-    hits = vectors.top_k(q.select("qid", "vec"), c.select("cid", "vec"), 100, dims)
+    hits = vectors.top_k(q.select("qid", "vec"), c.select("cid", "vec"), 100, dims).where(F.col("sim") >= least)
     judged = hits.join(q.select("qid", "q_label"), "qid").join(c.select("cid", "c_label"), "cid").withColumn("hit", F.col("q_label") == F.col("c_label"))
     relevant = q.join(c.groupBy("c_label").agg(F.count(F.lit(1)).alias("n_rel")), F.col("q_label") == F.col("c_label")).select("qid", "n_rel")
     return vectors.metrics(judged.select("dim", "qid", "rank", "hit"), relevant).select(F.col("dim").cast("long").alias("dim"), *[F.round(m, 6).alias(m) for m in vectors.METRICS])
@@ -33,6 +33,15 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir, (64,))
 
 
+#: So high that some queries have no hit at all.
+LEAST = 0.4
+
+
+def retrieval_metrics_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of what is at least so similar; queries without a hit count 0."""
+    return _metrics(spark, sf_dir, (64,), LEAST)
+
+
 def matryoshka_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir, DIMS)
 
@@ -83,7 +92,23 @@ def mining_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (retrieval_topk, retrieval_metrics, matryoshka_sweep, hard_negatives, hard_negatives_filtered, hard_negatives_wide, mining_counters)}
+def mining_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrong rows that each filter of the mining passes over."""
+    q, c = _sides(spark, sf_dir)
+    return vectors.skipped(q.select("qid", "vec"), c.select("cid", "vec"), _gold(q, c), 5, 64, **MINING)
+
+
+def collapse_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's vector with its gold row and the corpus row after the query's id."""
+    q, c = _sides(spark, sf_dir)
+    gold = _gold(q, c).select("qid", F.col("gold_cid").alias("cid")).join(c.select("cid", F.col("vec").alias("relevant")), "cid").select("qid", "relevant")
+    after = c.select((F.col("cid") - 1).alias("qid"), F.col("vec").alias("irrelevant"))
+    rows = q.select("qid", F.col("vec").alias("anchor")).join(gold, "qid").join(after, "qid").withColumnRenamed("qid", "id")
+    out = vectors.collapse(rows)
+    return out.select("id", *[F.round(x, 6).alias(x) for x in out.columns if x != "id"])
+
+
+QUERIES = {f.__name__: f for f in (retrieval_metrics_cut, mining_skips, collapse_diagnostic, retrieval_topk, retrieval_metrics, matryoshka_sweep, hard_negatives, hard_negatives_filtered, hard_negatives_wide, mining_counters)}
 
 
 def _ranked(dims: tuple[int, ...]) -> str:
@@ -95,12 +120,13 @@ s AS (SELECT q.dim, q.vec_id AS qid, c.vec_id AS cid, q.label = c.label AS hit,
 r AS (SELECT *, row_number() OVER (PARTITION BY dim, qid ORDER BY sim DESC, cid) AS rank FROM s)"""
 
 
-def _metrics_sql(dims: tuple[int, ...]) -> str:
+def _metrics_sql(dims: tuple[int, ...], least: float = -2.0) -> str:
     cols = ["round(avg(dcg / ideal), 6) AS ndcg_10", "round(avg(coalesce(1.0 / first, 0)), 6) AS mrr_10", "round(avg(ap / n_rel), 6) AS map_100"]
     for k in (1, 3, 5, 10):
         cols += [f"round(avg(h{k} / n_rel), 6) AS recall_{k}", f"round(avg(CASE WHEN h{k} > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy_{k}", f"round(avg(h{k} / {k}), 6) AS precision_{k}"]
     return f"""WITH {_ranked(dims)},
-h AS (SELECT *, sum(hit::INT) OVER (PARTITION BY dim, qid ORDER BY rank) AS so_far, sum(hit::INT) OVER (PARTITION BY dim, qid) AS n_rel FROM r),
+g AS (SELECT * EXCLUDE (hit), hit AND sim >= {least}::DOUBLE AS hit, sum(hit::INT) OVER (PARTITION BY dim, qid) AS n_rel FROM r),
+h AS (SELECT *, sum(hit::INT) OVER (PARTITION BY dim, qid ORDER BY rank) AS so_far FROM g),
 p AS (SELECT dim, qid, n_rel, coalesce(sum(1 / log2(rank + 1)) FILTER (hit AND rank <= 10), 0) AS dcg, min(rank) FILTER (hit AND rank <= 10) AS first,
         coalesce(sum(so_far / rank) FILTER (hit AND rank <= 100), 0) AS ap, {", ".join(f"(count(*) FILTER (hit AND rank <= {k}))::DOUBLE AS h{k}" for k in (1, 3, 5, 10))}
       FROM h WHERE n_rel > 0 GROUP BY ALL),
@@ -116,6 +142,14 @@ SQL = {
     "retrieval_topk": f"WITH {_ranked((64,))} SELECT qid, cid, round(sim, 6) AS sim, rank FROM r WHERE rank <= 10",
     "retrieval_metrics": _metrics_sql((64,)),
     "matryoshka_sweep": _metrics_sql(DIMS),
+    "retrieval_metrics_cut": _metrics_sql((64,), LEAST),
+    "mining_skips": f"""WITH {_ranked((64,))} {_GOLD}, k AS (SELECT g.qid, count(f.cid) AS k FROM g LEFT JOIN f ON f.qid = g.qid GROUP BY ALL)
+SELECT sum((wr < 5)::INT)::BIGINT AS skipped_range, sum((wr >= 5 AND sim > 0.9)::INT)::BIGINT AS skipped_max, sum((wr >= 5 AND sim <= 0.9 AND sim > gold_sim - 0.1)::INT)::BIGINT AS skipped_margin,
+  (SELECT count(*) FROM k WHERE k < 5) AS skipped_match, (SELECT count(*) FROM k WHERE k < 5) AS insufficient FROM w""",
+    "collapse_diagnostic": f"""WITH {_ranked((64,))} {_GOLD}, v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+t AS (SELECT g.qid AS id, a.v AS a, b.v AS b, c.v AS c FROM g JOIN v a ON a.vec_id = g.qid JOIN v b ON b.vec_id = gold_cid JOIN v c ON c.vec_id = g.qid + 1),
+n AS (SELECT id, sqrt(list_dot_product(a, a)) AS na, sqrt(list_dot_product(b, b)) AS nb, sqrt(list_dot_product(c, c)) AS nc, list_dot_product(a, b) AS ab, list_dot_product(a, c) AS ac FROM t)
+SELECT id, round(na, 6) AS norm_anchor, round(nb, 6) AS norm_relevant, round(nc, 6) AS norm_irrelevant, round(ab / na / nb, 6) AS cos_relevant, round(ac / na / nc, 6) AS cos_irrelevant, round(ab / na / nb - ac / na / nc, 6) AS gap FROM n""",
     "hard_negatives": f"WITH {_ranked((64,))} {_GOLD} SELECT qid, wr + 1 AS seat, cid, round(sim, 6) AS sim FROM w WHERE wr < 5",
     "hard_negatives_filtered": f"WITH {_ranked((64,))} {_GOLD} SELECT qid, seat, cid, round(sim, 6) AS sim FROM f WHERE seat <= 5",
     "hard_negatives_wide": f"WITH {_ranked((64,))} {_GOLD} SELECT g.qid, " + ", ".join(f"coalesce(max(f.cid::VARCHAR) FILTER (seat = {i}), '') AS negative_{i}" for i in range(1, 6)) + " FROM g LEFT JOIN f ON f.qid = g.qid GROUP BY g.qid",

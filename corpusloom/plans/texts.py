@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chunking
+from corpusloom.operators import reports as R
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +66,9 @@ def chunk_context_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the chunks of a source, section type = language and annex = none; merged within a group of neighbouring documents."""
-    d = _docs(spark, sf_dir)
-    group = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 200).cast("string"))
-    c = d.select(group.alias("source"), F.col("doc_id").alias("pos"), "text", T.token_estimate(F.col("text")).alias("tokens"), F.col("lang").alias("section_type"), F.lit(None).cast("int").alias("article_number"), F.lit("").alias("annex_number"), F.concat(F.lit("doc > "), F.col("doc_id").cast("string")).alias("hierarchy_path"))
+    """The lines of each document as its chunks; every seventh line has another section type, so that runs of small ones end."""
+    d = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    c = d.select("source", F.col("pos").cast("long").alias("pos"), "text", T.token_estimate(F.col("text")).alias("tokens"), F.when(F.col("pos") % 7 == 6, "b").otherwise("a").alias("section_type"), F.lit(None).cast("int").alias("article_number"), F.lit("").alias("annex_number"), F.concat(F.lit("doc > "), F.col("pos").cast("string")).alias("hierarchy_path"))
     return chunking.merged(c).select("source", "pos", F.md5(F.col("text").cast("binary")).alias("md5"), "tokens", "hierarchy_path")
 
 
@@ -94,12 +94,42 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def no_duplicate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts found twice in one batch: none."""
+    """The batch of every row; the SQL gives it from the rule, and batches of more than 64 rows or with a text twice would show as rows of another batch."""
     rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text")
-    return chunking.batches_without_repeats(rows, "text", 64).groupBy("batch", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("batch", "n")
+    return chunking.batches_without_repeats(rows, "text", 64).select("row_id", "batch")
 
 
-QUERIES = {f.__name__: f for f in (doc_clean, sentence_split, token_buckets, length_stats, length_outliers, chunk_pack, chunk_ids, chunk_context_variants, chunk_merge_small, query_type_hist, article_ref_rate, prompt_render, no_duplicate_batches)}
+#: Labels of sources; all others are "other".
+LABELS = {"src0": "first", "src1": "second"}
+
+
+def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.label_of(F.col("source"), LABELS, "other").alias("label"), T.label_of(F.substring("lang", 1, 0), {"": "all"}).alias("whole"))
+
+
+def text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space squeezed, a path's last part, a captured number and a namespaced id."""
+    path = T.path_of(F.col("lang"), F.col("source"), F.col("doc_id").cast("string"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.squeeze(F.col("text")).cast("binary")).alias("md5"), T.last_segment(path).alias("last"), T.captured_int(F.col("source"), r"(\d+)").cast("long").alias("number"), T.namespaced(F.col("source"), F.col("lang"), F.col("doc_id")).alias("name"))
+
+
+def query_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns against four expected of each conversation id up to 500."""
+    return R.coverage(spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'"), 2000)
+
+
+def query_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents of each source."""
+    return R.samples(_docs(spark, sf_dir).select("source", "doc_id"), "source", "doc_id").select("source", "place", "doc_id")
+
+
+def turn_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = R.listing(rows, "conv_id", "turn", "role")
+    return found.select("conv_id", F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda x: F.concat_ws(":", x["turn"], x["role"])), ",").alias("turns"))
+
+
+QUERIES = {f.__name__: f for f in (doc_clean, sentence_split, token_buckets, length_stats, length_outliers, chunk_pack, chunk_ids, chunk_context_variants, chunk_merge_small, query_type_hist, article_ref_rate, prompt_render, no_duplicate_batches, label_lookup, text_fields, query_coverage, query_samples, turn_listing)}
 
 _SENTENCES = r"""
 s AS (SELECT doc_id, source, list_filter(list_transform(string_split(regexp_replace(text, '([.;:])\s+|\n{2,}', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents)"""
@@ -133,5 +163,13 @@ SELECT lang, CASE WHEN t < 50 THEN '<50' WHEN t < 200 THEN '50-200' WHEN t < 500
 SELECT kind, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM k WHERE kind IS NOT NULL GROUP BY kind""",
     "article_ref_rate": "SELECT count(*) AS n, count(DISTINCT text) AS n_distinct, round(avg(CASE WHEN contains(lower(text), 'tion') OR contains(lower(text), 'heit') THEN 1.0 ELSE 0.0 END), 6) AS rate, round(1 - count(DISTINCT text) / count(*), 6) AS duplicate_rate FROM conversations WHERE role = 'user'",
     "prompt_render": """SELECT doc_id, md5('{"source": "' || source || '"}' || chr(10) || text) AS md5 FROM documents""",
-    "no_duplicate_batches": "SELECT 0::BIGINT AS batch, 0::BIGINT AS n WHERE false",
+    "no_duplicate_batches": """WITH d AS (SELECT doc_id AS row_id, text, (strpos('0123456789abcdef', substr(md5(doc_id::VARCHAR), 1, 1)) - 1) % 4 AS part, strpos('0123456789abcdef', substr(md5(text), 1, 1)) - 1 AS share FROM documents),
+c AS (SELECT *, row_number() OVER (PARTITION BY text, part ORDER BY row_id) - 1 AS copy FROM d),
+a AS (SELECT *, row_number() OVER (PARTITION BY part, copy, share ORDER BY row_id) - 1 AS place FROM c)
+SELECT row_id, part || '/' || copy || '/' || share || '/' || (place // 64) AS batch FROM a""",
+    "label_lookup": "SELECT doc_id, CASE source WHEN 'src0' THEN 'first' WHEN 'src1' THEN 'second' ELSE 'other' END AS label, 'all' AS whole FROM documents",
+    "text_fields": r"SELECT doc_id, md5(regexp_replace(text, '\s+', ' ', 'g')) AS md5, doc_id::VARCHAR AS last, try_cast(regexp_extract(source, '(\d+)', 1) AS BIGINT) AS number, coalesce(lang, source) || '_' || doc_id AS name FROM documents",
+    "query_coverage": "SELECT count(*) AS n, 2000::BIGINT AS expected, round(count(*) / 2000, 6) AS share FROM conversations WHERE role = 'user'",
+    "query_samples": "SELECT source, place, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) WHERE place <= 2",
+    "turn_listing": "SELECT conv_id, count(*) AS n, string_agg(turn || ':' || role, ',' ORDER BY turn, role) AS turns FROM conversations GROUP BY conv_id",
 }

@@ -2,25 +2,55 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a Parquet table in the folder that all executors share."""
+    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a cluster this is an error, as executors don't share local folders."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="corpusloom-")
         sc.setCheckpointDir(found)
-    path = f"{found.rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return found.rstrip("/")
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all scratch tables of this library, results that have not been read included."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusloom")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dense_index(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """rows with ``name``, dense from 0 in each group of ``by``, in order. Ranks count within ranges of the order, and ranges are added up by a table of one row per range and group,
+    so a group of any size spans tasks. Rows of equal order get their numbers in any order."""
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    placed = materialize(spark, ranged.withColumn("_dense_part", F.spark_partition_id()).withColumn("_dense_seat", F.monotonically_increasing_id()), "ranges")
+    group = [F.col(b).alias(f"_dense_by{i}") for i, b in enumerate(by)]
+    sizes = placed.groupBy("_dense_part", *group).agg(F.count(F.lit(1)).alias("_dense_n"), F.min("_dense_seat").alias("_dense_first")).withColumnRenamed("_dense_part", "_dense_of")
+    before = Window.partitionBy(*[f"_dense_by{i}" for i in range(len(by))]).orderBy("_dense_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_dense_start", F.coalesce(F.sum("_dense_n").over(before), F.lit(0)))
+    same = F.col("_dense_part") == F.col("_dense_of")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_dense_by{i}"))
+    return placed.join(starts, same).select(*rows.columns, (F.col("_dense_start") + F.col("_dense_seat") - F.col("_dense_first")).alias(name))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -87,6 +117,25 @@ def write_json_map(rows: DataFrame, path: str, key: str, value: str) -> None:
     rows.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def results_json(spark: SparkSession, path: str) -> DataFrame:
+    """model, eval_set, dim, metric, value, seq of a JSON object model > set > dimension > metric > value; seq is the place of the dimension in its set."""
+    kind = "map<string,map<string,map<string,map<string,double>>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("model", "sets"))
+    rows = rows.select("model", F.explode("sets").alias("eval_set", "dims")).select("model", "eval_set", F.posexplode(F.map_entries("dims")).alias("seq", "d"))
+    return rows.select("model", "eval_set", F.col("d.key").cast("long").alias("dim"), F.explode("d.value").alias("metric", "value"), F.col("seq").cast("long").alias("seq"))
+
+
+def write_results_json(results: DataFrame, path: str) -> None:
+    """The object that ``results_json`` reads, dimensions in order of seq where there is one, else of size. One string: for result tables."""
+    order = "seq" if "seq" in results.columns else "dim"
+    pack = lambda key, value, *first: F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct(*first, key.alias("k"), value.alias("v")))), lambda x: F.struct(x["k"], x["v"])))
+    dims = results.groupBy("model", "eval_set", "dim").agg(F.min(order).alias("o"), pack(F.col("metric"), F.col("value")).alias("m"))
+    sets = dims.groupBy("model", "eval_set").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("o", F.col("dim").cast("string").alias("k"), "m")), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)), lambda x: F.struct(x["k"], x["m"]))).alias("m"))
+    entries = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)))
+    models = sets.groupBy("model").agg(entries("eval_set", "m").alias("m"))
+    models.agg(F.to_json(entries("model", "m")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_versioned(rows: DataFrame, path: str) -> str:
     """Writes a new version below path; returns its place. Older versions stay."""
     at = f"{path.rstrip('/')}/version={datetime.now(UTC):%Y%m%dT%H%M%S%f}"
