@@ -10,8 +10,11 @@ the documents that can have a link; any function of the n-gram gives a valid ord
    task sends one entry for each n-gram it has seen, so a common one costs a row per task.
 2. For one document of each distinct set that is left, the first ``n - ceil(t n) + 1`` n-grams in the order are the fragment that each link must
    meet in. Documents that share one there, and whose sizes allow a link, are chained into candidate groups.
-3. All pairs of a group are resolved by partial overlaps, counted fragment by fragment and summed. A group that is too large for a task is cut into blocks: first each
-   block alone, then pairs of blocks, in which only documents of different components are compared. Only links that join components leave a task.
+3. Pairs of a group are resolved by partial overlaps. The order is cut at pivots of equal load, and each document's n-grams of a fragment go to that fragment's task, which counts what
+   each pair of a group shares there; these counts are summed per pair by a shuffle. That is done for groups of at most ``PAIR_GROUP`` documents, so there are at most
+   half as many pairs per document. In a larger group, whose pairs would grow as its square, the same counts per fragment are summed inside a task, a pair is given up when
+   what is left can't make it a link, and only links that join components leave the task. A group that is too large for a task is cut into blocks: first each
+   block alone, then pairs of blocks, in which only documents of different components are compared.
 
 Contract: 100 * intersection >= percent * union links two documents. Null, empty and blank texts have no n-grams and link with
 nothing. A text of fewer than n words has one n-gram, its whole sequence. Rows that repeat a doc_id are
@@ -34,9 +37,10 @@ from corpusloom.llm.bytetext import chained, column_bytes, mix, shingle_sets, sl
 from corpusloom.llm.graph import EDGES, Forest, components
 from corpusloom.llm.runtime import balanced_join, discard, materialize, numbered, partitions, salted_join, ship, trim
 
-SKETCH_BITS = 22
-BLOOM_BITS = 24
+#: Least and most bits of the sketch of n-grams and of the filter of documents; between these they grow with the candidates. Beyond, both grow less selective, which costs time and no link.
+SKETCH_BITS, BLOOM_BITS = (22, 24), (24, 27)
 FRAGMENTS = 8
+PAIR_GROUP = 16
 #: N-grams in a task: of a bucket of step 2, and of a block of step 3.
 BUCKET, BLOCK = 600_000, 1_000_000
 FLUSH = 400_000
@@ -49,8 +53,13 @@ SPREAD = "part int, seq int, bucket int, tokens binary, owners binary, doc_id ar
 PREFIX = "bucket int, tokens binary, owners binary, ids binary, low binary, high binary"
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _slot(h: np.ndarray, size: int) -> np.ndarray:
+    """Places in a sketch of ``size`` entries, a power of two."""
+    return (h >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _bits(entries: int, limits: tuple[int, int]) -> int:
+    return min(max(entries.bit_length(), limits[0]), limits[1])
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -156,16 +165,86 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": pdf["part"].iloc[:1], "seq": pdf["seq"].iloc[:1], "shared": [total.tolist()]})
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(size: int) -> Callable:
     """The sketch's rows for a table of sets."""
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for b in batches:
-        for g in b.column(0).to_pylist():
-            np.add.at(sketch, _slot(np.frombuffer(g, np.uint64)), 1)
-    rows = reduce.packed(sketch, TaskContext.get().partitionId())
-    del sketch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(size, np.uint32)
+        for b in batches:
+            for g in b.column(0).to_pylist():
+                np.add.at(sketch, _slot(np.frombuffer(g, np.uint64), size), 1)
+        rows = reduce.packed(sketch, TaskContext.get().partitionId())
+        del sketch
+        trim()
+        yield pa.RecordBatch.from_pydict({"block": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+def pivots(rank: np.ndarray, counts: np.ndarray, parts: int = FRAGMENTS) -> list[tuple[int, int]]:
+    """Places (rank, hash) that cut the order into fragments of about equal load."""
+    load = np.bincount(rank, weights=counts)
+    load[0] = 0  # n-grams of one set are not sent
+    upto = np.cumsum(load)
+    out = []
+    for k in range(1, parts):
+        goal = upto[-1] * k / parts
+        r = min(int(np.searchsorted(upto, goal, "right")), len(load) - 1)
+        inside = (goal - (upto[r] - load[r])) / load[r] if load[r] else 0.0
+        out.append((r, min(int(inside * 2.0**64), (1 << 64) - 1)))
+    return out
+
+
+def _fragments(sketch, cuts: list[tuple[int, int]]) -> Callable:
+    """Each document's n-grams by fragment of the order; those of one set are left out. ``print`` tells rows of one doc_id and different texts apart."""
+    schema = pa.schema([("fragment", pa.int32()), ("doc_id", pa.int64()), ("print", pa.int64()), ("component", pa.int64()), ("size", pa.int32()), ("part", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.frombuffer(sketch.value, np.uint8)
+        for b in batches:
+            out = []
+            for doc_id, component, g in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = np.frombuffer(g, np.uint64)
+                r = rank[_slot(s, len(rank))]
+                known = r > 0
+                h, r = s[known], r[known]
+                fragment = np.zeros(len(h), np.int64)
+                for pr, ph in cuts:
+                    fragment += (r > pr) | ((r == pr) & (h >= np.uint64(ph)))
+                order = np.argsort(fragment, kind="stable")
+                at = np.searchsorted(fragment[order], np.arange(len(cuts) + 2))
+                mark = int(np.add.reduce(mix(s)).view(np.int64))
+                out += [(k, doc_id, mark, component, len(s), h[order[at[k] : at[k + 1]]].tobytes()) for k in range(len(cuts) + 1) if at[k + 1] > at[k]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        trim()
+
+    return run
+
+
+PARTS = "fragment int, doc_id long, print long, component long, size int, part binary"
+PARTIAL = "i long, pi long, j long, pj long, ni int, nj int, partial long"
+
+
+def partial_overlaps(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one fragment: what each pair of documents of a group shares in it. Columns doc_id, print, component, size, part."""
+    pdf = pdf.drop_duplicates(["doc_id", "print"]).sort_values(["doc_id", "print"])
+    parts = [np.frombuffer(x, np.uint64) for x in pdf["part"]]
+    token, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    group = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1][owner]
+    order = np.lexsort((owner, token, group))
+    token, owner, group = token[order], owner[order], group[order]
+    found = [np.zeros(0, np.int64)]
+    for step in range(1, len(parts)):
+        same = (token[step:] == token[:-step]) & (group[step:] == group[:-step])
+        if not same.any():
+            break
+        found.append(owner[:-step][same] * len(parts) + owner[step:][same])
+    pair, count = np.unique(np.concatenate(found), return_counts=True)
+    i, j = pair // len(parts), pair % len(parts)
+    ids, mark, size = (pdf[c].to_numpy() for c in ("doc_id", "print", "size"))
+    out = pd.DataFrame({"i": ids[i], "pi": mark[i], "j": ids[j], "pj": mark[j], "ni": size[i], "nj": size[j], "partial": count})
     trim()
-    yield pa.RecordBatch.from_pydict({"block": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+    return out
 
 
 def _prefix_length(size: int, percent: int) -> int:
@@ -228,7 +307,7 @@ def _prefixes(percent: int, n_buckets: int, sketch) -> Callable:
         for b in batches:
             for i, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = np.frombuffer(g, np.uint64)
-                place = rank[_slot(s)]
+                place = rank[_slot(s, len(rank))]
                 first = np.argsort(place, kind="stable")[: _prefix_length(len(s), percent)]
                 # The sketch never counts too little, so rank 0 is an n-gram of one set.
                 mine = s[first[place[first] > 0]]
@@ -285,21 +364,21 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"u": np.frombuffer(u, np.int64), "v": np.frombuffer(v, np.int64)})
 
 
-def _bloom(column: int) -> Callable:
+def _bloom(column: int, size: int) -> Callable:
     schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        bits = np.zeros(size, bool)
         for b in batches:
-            bits[_bloom_slot(b.column(column).to_numpy(zero_copy_only=False))] = True
+            bits[_bloom_slot(b.column(column).to_numpy(zero_copy_only=False), size)] = True
         rows = reduce.packed(np.packbits(bits), TaskContext.get().partitionId())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(3)], schema=schema)
 
     return run
 
 
-def _bloom_slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
+def _bloom_slot(ids: np.ndarray, size: int) -> np.ndarray:
+    return _slot(mix(ids.astype(np.int64).view(np.uint64)), size)
 
 
 def _wanted_sets(n: int, bloom) -> Callable:
@@ -309,7 +388,7 @@ def _wanted_sets(n: int, bloom) -> Callable:
             ids = b.column(0)
             keep = np.zeros(len(ids), bool)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
-            keep[known] = bits[_bloom_slot(ids.drop_null().to_numpy(zero_copy_only=False))]
+            keep[known] = bits[_bloom_slot(ids.drop_null().to_numpy(zero_copy_only=False), len(bits))]
             for some, sets in _sets(b.filter(pa.array(keep)), n) if keep.any() else ():
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(some, pa.int64()), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
 
@@ -331,7 +410,7 @@ def links(ids: list[int], sets: list[np.ndarray], side: list[int], label: list[i
     gram, inv, times = np.unique(flat, return_inverse=True, return_counts=True)
     shared = times > 1
     place = np.full(len(gram), -1, np.int64)
-    by = np.flatnonzero(shared)[np.lexsort((gram[shared], rank[_slot(gram[shared])]))]
+    by = np.flatnonzero(shared)[np.lexsort((gram[shared], rank[_slot(gram[shared], len(rank))]))]
     place[by] = np.arange(len(by))
     owner = np.repeat(np.arange(m), size)
     where = place[inv]
@@ -405,13 +484,18 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     alike, reps_at = materialize(spark, known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "representatives")
     same = balanced_join(known, alike.where("copies > 1"), ["fp1", "fp2", "n_shingles"], ["doc_id"], "copies").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     reps = alike.select(F.col("first").alias("doc_id"))
-    bits = reduce.total(reps.select("doc_id").mapInArrow(_bloom(0), reduce.SCHEMA), 1 << (BLOOM_BITS - 3), "uint8", "or")
+    # About 16 bits for each document in the filter, and a counter for each n-gram that passes it.
+    size = 1 << _bits(8 * reps.count(), BLOOM_BITS)
+    bits = reduce.total(reps.select("doc_id").mapInArrow(_bloom(0, size), reduce.SCHEMA), size >> 3, "uint8", "or")
     bloom = spark.sparkContext.broadcast(bits.tobytes())
     grams, grams_at = materialize(spark, source.mapInArrow(_wanted_sets(n, bloom), "doc_id long, grams binary"), "sets")
-    counts = reduce.total(grams.select("grams").mapInArrow(_counted, reduce.SCHEMA), 1 << SKETCH_BITS)
+    load = grams.agg(F.coalesce(F.sum(F.length("grams")), F.lit(0))).first()[0] // 8
+    size = 1 << _bits(load // 4, SKETCH_BITS)
+    counts = reduce.total(grams.select("grams").mapInArrow(_counted(size), reduce.SCHEMA), size)
     rank = np.ceil(4 * np.log2(np.maximum(counts, 1).astype(np.float64))).astype(np.uint8)
+    cuts = pivots(rank, counts)
+    del counts
     sketch = spark.sparkContext.broadcast(rank.tobytes())
-    load = grams.agg(F.coalesce(F.sum(F.length("grams")), F.lit(0))).first()[0] // 8
     n_buckets = max(partitions(spark), 1 + load * (100 - percent) // 100 // BUCKET)
     prefixes, prefixes_at = materialize(spark, grams.mapInArrow(_prefixes(percent, n_buckets, sketch), PREFIX), "prefixes")
     near = prefixes.where("bucket >= 0").groupBy("bucket").applyInPandas(_bucket_edges(percent), EDGES)
@@ -422,16 +506,22 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     # Only ids and sizes are moved to weigh groups. Both sides of these joins grow with the input, so they are sorted at every size.
     node = groups.withColumnRenamed("node", "doc_id")
     sizes = grams.select("doc_id", (F.length("grams") / 8).alias("size"))
-    weights = sizes.join(node.hint("merge"), "doc_id").groupBy("component").agg(F.sum("size").alias("weight"))
-    placed, placed_at = materialize(spark, salted_join(node, weights.hint("merge"), ["component"], ["doc_id"]).select("doc_id", "component", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")), "placed")
+    weights = sizes.join(node.hint("merge"), "doc_id").groupBy("component").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("members"))
+    placed, placed_at = materialize(spark, salted_join(node, weights.hint("merge"), ["component"], ["doc_id"]).select("doc_id", "component", "members", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks")), "placed")
     discard(spark, groups_at)
     sets = grams.join(placed.hint("merge"), "doc_id")
     bins = max(partitions(spark), 1 + int(load // BLOCK))
+    few = sets.where(F.col("members") <= PAIR_GROUP).select("doc_id", "component", "grams").mapInArrow(_fragments(sketch, cuts), PARTS)
+    few = few.withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(-(-bins // FRAGMENTS))))
+    partial = few.groupBy("fragment", "bin").applyInPandas(partial_overlaps, PARTIAL)
+    overlap = partial.groupBy("i", "pi", "j", "pj", "ni", "nj").agg(F.sum("partial").alias("o"))
+    paired = overlap.where(100 * F.col("o") >= percent * (F.col("ni") + F.col("nj") - F.col("o"))).select(F.col("j").alias("u"), F.col("i").alias("v"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    sets = sets.where(F.col("members") > PAIR_GROUP)
     alone = sets.select("doc_id", "component", "grams", F.lit(-1).alias("side"), F.col("doc_id").alias("label"), F.when(F.col("blocks") > 1, block).otherwise(-1).alias("block"), F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"))
     alone = alone.withColumn("bin", F.when(F.col("block") < 0, F.col("bin")).otherwise(F.col("component")))
     work = _resolve(percent, sketch)
-    first, first_at = materialize(spark, alone.groupBy("block", "bin").applyInPandas(work, EDGES).union(same), "links")
+    first, first_at = materialize(spark, alone.groupBy("block", "bin").applyInPandas(work, EDGES).union(paired).union(same), "links")
     paths = [rows_at, reps_at, grams_at, placed_at, first_at]
     every = first
     if placed.where("blocks > 1").limit(1).count():

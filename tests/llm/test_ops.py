@@ -530,3 +530,54 @@ def test_least_determinant_of_the_starts(spark):
     columns = ["start int", "g_lang string", "g_source string", *[f"m{i} double" for i in range(4)], *[f"{c} double" for c in k]]
     best = quality_rules._least(spark.createDataFrame(rows, ", ".join(columns))).collect()
     assert sorted(map(tuple, best)) == sorted([rows[1], rows[3]])
+
+
+def test_partial_overlaps_sum_to_the_overlap():
+    """Fragments cut at pivots of the order: what they count per pair sums to the intersection, for pairs of one group only."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)
+    docs = [(int(i), int(i % 3), np.unique(rng.choice(pool, 60))) for i in rng.permutation(12)]
+    size = 1 << 10
+    counts = np.zeros(size, np.uint32)
+    for _, _, s in docs:
+        np.add.at(counts, ngram_join._slot(s, size), 1)
+    rank = np.ceil(4 * np.log2(np.maximum(counts, 1).astype(float))).astype(np.uint8)
+    cuts = ngram_join.pivots(rank, counts)
+    assert cuts == sorted(cuts)
+
+    class Held:
+        value = rank.tobytes()
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d[0] for d in docs], "component": [d[1] for d in docs], "grams": [d[2].tobytes() for d in docs]})
+    parts = next(ngram_join._fragments(Held, cuts)(iter([batch]))).to_pandas()
+    assert parts["fragment"].nunique() > 4
+    summed = Counter()
+    for _, g in parts.groupby("fragment"):
+        for r in ngram_join.partial_overlaps(pd.DataFrame(g)).itertuples():
+            summed[(r.i, r.j)] += r.partial
+            assert (r.ni, r.nj) == tuple(len(next(s for i, _, s in docs if i == x)) for x in (r.i, r.j))
+    want = {(a, b): n for a, x, s in docs for b, y, t in docs if a < b and x == y and (n := len(np.intersect1d(s, t)))}
+    assert dict(summed) == want
+
+
+def test_ngram_join_by_fragments_and_in_tasks(spark, monkeypatch):
+    """Groups on both sides of PAIR_GROUP give the same components as when all are resolved one way."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(12):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        for _ in range(rng.choice([2, 3, 5, 25])):
+            v = list(w)
+            for _ in range(rng.randrange(4)):
+                v[rng.randrange(40)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(v))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for most in (16, 1, 1000):
+        monkeypatch.setattr(ngram_join, "PAIR_GROUP", most)
+        found.append(sorted(map(tuple, ngram_join.jaccard_components(spark, docs).collect())))
+    assert found[0] == found[1] == found[2] and 12 <= len({c for _, _, c in found[0]}) < len(texts)
