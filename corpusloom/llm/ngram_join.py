@@ -183,7 +183,9 @@ def _counted(size: int) -> Callable:
 
 def pivots(rank: np.ndarray, counts: np.ndarray, parts: int = FRAGMENTS) -> list[tuple[int, int]]:
     """Places (rank, hash) that cut the order into fragments of about equal load."""
-    load = np.bincount(rank, weights=counts)
+    load = np.zeros(256)
+    for k in range(0, len(rank), 1 << 20):
+        load += np.bincount(rank[k : k + (1 << 20)], weights=counts[k : k + (1 << 20)], minlength=256)
     load[0] = 0  # n-grams of one set are not sent
     upto = np.cumsum(load)
     out = []
@@ -492,7 +494,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     load = grams.agg(F.coalesce(F.sum(F.length("grams")), F.lit(0))).first()[0] // 8
     size = 1 << _bits(load // 4, SKETCH_BITS)
     counts = reduce.total(grams.select("grams").mapInArrow(_counted(size), reduce.SCHEMA), size)
-    rank = np.ceil(4 * np.log2(np.maximum(counts, 1).astype(np.float64))).astype(np.uint8)
+    rank = np.zeros(size, np.uint8)
+    for k in range(0, size, 1 << 20):  # in parts, for the driver's memory
+        rank[k : k + (1 << 20)] = np.ceil(4 * np.log2(np.maximum(counts[k : k + (1 << 20)], 1).astype(np.float64)))
     cuts = pivots(rank, counts)
     del counts
     sketch = spark.sparkContext.broadcast(rank.tobytes())

@@ -581,3 +581,60 @@ def test_ngram_join_by_fragments_and_in_tasks(spark, monkeypatch):
         monkeypatch.setattr(ngram_join, "PAIR_GROUP", most)
         found.append(sorted(map(tuple, ngram_join.jaccard_components(spark, docs).collect())))
     assert found[0] == found[1] == found[2] and 12 <= len({c for _, _, c in found[0]}) < len(texts)
+
+
+def plain_network(w, data):
+    """Mean probabilities of a text's bytes by the recurrences as they are written, a window and a position at a time."""
+    total = np.zeros(len(w["c"]))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for a in range(0, len(data), language_id.WINDOW):
+        part = data[a : a + language_id.WINDOW]
+        sides = []
+        for side, order in (("f", part), ("b", bytes(language_id.WINDOW - len(part)) + part[::-1])):
+            e, u, n = w["e" + side].astype(float), w["u" + side].astype(float), language_id.HIDDEN
+            h, states = np.zeros(n), []
+            for x in order:
+                i, r = e[:, x], u @ h
+                keep, reset = sigmoid(i[:n] + r[:n]), sigmoid(i[n : 2 * n] + r[n : 2 * n])
+                h = keep * h + (1 - keep) * np.tanh(i[2 * n :] + reset * r[2 * n :])
+                states.append(h)
+            sides.append(states if side == "f" else states[::-1][: len(part)])
+        for f, b in zip(*sides, strict=True):
+            logits = w["of"] @ f + w["ob"] @ b + w["c"][:, 0]
+            p = np.exp(logits - logits.max())
+            total += p / p.sum()
+    return total / len(data)
+
+
+def test_network_equals_plain_recurrences():
+    rng = np.random.default_rng(5)
+    w = {k: rng.normal(size=v.shape).astype(np.float32) * 0.5 for k, v in language_id.start_weights(3).items()}
+    texts = ["a", "the quick brown fox", "größe und länge " * 9, "x" * language_id.WINDOW, "é中𝒳" * 40]
+    import pyarrow as pa
+
+    raw, offs = language_id.column_bytes(pa.array(texts))
+    chance, _ = language_id.Network(w).documents(raw, offs)
+    for t, got in zip(texts, chance, strict=True):
+        assert np.allclose(got, plain_network(w, t.encode()), atol=2e-4), t
+
+
+def test_query_of_lattices_equals_all_segmentations(spark):
+    """The operator over words of documents: every segmentation of a short text, its probability by all ways, and as many samples as there are when few."""
+    words = ["the", "aa", "ab to", "dé", "x1", "of a"]
+    v = piece_lattice.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    weight = {v.text_of[i]: x for i, x in enumerate(v.weight) if x < 0}
+
+    def ways(s):
+        if not s:
+            return [((), 0.0)]
+        out = [((s[:n], *t), weight[s[:n]] + x) for n in range(1, len(s) + 1) if s[:n] in weight for t, x in ways(s[n:])]
+        return out
+
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    for r in piece_lattice.sampled_segmentations(spark, docs, tokenizer_path("piece_bpe_32k.model"), 40).collect():
+        every = dict(ways("▁" + words[r.doc_id].replace(" ", "▁")))
+        z = math.log(sum(map(math.exp, every.values())))
+        got = {tuple(v.text_of[i] for i in np.frombuffer(x, "<u2")): p for x, p in zip(r.ids, r.log_prob, strict=True)}
+        assert len(got) == len(r.ids) == min(40, len(every)) and r.decoded
+        assert all(math.isclose(p, every[a] - z, abs_tol=1e-9) for a, p in got.items())
+        assert r.perturbed == sorted(r.perturbed, reverse=True) and (len(every) > 40 or all(x == 0 for x in r.log_inclusion))
