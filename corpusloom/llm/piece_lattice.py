@@ -28,7 +28,7 @@ from corpusloom.llm.runtime import ship, trim
 from corpusloom.llm.token_counts import SPACE, PieceCounter
 
 ALPHA, RANK_SHIFT = 1.0, 8.0
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 18
 TABLE_BITS = 18
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,7 +20,8 @@ from corpusloom.sources.tables import shared_dir
 
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
-BATCH_ROWS = 1000
+#: Rows of a batch, and bytes of one sent to a worker; a longer row comes alone.
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +50,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
 def ship(spark: SparkSession) -> None:
     """Makes this package importable by Python workers that were started without the repository on their path."""
     sc = spark.sparkContext
-    # Rows are whole texts: smaller Arrow batches bound what the JVM and a worker hold at once.
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # Rows are whole texts or sets: smaller batches of Arrow and of the Parquet reader bound what the JVM and a worker hold at once. Results are lazy, so the session keeps these settings.
+    arrow = "spark.sql.execution.arrow"
+    for key, most in ((f"{arrow}.maxRecordsPerBatch", BATCH_ROWS), (f"{arrow}.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)):
+        plain = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if not plain or not 0 < int(plain[1]) <= most:
+            spark.conf.set(key, str(most))
     if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(":") or sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
