@@ -43,7 +43,9 @@ def pack(parts: Column, budget: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS)
 
     sizes = F.transform(parts, lambda x: F.floor(F.length(x) / CHARS_PER_TOKEN).cast("int"))
     ends = lambda at: F.transform(F.filter(at, lambda x, i: i % 2 == 0), lambda a, i: F.struct(a.alias("a"), F.get(at, 2 * i + 1).alias("b")))
-    return F.transform(F.array(spans(sizes)), lambda at: F.transform(ends(at), lambda x: F.array_join(F.slice(parts, x["a"] + 1, x["b"] - x["a"]), " ")))[0]
+    # Bound together, so that the sentences are made once and not for each chunk.
+    both = F.array(F.struct(parts.alias("parts"), spans(sizes).alias("at")))
+    return F.transform(both, lambda v: F.transform(ends(v["at"]), lambda x: F.array_join(F.slice(v["parts"], x["a"] + 1, x["b"] - x["a"]), " ")))[0]
 
 
 def packed(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
