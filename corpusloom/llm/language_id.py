@@ -6,7 +6,8 @@ positions. The network is trained in numpy by backpropagation through time, on t
 ``DOCS_PER_LANG`` labelled documents per language (the smallest by a hash of doc_id) and ``WINDOWS_PER_DOC`` windows of each, at places over the whole text.
 
 A document is held out of training if crc32(doc_id as text) mod 4 is 2. Null texts and texts without a letter are ``und`` with score 0, and so is all if
-nothing can be learnt from. Rows without a doc_id are neither held out nor trained on. Repeated rows are predicted each. Extra columns are ignored.
+nothing can be learnt from. Rows without a doc_id are neither held out nor trained on. Repeated rows are predicted each, and
+learnt from once: of rows that share an id and a language the smallest text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -211,10 +212,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame) -> tuple[list[str], Weights | None]:
     """Languages and weights from docs(doc_id, text, lang)."""
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
-    ranked = usable.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("seat")).where(F.col("seat") <= DOCS_PER_LANG)
+    # Rows that share an id and a language share a seat.
+    ranked = usable.select("doc_id", "lang", F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("seat")).where(F.col("seat") <= DOCS_PER_LANG)
     # At most DOCS_PER_LANG rows for each language.
-    chosen = ranked.select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"))
-    text = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))).select("doc_id", "text", "lang")
+    chosen = ranked.select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct()
+    met = usable.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang")))
+    text = met.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
     rows = text.mapInArrow(_windows, "lang string, doc_id long, at long, bytes binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("at", "ascending")])
     if not rows.num_rows:
         return [], None

@@ -96,6 +96,17 @@ def test_language(spark, none):
     assert language_id.identify(spark, none).count() == 0
 
 
+def test_language_of_repeated_rows(spark):
+    """Rows that repeat a document don't multiply what is learnt from; the same is learnt as from one of each."""
+    table = [(i, ("zug kraft " if i % 2 else "lei cielo ") * 5, "xx" if i % 2 else "yy", None, None, 1, 2, None, "x", "y") for i in range(40)]
+    again = [(3, "zug zug kraft", "xx", None, None, 1, 2, None, "x", "y")] * 30 + table[5:6] * 30
+    rows = lambda t: spark.createDataFrame(t, DOCS).select("doc_id", "text", "lang")
+    once, many = language_id.learn(rows(table)), language_id.learn(rows(table + again))
+    assert once[0] == many[0] == ["xx", "yy"]
+    for k, w in once[1].items():
+        assert np.array_equal(w, many[1][k]), k
+
+
 def test_gradients():
     """Backpropagation through time against differences."""
     rng = np.random.default_rng(0)
