@@ -135,7 +135,7 @@ def _short(token: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: for each flush, how many of each document's n-grams occur in another entry."""
+    """Of one bucket: for each flush, the documents with n-grams that occur in another entry, and how many. What is sent on is bounded by the n-grams, not by documents times buckets."""
     tokens = [np.frombuffer(x, np.uint32) for x in pdf["tokens"]]
     token = np.concatenate(tokens)
     order = np.argsort(token, kind="stable")
@@ -145,23 +145,24 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
     del token, order, ordered, same
-    out, at = [], 0
-    for part, seq, owners, t in zip(pdf["part"], pdf["seq"], pdf["owners"], tokens, strict=True):
-        who = np.frombuffer(owners, np.uint16)[twice[at : at + len(t)]]
-        at += len(t)
-        count = np.bincount(who[who != MULTI])
-        if count.any():
-            out.append((part, seq, count.astype(np.uint32).tobytes()))
+    who = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["owners"]])
+    at = np.flatnonzero(twice & (who != MULTI))
+    # Entries are ordered by document, so equal pairs of entry and document are neighbours.
+    pair = (np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])[at] << 16) | who[at]
+    heads = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else pair
+    owner, count = (pair[heads] & 0xFFFF).astype(np.uint16), np.diff(np.append(heads, len(pair))).astype(np.uint32)
+    cut = np.searchsorted(pair[heads] >> 16, np.arange(len(tokens) + 1)).tolist()
+    out = [(part, seq, owner[a:b].tobytes(), count[a:b].tobytes()) for part, seq, a, b in zip(pdf["part"], pdf["seq"], cut[:-1], cut[1:], strict=True) if b > a]
     trim()
-    return pd.DataFrame(out, columns=["part", "seq", "counts"])
+    return pd.DataFrame(out, columns=["part", "seq", "owners", "counts"])
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one flush: the sum of its buckets' counts."""
-    parts = [np.frombuffer(x, np.uint32) for x in pdf["counts"]]
-    total = np.zeros(max(map(len, parts)), np.int64)
-    for p in parts:
-        total[: len(p)] += p
+    owners = [np.frombuffer(x, np.uint16) for x in pdf["owners"]]
+    total = np.zeros(1 + max(int(o[-1]) for o in owners), np.int64)
+    for o, c in zip(owners, pdf["counts"], strict=True):
+        total[o] += np.frombuffer(c, np.uint32)
     return pd.DataFrame({"part": pdf["part"].iloc[:1], "seq": pdf["seq"].iloc[:1], "shared": [total.tolist()]})
 
 
@@ -474,7 +475,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = max(partitions(spark), 1 + size // TEXT_PER_GRAM // BUCKET)
     spread, spread_at = materialize(spark, source.mapInArrow(_spread(n, n_buckets), SPREAD), "fragments")
-    shared = spread.where("bucket >= 0").select("part", "seq", "bucket", "tokens", "owners").groupBy("bucket").applyInPandas(_shared, "part int, seq int, counts binary")
+    shared = spread.where("bucket >= 0").select("part", "seq", "bucket", "tokens", "owners").groupBy("bucket").applyInPandas(_shared, "part int, seq int, owners binary, counts binary")
     summed = shared.groupBy("part", "seq").applyInPandas(_summed, "part int, seq int, shared array<long>")
     flushes = spread.where("bucket < 0").select("part", "seq", "doc_id", "n", "fp1", "fp2", "local").join(summed, ["part", "seq"], "left")
     each = flushes.select("shared", F.posexplode(F.arrays_zip("doc_id", "n", "fp1", "fp2", "local")).alias("at", "d"))

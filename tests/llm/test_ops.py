@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,23 @@ def test_ngram_join(spark, docs, none):
     assert ngram_join.jaccard_components(spark, none).count() == 0
 
 
+def test_shared_counts():
+    """A bucket's counts per flush and document against plain counting; only documents that share something are sent on."""
+    rng = random.Random(2)
+    entries = [sorted((rng.choice([0, 3, 40_000, ngram_join.MULTI]), rng.randrange(12)) for _ in range(n)) for n in (5, 1, 9, 4)]
+    arrays = lambda k, t: [np.array([e[k] for e in x], t).tobytes() for x in entries]
+    got = ngram_join._shared(pd.DataFrame({"part": 1, "seq": range(4), "tokens": arrays(1, np.uint32), "owners": arrays(0, np.uint16)}))
+    times = Counter(t for x in entries for _, t in x)
+    want = {i: Counter(o for o, t in x if times[t] > 1 and o != ngram_join.MULTI) for i, x in enumerate(entries)}
+    read = lambda r: dict(zip(np.frombuffer(r.owners, np.uint16).tolist(), np.frombuffer(r.counts, np.uint32).tolist(), strict=True))
+    assert {r.seq: read(r) for r in got.itertuples()} == {i: dict(c) for i, c in want.items() if c}
+    alone = ngram_join._shared(pd.DataFrame({"part": [1], "seq": [0], "tokens": [np.arange(3, dtype=np.uint32).tobytes()], "owners": [np.zeros(3, np.uint16).tobytes()]}))
+    assert not len(alone)
+    twice = pd.concat([got, got]).query("seq == 0")
+    total = ngram_join._summed(twice)["shared"].iloc[0]
+    assert {i: n for i, n in enumerate(total) if n} == {i: 2 * n for i, n in want[0].items()}
+
+
 def test_ngram_join_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 60)
     texts = [near(i, i % 4) for i in range(25)]
