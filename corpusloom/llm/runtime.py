@@ -12,7 +12,6 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,23 +103,26 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Most files of a table whose list is broadcast to number its rows, some 20 MB; a table of more files is written with numbers.
+FILES = 100_000
+
+
 def numbered(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, str | None]:
-    """(row, number): the rows of docs as one column, so that no name can clash, and a number of each that is equal in every scan: its file's place among the table's files, and its place there.
+    """(row, number): the rows of docs as one column, so that no name can clash, and a number of each that is equal in every scan.
 
-    docs read straight from Parquet files is numbered as it is; anything else is written first, and that table's path is returned for ``discard``.
+    docs read straight from at most ``FILES`` Parquet files is numbered as it is, by a row's file among the table's files and its place there. Anything else is written first with
+    numbers, and that table's path is returned for ``discard``.
     """
-    path, place = None, (F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
-    try:
-        straight = bool(docs.inputFiles()) and bool(docs.select(*place).schema)
-    except AnalysisException:  # made from files by more than reading them
-        straight = False
+    own = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    place = (F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+    # A plan without children: whatever is made of a table may hold a row of it twice.
+    straight = docs._jdf.queryExecution().analyzed().children().isEmpty() and 0 < len(docs.inputFiles()) <= FILES
     if not straight:
-        docs, path = materialize(spark, docs, name)
+        return materialize(spark, docs.select(own, F.monotonically_increasing_id().alias("number")), name)
     # One row per file.
     files = [r[0] for r in docs.select(place[0]).distinct().sort("path").collect()]
     listed = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "file string, place long")
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *place)
-    return own.join(F.broadcast(listed), F.col("path") == F.col("file")).select("row", (F.shiftleft("place", 40) + F.col("at")).alias("number")), path
+    return docs.select(own, *place).join(F.broadcast(listed), F.col("path") == F.col("file")).select("row", (F.shiftleft("place", 40) + F.col("at")).alias("number")), None
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from corpusloom.llm import language_id
+from corpusloom.llm import language_id, ngram_join, runtime
 from corpusloom.llm.queries import tokenizer_path
 import corpus_pipeline
 
@@ -73,3 +73,22 @@ def test_stages_judge_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert texts(corpus_pipeline.lines(spark, docs, str(tmp_path))) == sorted(rows, key=repr)
+
+
+def test_numbers_of_rows(spark, tmp_path, monkeypatch):
+    """A table read from files, one made by more than reading, and one of too many files to list: equal verdicts, and numbers that no two rows share."""
+    texts = [" ".join(f"{w}{i}" for i in range(12)) for w in ("a", "a", "b", "c", "c")] + [None, ""]
+    made = spark.createDataFrame([(i % 4, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, number string").repartition(3)
+    made.write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    kept = []
+    for docs, limit in ((read, 100), (read.where("number = 'z'").repartition(2), 100), (read, 1)):
+        monkeypatch.setattr(runtime, "FILES", limit)
+        rows, path = runtime.numbered(spark, docs, "rows")
+        assert (path is None) == (docs is read and limit == 100)
+        assert len({r.number for r in rows.collect()}) == len(texts)
+        assert len({r.number for r in runtime.numbered(spark, docs.union(docs), "rows")[0].collect()}) == 2 * len(texts)
+        out = ngram_join.one_of_each(spark, docs)
+        assert out.columns == docs.columns
+        kept.append(sorted(((r.doc_id, r.text) for r in out.collect()), key=repr))
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 5
