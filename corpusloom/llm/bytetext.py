@@ -20,6 +20,10 @@ _powers: dict[str, np.ndarray] = {}
 SLICE_BYTES = 1 << 18
 
 
+def ascii_lower(raw: np.ndarray) -> np.ndarray:
+    return _LOWER.astype(np.uint8)[raw]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every input bit."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -65,12 +69,12 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the index of its first word (n+1 entries)."""
+def words(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each row the index of its first word (n+1 entries). ``between`` marks the bytes that no word holds."""
     if not len(raw):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[raw]
+    solid = ~between[raw]
     first = np.empty(len(raw), bool)
     first[0] = True
     first[1:] = ~solid[:-1]

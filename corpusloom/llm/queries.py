@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, language_id, line_dedup, ngram_join, piece_lattice, quality_rules, token_counts, token_files, warc
+from corpusloom.llm import chat, decontaminate, language_id, line_dedup, ngram_join, piece_lattice, quality_rules, resampling, token_counts, token_files, warc
 from corpusloom.llm.runtime import table
 
 
@@ -78,6 +78,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_piece_lattice": op9_piece_lattice,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 SQL: dict[str, str] = {}
@@ -138,3 +143,36 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_ag
   sum(4 + length(role) + 2 + k + 8)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+#: CRC-32 is linear: a run's is the combination of the images of its bytes, each carried over the bytes behind it.
+SQL["op11_importance_resampling"] = r"""
+WITH RECURSIVE
+byte_table AS (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)::BIGINT AS v FROM range(256) r(b)),
+words AS (
+  SELECT 'd' AS side, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+  UNION ALL
+  SELECT 'b', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark
+), runs AS (
+  SELECT side, doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS run FROM words
+), counted AS (SELECT side, doc_id, run, count(*) AS n FROM runs GROUP BY ALL
+), known AS (SELECT run, hex(encode(run)) AS x, octet_length(encode(run)) AS size FROM (SELECT DISTINCT run FROM counted)
+), images AS (
+  SELECT 0 AS k, b, v FROM byte_table
+  UNION ALL
+  SELECT k + 1, i.b, xor(i.v >> 8, t.v) FROM images i JOIN byte_table t ON t.b = i.v & 255 WHERE k + 1 < (SELECT max(size) FROM known)
+), spelt AS (SELECT run, size, unnest(range(size)) AS i, x FROM known
+), buckets AS (
+  SELECT run, xor(xor(bit_xor(v), CASE WHEN any_value(size) < 4 THEN 4294967295 >> (8 * any_value(size)) ELSE 0 END), 4294967295) % 10000 AS bucket
+  FROM spelt JOIN images ON k = size - 1 - i AND b = CASE WHEN i < 4 THEN xor(('0x' || substr(x, 2 * i + 1, 2))::BIGINT, 255) ELSE ('0x' || substr(x, 2 * i + 1, 2))::BIGINT END GROUP BY run
+), held AS (SELECT side, doc_id, bucket, n FROM counted JOIN buckets USING (run)
+), totals AS (SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t FROM held GROUP BY bucket
+), whole AS (SELECT (sum(s) + 10000)::DOUBLE AS s, (sum(t) + 10000)::DOUBLE AS t FROM totals
+), gains AS (SELECT bucket, floor(1000 * ln(((coalesce(o.t, 0) + 1)::DOUBLE * w.s) / ((coalesce(o.s, 0) + 1)::DOUBLE * w.t)))::BIGINT AS gain FROM totals o, whole w
+), weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM held JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) + greatest(len(ws) - 1, 0) + greatest(len(ws) - 2, 0))::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (doc_id) WHERE side = 'd'
+), ordered AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_words, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END::BIGINT AS rank FROM scored s LEFT JOIN ordered USING (doc_id)
+"""
