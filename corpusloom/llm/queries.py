@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, language_id, line_dedup, ngram_join, piece_lattice, quality_rules, resampling, token_counts, token_files, warc
+from corpusloom.llm import chat, decontaminate, language_id, line_dedup, mixing, ngram_join, piece_lattice, quality_rules, resampling, token_counts, token_files, warc
 from corpusloom.llm.runtime import table
 
 
@@ -82,6 +82,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_lattice": op9_piece_lattice,
     "op10_quality_rules": op10_quality_rules,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_source_mix": op12_source_mix,
 }
 
 SQL: dict[str, str] = {}
@@ -176,3 +181,29 @@ words AS (
 ), ordered AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
 SELECT s.doc_id, n_words, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END::BIGINT AS rank FROM scored s LEFT JOIN ordered USING (doc_id)
 """
+
+SQL["op12_source_mix"] = r"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS seat FROM sized GROUP BY source
+), w AS (SELECT *, [3, 1, 2][1 + seat % 3] AS weight, 1.5::DOUBLE * sum(source_size) OVER () AS words FROM s
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight, seat) AS r, (words - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, seat ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(weight) OVER (ORDER BY 2 * source_size / weight, seat ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS share FROM w
+), l AS (SELECT coalesce(min_by(share, r) FILTER (share * weight < 2 * source_size), 0) AS share FROM o
+), t AS (SELECT w.*, least((2 * source_size)::DOUBLE, l.share * weight) AS target FROM w, l
+), copies AS (
+  SELECT doc_id, size, seat, source_size, target, words,
+    unnest(range(1, 1 + CASE WHEN size > 0 THEN least(2, greatest(1, ceil(target / source_size)::BIGINT)) ELSE 1 END)) AS copy
+  FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source
+), turns AS (SELECT *, ('0x' || substr(md5('42:' || copy || ':' || doc_id), 1, 15))::BIGINT AS turn FROM copies
+), queued AS (SELECT *, sum(size) OVER (PARTITION BY seat ORDER BY copy, turn, doc_id, size)::BIGINT - size AS sent, floor(target)::BIGINT AS due FROM turns
+), packets AS (
+  SELECT *, unnest(CASE WHEN due - sent > 0 AND due - sent < size THEN [{'start': 0, 'part': due - sent}, {'start': due - sent, 'part': size - due + sent}] ELSE [{'start': 0, 'part': size}] END) AS p FROM queued
+), done AS (SELECT *, p.start AS start, p.part AS part, sent + p.start + p.part AS done FROM packets
+), timed AS (
+  SELECT *, CASE WHEN done > due AND f <= 1 THEN 1 + 2.220446049250313e-16::DOUBLE ELSE f END AS finish
+  FROM (SELECT *, CASE WHEN target <= 0 THEN 0 WHEN done = due THEN 1 ELSE done::DOUBLE / target END AS f FROM done)
+), served AS (SELECT *, sum(part) OVER (ORDER BY finish, seat, copy, turn, doc_id, size, start)::BIGINT - part AS before FROM timed)
+SELECT doc_id, size, source_size, target, sum(least(part, greatest(floor(words)::BIGINT - before, 0)))::BIGINT AS taken
+FROM served GROUP BY doc_id, size, source_size, target
+"""

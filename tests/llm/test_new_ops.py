@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusloom.llm import resampling
+from corpusloom.llm import mixing, resampling
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, number long, n long, size long, _part long, place long, rank string, weight string"
 
@@ -89,3 +89,78 @@ def test_crc_carried_over_many_bytes():
     crc = lambda xs: np.array([zlib.crc32(x) for x in xs], np.uint32)
     got = resampling.carried(crc(a for a, _ in parts), crc(b for _, b in parts), np.array([len(b) for _, b in parts]))
     assert got.tolist() == [zlib.crc32(a + b) for a, b in parts]
+
+
+def shared(sizes, weights, budget):
+    """Targets by taking away those above their caps, again and again."""
+    target, left, free = {}, budget, dict(sizes)
+    while free:
+        share = left / sum(weights[s] for s in free)
+        full = [s for s in free if 2 * free[s] <= share * weights[s]]
+        if not full:
+            return target | {s: share * weights[s] for s in free}
+        for s in full:
+            target[s] = 2.0 * free.pop(s)
+            left -= target[s]
+    return target
+
+
+def queues(docs):
+    """(doc_id, size, source_size, target, taken) by plain queues."""
+    docs = [(i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), s) for i, t, s in docs]
+    sizes = Counter()
+    for _, n, s in docs:
+        sizes[s] += n
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = shared(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+    turn = lambda i, c: int(hashlib.md5(f"42:{c}:{'' if i is None else i}".encode()).hexdigest()[:15], 16)
+    packets = []
+    for k, s in enumerate(order):
+        sent, due = 0, math.floor(target[s])
+        queue = [(c, turn(i, c), i is not None, i or 0, n, j) for c in (1, 2) for j, (i, n, z) in enumerate(docs) if z == s]
+        for q in sorted(queue):
+            for part in [due - sent, q[4] - due + sent] if 0 < due - sent < q[4] else [q[4]]:
+                sent += part
+                packets.append((1.0 if sent == due else sent / target[s] if target[s] else 0.0, k, *q, part))
+    room, taken = math.floor(1.5 * sum(sizes.values())), Counter()
+    for *_, j, part in sorted(packets, key=lambda p: p[:-2]):
+        taken[j] += min(part, room)
+        room -= min(part, room)
+    return [(i, n, sizes[s], target[s], taken[j]) for j, (i, n, s) in enumerate(docs)], room
+
+
+def test_mixing(spark, docs, none):
+    plain = [(i, t, s) for i, t, _, s, *_ in rows()]
+    got = mixing.mix(spark, docs).collect()
+    want, room = queues(plain)
+    assert room == 0 and sum(r.taken for r in got) == sum(r[4] for r in want)
+    # Rows of one doc_id and equal size may change places.
+    key = lambda r: (r[0], r[1], r[2], round(r[3], 6), r[4])
+    assert Counter(map(key, got)) == Counter(map(key, want))
+    assert all(0 <= r.taken <= 2 * r["size"] for r in got)
+    assert Counter(map(tuple, mixing.mix(spark, docs.repartition(7)).collect())) == Counter(map(tuple, got))
+    assert mixing.mix(spark, none).count() == 0
+    blank = docs.where("text is null or length(trim(text)) = 0")
+    assert {tuple(r)[1:] for r in mixing.mix(spark, blank).collect()} == {(0, 0, 0.0, 0)}
+
+
+def test_mix_is_in_order_and_near_targets(spark, docs):
+    """Packets in service are contiguous, in order of finish, and each source's words are within as many words of its target as there are sources."""
+    packets = [r for r in mixing.mixed(spark, docs).collect() if r.taken]
+    packets.sort(key=lambda r: r.offset)
+    assert [r.offset for r in packets] == list(np.cumsum([0] + [r.taken for r in packets[:-1]]))
+    assert all(a.finish <= b.finish for a, b in zip(packets, packets[1:]))
+    sums = Counter()
+    for r in packets:
+        sums[(r.source_size, r.target)] += r.taken
+    assert all(abs(n - target) <= 5 for (_, target), n in sums.items())
+
+
+def test_targets_stop_at_twice_the_size(spark):
+    sized = spark.createDataFrame([(f"s{k:02}" if k else None, n) for k, n in enumerate([7, 1, 1, 1000, 5, 0, 300, 2, 40_000])], "source string, size long")
+    sources, words = mixing.targets(spark, sized)
+    got = {r.key: r.target for r in sources.collect()}
+    sizes = {"" if s is None else "=" + s: n for s, n in sized.collect()}
+    order = sorted(sizes, key=lambda s: (s == "", s))
+    want = shared(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, words)
+    assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(words)
