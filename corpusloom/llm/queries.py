@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, language_id, line_dedup, mixing, ngram_join, piece_lattice, quality_rules, resampling, token_counts, token_files, warc
+from corpusloom.llm import alignment, chat, decontaminate, language_id, line_dedup, mixing, ngram_join, piece_lattice, quality_rules, resampling, token_counts, token_files, warc
 from corpusloom.llm.runtime import table
 
 
@@ -86,6 +86,10 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_source_mix": op12_source_mix,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {}

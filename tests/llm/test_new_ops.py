@@ -10,7 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusloom.llm import mixing, resampling
+from corpusloom.llm import alignment, mixing, resampling
+from corpusloom.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, number long, n long, size long, _part long, place long, rank string, weight string"
 
@@ -164,3 +165,78 @@ def test_targets_stop_at_twice_the_size(spark):
     order = sorted(sizes, key=lambda s: (s == "", s))
     want = shared(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, words)
     assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(words)
+
+
+VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
+def by_libraries(texts):
+    """n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each text, from the libraries' ids and plain sets of offsets."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    paths = [tokenizer_path(v) for v in VOCABULARIES]
+    both = alignment.load(*paths)
+    byte_level, pieces = Tokenizer.from_file(paths[0]), sentencepiece.SentencePieceProcessor(model_file=paths[1])
+    byte_level.encode_special_tokens = True
+    each, counts = [], Counter()
+    for text in texts:
+        sides = [byte_level.encode(" " + text, add_special_tokens=False).ids, pieces.encode(text)] if text else [[], []]
+        spelt = [[v[i] for i in ids] for v, ids in zip((both.bytes_a, both.bytes_b), sides, strict=True)]
+        if not text or any(b"".join(x) != (" " + text).encode() for x in spelt):
+            each.append(None)
+            continue
+        ends = [np.cumsum([len(x) for x in s]).tolist() for s in spelt]
+        groups, links, at = [], [], [0, 0]
+        for e in sorted(set(ends[0]) & set(ends[1])):
+            to = [x.index(e) + 1 for x in ends]
+            groups.append("|".join(",".join(map(str, ids[i:j])) for ids, i, j in zip(sides, at, to, strict=True)))
+            links.append((sides[0][to[0] - 1], sides[1][to[1] - 1]))
+            at = to
+        counts.update(links)
+        each.append((len(sides[0]), len(sides[1]), groups, links))
+    most = Counter()
+    for (_, b), n in counts.items():
+        most[b] = max(most[b], n)
+    none = (0, 0, 0, 0, 0, 0, "")
+    return [none if x is None else (x[0], x[1], len(x[2]), len(x[3]), sum(counts[p] == most[p[1]] for p in x[3]), sum(counts[p] for p in x[3]), hashlib.sha256(";".join(x[2]).encode()).hexdigest()) for x in each]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_alignment(spark, docs, none, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(alignment, "PAIRS", 0)
+    paths = [tokenizer_path(v) for v in VOCABULARIES]
+    plain = [(i, t) for i, t, *_ in rows()]
+    want = Counter((i, *x) for (i, _), x in zip(plain, by_libraries([t for _, t in plain]), strict=True))
+    assert Counter(map(tuple, alignment.alignment(spark, docs, *paths).collect())) == want
+    # A text that holds the mark of a space spells a space on the other side only; special tokens' strings are text.
+    assert [r for r in want if r[0] == 10] == [(10, 0, 0, 0, 0, 0, 0, "")]
+    assert next(r for r in want if r[0] == 8)[1] > 10
+    if broadcast:
+        assert alignment.alignment(spark, none, *paths).count() == 0
+
+
+def test_ids_are_those_of_the_libraries():
+    """Stretches of random characters, spaces, marks and line breaks, cut and remembered, against whole texts."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    paths = [tokenizer_path(v) for v in VOCABULARIES]
+    both = alignment.load(*paths)
+    byte_level, pieces = Tokenizer.from_file(paths[0]), sentencepiece.SentencePieceProcessor(model_file=paths[1])
+    byte_level.encode_special_tokens = True
+    rng = random.Random(9)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "the", "Quick", " ", "  ", "\n", "\t", ".", ",", "'s", "ü", "中", "\u00a0", "0", "12", "<s>", "<|endoftext|>", "\x01", "é", "𝒳", "-"]) for _ in range(rng.randrange(1, 30)))
+        a, b = both.ids(text)
+        assert a.tolist() == byte_level.encode(" " + text, add_special_tokens=False).ids
+        assert b.tolist() == pieces.encode(text)
+
+
+def test_group_numbers_are_running_counts_of_cuts(spark):
+    paths = [tokenizer_path(v) for v in VOCABULARIES]
+    text = "Alignment of tokenizers, unalike: pneumonoultramicroscopic!"
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = alignment.cuts(alignment.encoded(spark, frame, *paths).repartition(2, "number"), alignment.load(*paths)).sort("end").collect()
+    assert [r.group for r in found] == list(range(1, len(found) + 1)) and found[-1].end == len(text) + 1
