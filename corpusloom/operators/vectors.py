@@ -9,9 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of queries and of one of the corpus: a block's similarities are 64 MB, of which a task holds three copies at most.
-QUERY_BLOCK, CORPUS_BLOCK = 1024, 8192
-HITS = "dim int, qid long, cid long, sim double"
+from corpusloom.operators import search
 
 
 def normalised(v: Column, dim: int | None = None, least: float = 1e-9) -> Column:
@@ -22,81 +20,51 @@ def normalised(v: Column, dim: int | None = None, least: float = 1e-9) -> Column
     return F.transform(part, lambda x: x / F.greatest(norm, F.lit(least)))
 
 
-def _unit(m: np.ndarray, dim: int) -> np.ndarray:
-    m = m[:, :dim].astype(np.float64)
-    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-9)
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, dims: Sequence[int], by: str | None = None) -> DataFrame:
+    """[by,] dim, qid, cid, sim, rank of the k most similar rows of corpus([by,] cid, vec) for each of queries([by,] qid, vec[, cap]), at each truncated dimension, within the query's set.
 
-
-def _first(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's k largest entries, ties by column: all that reach the k-th largest, then in order."""
-    n = sim.shape[1]
-    if n > k:
-        row, col = np.nonzero(sim >= np.partition(sim, n - k, axis=1)[:, n - k, None])
-    else:
-        row, col = (x.ravel() for x in np.indices(sim.shape))
-    order = np.lexsort((col, -sim[row, col], row))
-    row, col = row[order], col[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return row[keep], col[keep]
-
-
-def _best(dims: Sequence[int], k: int):
-    def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(corpus):
-            q, c = np.stack(queries["vec"].to_numpy()), np.stack(corpus["vec"].to_numpy())
-            qid, cid = queries["qid"].to_numpy(), corpus["cid"].to_numpy()
-            by_id = np.argsort(cid, kind="stable")
-            c, cid = c[by_id], cid[by_id]
-            for d in dims:
-                sim = np.round(_unit(q, d) @ _unit(c, d).T, 12)
-                if "cap" in queries:
-                    sim[sim > queries["cap"].to_numpy()[:, None]] = -np.inf
-                row, col = _first(sim, k)
-                out.append(pd.DataFrame({"dim": d, "qid": qid[row], "cid": cid[col], "sim": sim[row, col]}))
-                out[-1] = out[-1][~np.isneginf(out[-1]["sim"])]
-        return pd.concat(out) if out else pd.DataFrame(columns=["dim", "qid", "cid", "sim"])
-
-    return run
-
-
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, dims: Sequence[int]) -> DataFrame:
-    """dim, qid, cid, sim, rank of the k most similar rows of corpus(cid, vec) for each of queries(qid, vec[, cap]), at each truncated dimension.
-
-    Rows more similar than a query's cap are left out.
-
-    Blocks of queries meet blocks of the corpus as matrix products, each of which sends on k rows for a query; these are merged by rank.
+    Rows more similar than a query's cap are left out. The search is that of ``search.search``.
     """
-    n_q = 1 + queries.count() // QUERY_BLOCK
-    n_c = 1 + corpus.count() // CORPUS_BLOCK
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
-    c = corpus.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(n_c))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-    part = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(_best(dims, k), HITS)
-    rank = F.row_number().over(Window.partitionBy("dim", "qid").orderBy(F.desc("sim"), "cid"))
-    return part.withColumn("rank", rank).where(F.col("rank") <= k)
+    return search.search(queries, corpus, k, dims, by)[0]
 
 
 METRICS = "ndcg_10, mrr_10, map_100, recall_1, recall_3, recall_5, recall_10, accuracy_1, accuracy_3, accuracy_5, accuracy_10, precision_1, precision_3, precision_5, precision_10".split(", ")
 
 
-def metrics(hits: DataFrame, relevant: DataFrame) -> DataFrame:
-    """Means per dim over queries with a relevant row, those without any hit row included, as 0. hits(dim, qid, rank, hit boolean), relevant(qid, n_rel)."""
-    seen = hits.join(relevant.where("n_rel > 0"), "qid")
-    so_far = F.sum(F.col("hit").cast("int")).over(Window.partitionBy("dim", "qid").orderBy("rank"))
+def metrics(hits: DataFrame, relevant: DataFrame, dims: Sequence[int] | None = None, by: str | None = None) -> DataFrame:
+    """Means per dim, and per set if ``by`` names it, over queries with a relevant row. A query, dimension or set without any hit row counts as 0;
+    without ``dims``, dimensions are those of the hits.
+
+    hits([by,] dim, qid, rank, hit boolean), relevant([by,] qid, n_rel).
+    """
+    own = [by] if by else []
+    judged = relevant.where("n_rel > 0")
+    if by:
+        judged = judged.where(F.col(by).isNotNull())
+    seen = hits.select(*own, "dim", "qid", "rank", "hit").join(judged, [*own, "qid"])
+    so_far = F.sum(F.col("hit").cast("int")).over(Window.partitionBy(*own, "dim", "qid").orderBy("rank"))
     seen = seen.withColumn("so_far", so_far)
     within = lambda k: F.sum(F.when(F.col("hit") & (F.col("rank") <= k), 1).otherwise(0))
     aggs = [F.sum(F.when(F.col("hit") & (F.col("rank") <= 10), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"), F.min(F.when(F.col("hit") & (F.col("rank") <= 10), F.col("rank"))).alias("first")]
     aggs += [F.sum(F.when(F.col("hit") & (F.col("rank") <= 100), F.col("so_far") / F.col("rank")).otherwise(0.0)).alias("ap")]
     aggs += [within(k).alias(f"h{k}") for k in (1, 3, 5, 10)]
-    per = seen.groupBy("dim", "qid", "n_rel").agg(*aggs)
+    per = seen.groupBy(*own, "dim", "qid", "n_rel").agg(*aggs)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(10), F.col("n_rel")).cast("int")), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1))
     cols = {"ndcg_10": F.col("dcg") / ideal, "mrr_10": F.coalesce(1 / F.col("first"), F.lit(0.0)), "map_100": F.col("ap") / F.col("n_rel")}
     for k in (1, 3, 5, 10):
         cols[f"recall_{k}"] = F.col(f"h{k}") / F.col("n_rel")
         cols[f"accuracy_{k}"] = (F.col(f"h{k}") > 0).cast("double")
         cols[f"precision_{k}"] = F.col(f"h{k}") / k
-    total = relevant.where("n_rel > 0").agg(F.count(F.lit(1)).alias("_n"))  # one row
-    return per.groupBy("dim").agg(*[F.sum(v).alias(n) for n, v in cols.items()]).crossJoin(F.broadcast(total)).select("dim", *[(F.col(n) / F.col("_n")).alias(n) for n in cols])
+    sums = per.groupBy(*own, "dim").agg(*[F.sum(v).alias(n) for n, v in cols.items()])
+    # One row per set, and as many dimensions as asked for.
+    whole = judged.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    if dims is None:
+        return _means(whole.crossJoin(F.broadcast(hits.select("dim").distinct())), sums, own, cols)
+    return _means(whole.withColumn("dim", F.explode(F.array(*[F.lit(d) for d in dims]))), sums, own, cols)
+
+
+def _means(whole: DataFrame, sums: DataFrame, own: list[str], cols: dict[str, Column]) -> DataFrame:
+    return whole.join(sums, [*own, "dim"], "left").select(*own, "dim", *[(F.coalesce(F.col(n), F.lit(0.0)) / F.col("_n")).alias(n) for n in cols])
 
 
 def negatives(queries: DataFrame, corpus: DataFrame, gold: DataFrame, n: int, dim: int, range_min: int = 0, max_score: float | None = None, margin: float = 0.0) -> DataFrame:
@@ -124,10 +92,14 @@ def _above(dim: int):
     def run(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(corpus):
             return pd.DataFrame(columns=["qid", "wrong", "over", "near"])
-        sim = np.round(_unit(np.stack(queries["vec"].to_numpy()), dim) @ _unit(np.stack(corpus["vec"].to_numpy()), dim).T, 12)
-        wrong = corpus["cid"].to_numpy()[None, :] != queries["gold_cid"].to_numpy()[:, None]
-        count = lambda limit: ((sim > queries[limit].to_numpy()[:, None]) & wrong).sum(axis=1)
-        return pd.DataFrame({"qid": queries["qid"], "wrong": wrong.sum(axis=1), "over": count("most"), "near": count("cap")})
+        right, cid, out = search.unit(np.stack(corpus["vec"].to_numpy()), dim), corpus["cid"].to_numpy()[None, :], []
+        for lo in range(0, len(queries), search.TILE):
+            some = queries[lo : lo + search.TILE]
+            sim = np.round(search.unit(np.stack(some["vec"].to_numpy()), dim) @ right.T, 12)
+            wrong = cid != some["gold_cid"].to_numpy()[:, None]
+            count = lambda limit: ((sim > some[limit].to_numpy()[:, None]) & wrong).sum(axis=1)  # noqa: B023, E731
+            out.append(pd.DataFrame({"qid": some["qid"], "wrong": wrong.sum(axis=1), "over": count("most"), "near": count("cap")}))
+        return pd.concat(out)
 
     return run
 
@@ -139,7 +111,7 @@ def skipped(queries: DataFrame, corpus: DataFrame, gold: DataFrame, n: int, dim:
     """
     high = F.lit(float("inf") if max_score is None else float(max_score))
     cap = F.least(high, F.col("gold_sim") - margin) if margin > 0 else high
-    n_q, n_c = 1 + queries.count() // QUERY_BLOCK, 1 + corpus.count() // CORPUS_BLOCK
+    n_q, n_c = 1 + queries.count() // search.QUERY_BLOCK, 1 + corpus.count() // search.CORPUS_BLOCK
     q = queries.join(gold, "qid").select("qid", "vec", "gold_cid", high.alias("most"), cap.alias("cap"))
     q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
     c = corpus.withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(n_c))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))

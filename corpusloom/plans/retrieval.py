@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import vectors
+from corpusloom.operators import search, vectors
 
 DIMS = (64, 32, 16)
 
@@ -26,7 +26,7 @@ def _metrics(spark: SparkSession, sf_dir: str, dims: tuple[int, ...], least: flo
     hits = vectors.top_k(q.select("qid", "vec"), c.select("cid", "vec"), 100, dims).where(F.col("sim") >= least)
     judged = hits.join(q.select("qid", "q_label"), "qid").join(c.select("cid", "c_label"), "cid").withColumn("hit", F.col("q_label") == F.col("c_label"))
     relevant = q.join(c.groupBy("c_label").agg(F.count(F.lit(1)).alias("n_rel")), F.col("q_label") == F.col("c_label")).select("qid", "n_rel")
-    return vectors.metrics(judged.select("dim", "qid", "rank", "hit"), relevant).select(F.col("dim").cast("long").alias("dim"), *[F.round(m, 6).alias(m) for m in vectors.METRICS])
+    return vectors.metrics(judged.select("dim", "qid", "rank", "hit"), relevant, dims).select(F.col("dim").cast("long").alias("dim"), *[F.round(m, 6).alias(m) for m in vectors.METRICS])
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,40 @@ def matryoshka_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir, DIMS)
 
 
+#: Rows of a block, so that blocks of the test tables are met in pairs, as those of large ones.
+BLOCK = 64
+
+
+def retrieval_topk_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as ``retrieval_topk``, at two dimensions, by many small blocks whose pairs are searched in the order of their bounds."""
+    q, c = _sides(spark, sf_dir)
+    hits, _ = search.search(q.select("qid", "vec"), c.select("cid", "vec"), 10, DIMS[:2], query_block=BLOCK, corpus_block=BLOCK)
+    return hits.select(F.col("dim").cast("long").alias("dim"), "qid", "cid", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+#: Every tenth block of 20 rows are queries, so that each of the test tables' sources has both.
+_ASKS = "vec_id div 20 % 10 = 0"
+
+
+def _in_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and corpus, each row once in the set ``combined`` and once in that of the source of the document of its number."""
+    sources = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("vec_id"), "source")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").join(sources, "vec_id", "left")
+    rows = rows.withColumn("eval_set", F.explode(F.array(F.lit("combined"), F.col("source")))).where("eval_set is not null")
+    q = rows.where(_ASKS).select("eval_set", F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"), F.col("label").alias("q_label"))
+    return q, rows.where(f"not ({_ASKS})").select("eval_set", F.col("vec_id").alias("cid"), F.col("embedding").alias("vec"), F.col("label").alias("c_label"))
+
+
+def sweep_in_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of every set at every dimension; a query is ranked against the corpus of each set that it is in, by one search."""
+    q, c = _in_sets(spark, sf_dir)
+    hits = vectors.top_k(q.select("eval_set", "qid", "vec"), c.select("eval_set", "cid", "vec"), 100, DIMS, "eval_set")
+    judged = hits.join(q.select("eval_set", "qid", "q_label"), ["eval_set", "qid"]).join(c.select("eval_set", "cid", "c_label"), ["eval_set", "cid"]).withColumn("hit", F.col("q_label") == F.col("c_label"))
+    n_rel = c.groupBy("eval_set", F.col("c_label").alias("q_label")).agg(F.count(F.lit(1)).alias("n_rel"))
+    relevant = q.join(n_rel, ["eval_set", "q_label"]).select("eval_set", "qid", "n_rel")
+    return vectors.metrics(judged, relevant, DIMS, "eval_set").select("eval_set", F.col("dim").cast("long").alias("dim"), *[F.round(m, 6).alias(m) for m in vectors.METRICS])
+
+
 def _gold(q: DataFrame, c: DataFrame) -> DataFrame:
     """The gold row of a query is the smallest corpus id of its label."""
     first = c.groupBy("c_label").agg(F.min("cid").alias("gold_cid"))
@@ -108,30 +142,34 @@ def collapse_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", *[F.round(x, 6).alias(x) for x in out.columns if x != "id"])
 
 
-QUERIES = {f.__name__: f for f in (retrieval_metrics_cut, mining_skips, collapse_diagnostic, retrieval_topk, retrieval_metrics, matryoshka_sweep, hard_negatives, hard_negatives_filtered, hard_negatives_wide, mining_counters)}
+QUERIES = {f.__name__: f for f in (sweep_in_sets, retrieval_topk_bounded, retrieval_metrics_cut, mining_skips, collapse_diagnostic, retrieval_topk, retrieval_metrics, matryoshka_sweep, hard_negatives, hard_negatives_filtered, hard_negatives_wide, mining_counters)}
 
 
-def _ranked(dims: tuple[int, ...]) -> str:
+def _ranked(dims: tuple[int, ...], sets: bool = False) -> str:
+    member = "embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id" if sets else "embeddings e"
+    names = "unnest(['combined', source])" if sets else "''"
+    asks = "{0}.vec_id // 20 % 10 = 0" if sets else "{0}.vec_id % 10 = 0"
     return f"""
-e AS (SELECT d.dim, vec_id, label, list_transform(embedding[1:d.dim], lambda x: x::DOUBLE) AS v FROM embeddings, (SELECT unnest({list(dims)}) AS dim) d),
-u AS (SELECT dim, vec_id, label, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-9)) AS v FROM e),
-s AS (SELECT q.dim, q.vec_id AS qid, c.vec_id AS cid, q.label = c.label AS hit, round(list_dot_product(q.v, c.v), 12) AS sim
-      FROM u q JOIN u c ON q.dim = c.dim AND q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY dim, qid ORDER BY sim DESC, cid) AS rank FROM s)"""
+b AS (SELECT {names} AS eval_set, vec_id, label, embedding FROM {member}),
+e AS (SELECT d.dim, eval_set, vec_id, label, list_transform(embedding[1:d.dim], lambda x: x::DOUBLE) AS v FROM b, (SELECT unnest({list(dims)}) AS dim) d WHERE eval_set IS NOT NULL),
+u AS (SELECT dim, eval_set, vec_id, label, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-9)) AS v FROM e),
+s AS (SELECT q.dim, q.eval_set, q.vec_id AS qid, c.vec_id AS cid, q.label = c.label AS hit, round(list_dot_product(q.v, c.v), 12) AS sim
+      FROM u q JOIN u c ON q.dim = c.dim AND q.eval_set = c.eval_set AND {asks.format("q")} AND NOT {asks.format("c")}),
+r AS (SELECT *, row_number() OVER (PARTITION BY eval_set, dim, qid ORDER BY sim DESC, cid) AS rank FROM s)"""
 
 
-def _metrics_sql(dims: tuple[int, ...], least: float = -2.0) -> str:
+def _metrics_sql(dims: tuple[int, ...], least: float = -2.0, sets: bool = False) -> str:
     cols = ["round(avg(dcg / ideal), 6) AS ndcg_10", "round(avg(coalesce(1.0 / first, 0)), 6) AS mrr_10", "round(avg(ap / n_rel), 6) AS map_100"]
     for k in (1, 3, 5, 10):
         cols += [f"round(avg(h{k} / n_rel), 6) AS recall_{k}", f"round(avg(CASE WHEN h{k} > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy_{k}", f"round(avg(h{k} / {k}), 6) AS precision_{k}"]
-    return f"""WITH {_ranked(dims)},
-g AS (SELECT * EXCLUDE (hit), hit AND sim >= {least}::DOUBLE AS hit, sum(hit::INT) OVER (PARTITION BY dim, qid) AS n_rel FROM r),
-h AS (SELECT *, sum(hit::INT) OVER (PARTITION BY dim, qid ORDER BY rank) AS so_far FROM g),
-p AS (SELECT dim, qid, n_rel, coalesce(sum(1 / log2(rank + 1)) FILTER (hit AND rank <= 10), 0) AS dcg, min(rank) FILTER (hit AND rank <= 10) AS first,
+    return f"""WITH {_ranked(dims, sets)},
+g AS (SELECT * EXCLUDE (hit), hit AND sim >= {least}::DOUBLE AS hit, sum(hit::INT) OVER (PARTITION BY eval_set, dim, qid) AS n_rel FROM r),
+h AS (SELECT *, sum(hit::INT) OVER (PARTITION BY eval_set, dim, qid ORDER BY rank) AS so_far FROM g),
+p AS (SELECT eval_set, dim, qid, n_rel, coalesce(sum(1 / log2(rank + 1)) FILTER (hit AND rank <= 10), 0) AS dcg, min(rank) FILTER (hit AND rank <= 10) AS first,
         coalesce(sum(so_far / rank) FILTER (hit AND rank <= 100), 0) AS ap, {", ".join(f"(count(*) FILTER (hit AND rank <= {k}))::DOUBLE AS h{k}" for k in (1, 3, 5, 10))}
       FROM h WHERE n_rel > 0 GROUP BY ALL),
 i AS (SELECT n, sum(1 / log2(k + 1)) AS ideal FROM (SELECT unnest(range(1, 11)) AS n) JOIN (SELECT unnest(range(1, 11)) AS k) ON k <= n GROUP BY n)
-SELECT dim::BIGINT AS dim, {", ".join(cols)} FROM p JOIN i ON i.n = least(10, n_rel) GROUP BY dim"""
+SELECT {"eval_set, " if sets else ""}dim::BIGINT AS dim, {", ".join(cols)} FROM p JOIN i ON i.n = least(10, n_rel) GROUP BY {"eval_set, " if sets else ""}dim"""
 
 
 _GOLD = """, g AS (SELECT qid, cid AS gold_cid, sim AS gold_sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cid) AS o FROM r WHERE hit) WHERE o = 1),
@@ -140,6 +178,8 @@ f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, cid) AS s
 
 SQL = {
     "retrieval_topk": f"WITH {_ranked((64,))} SELECT qid, cid, round(sim, 6) AS sim, rank FROM r WHERE rank <= 10",
+    "retrieval_topk_bounded": f"WITH {_ranked(DIMS[:2])} SELECT dim::BIGINT AS dim, qid, cid, round(sim, 6) AS sim, rank FROM r WHERE rank <= 10",
+    "sweep_in_sets": _metrics_sql(DIMS, sets=True),
     "retrieval_metrics": _metrics_sql((64,)),
     "matryoshka_sweep": _metrics_sql(DIMS),
     "retrieval_metrics_cut": _metrics_sql((64,), LEAST),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, pairs, reports, similarity, structure, vectors
+from corpusloom.operators import chunking, pairs, reports, search, similarity, structure, vectors
 from corpusloom.plans import legal
 
 
@@ -286,3 +286,69 @@ def test_dense_index_over_ranges(spark):
         own = sorted((r.o, r.n) for r in got if r._part == g)
         assert [n for _, n in own] == list(range(len(own)))
     assert similarity.dense_index(rows.limit(0), [], ["o"], "n").count() == 0
+
+
+def brute(queries, corpus, k, dims):
+    """dim, qid, cid, sim, rank by all pairs within sets."""
+    import numpy as np
+
+    out = set()
+    for s, qid, v, cap in queries:
+        for d in dims:
+            norm = lambda x: np.array(x[:d], float) / max(np.linalg.norm(x[:d]), 1e-9)  # noqa: B023, E731
+            found = sorted((-round(float(norm(v) @ norm(w)), 12), cid) for t, cid, w in corpus if s == t and s is not None and float(norm(v) @ norm(w)) <= cap + 1e-12)
+            out |= {(s, d, qid, cid, -x, r + 1) for r, (x, cid) in enumerate(found[:k])}
+    return out
+
+
+@pytest.mark.parametrize(("q_block", "c_block"), [(7, 16), (50, 5), (1000, 1000)])
+def test_bounded_search_equals_all_pairs(spark, q_block, c_block, monkeypatch):
+    """Sets of all sizes, rows in several, none or clustered; zero vectors, ties, caps, sets without queries or corpus, fewer rows than k."""
+    import numpy as np
+
+    monkeypatch.setattr(search, "PER_PIVOT", 12)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(8, 8))
+    vec = lambda i: [0.0] * 8 if i % 41 == 0 else [0.0] * 4 + [1.0] * 4 if i % 37 == 0 else [float(round(x, 2)) for x in centres[i % 8] + rng.normal(size=8) * 0.05]
+    vecs = [vec(i) for i in range(260)]
+    sets = lambda i: ["all", "odd" if i % 2 else None, "few" if i < 24 else "corpus only" if i % 5 else "all2"]
+    corpus = [(s, i, vecs[i]) for i in range(200) for s in sets(i)]
+    queries = [(s, i, vecs[i], 0.995 if i % 3 else 2.0) for i in range(200, 260) for s in ("all", "odd", "few", "queries only", None)]
+    q = spark.createDataFrame(queries, "eval_set string, qid long, vec array<double>, cap double")
+    c = spark.createDataFrame(corpus, "eval_set string, cid long, vec array<double>")
+    hits, pairs_met = search.search(q, c, 15, [8, 4], "eval_set", q_block, c_block)
+    rows = hits.collect()
+    want = brute(queries, corpus, 15, [8, 4])
+    assert {(r.eval_set, r.dim, r.qid, round(r.sim, 6) + 0.0, r["rank"]) for r in rows} == {(s, d, i, round(x, 6) + 0.0, n) for s, d, i, _, x, n in want}
+    assert len(rows) == len(want)
+    met = {r.eval_set: (r.n_pairs, r.n_met) for r in pairs_met.collect()}
+    assert set(met) == {"all", "odd", "few"} and all(m <= n for n, m in met.values())
+    if q_block == 7:
+        assert met["all"][0] >= 9 * 13
+
+
+def test_bounds_skip_blocks_of_clustered_rows(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "PER_PIVOT", 20)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 32))
+    rows = [(i, (centres[i % 20] + rng.normal(size=32) * 0.02).tolist()) for i in range(800)]
+    c, q = spark.createDataFrame(rows, "cid long, vec array<double>"), spark.createDataFrame(rows[:200], "qid long, vec array<double>")
+    hits, met = search.search(q, c, 10, [32], query_block=20, corpus_block=40)
+    n, m = met.select("n_pairs", "n_met").first()
+    assert n == 10 * 20 and m < 0.3 * n
+    plain, _ = search.search(q, c, 10, [32])
+    key = lambda r: (r.qid, r.cid, r["rank"])
+    assert set(map(key, hits.collect())) == set(map(key, plain.collect()))
+    print(f"skipped pairs: {1 - m / n:.2f}")
+
+
+def test_metrics_of_dimensions_and_sets_without_hits(spark):
+    hits = spark.createDataFrame([("a", 4, 1, 1, True), ("a", 4, 1, 2, False), ("b", 4, 2, 1, False)], "s string, dim int, qid long, rank int, hit boolean")
+    relevant = spark.createDataFrame([("a", 1, 2), ("a", 9, 1), ("b", 2, 1), ("c", 3, 1), ("d", 4, 0), (None, 5, 1)], "s string, qid long, n_rel long")
+    got = {(r.s, r.dim): (r.accuracy_1, r.recall_10) for r in vectors.metrics(hits, relevant, [4, 2], "s").collect()}
+    assert got == {("a", 4): (0.5, 0.25), ("a", 2): (0.0, 0.0)} | {(s, d): (0.0, 0.0) for s in "bc" for d in (4, 2)}
+    none = vectors.metrics(hits.where("false").drop("s"), relevant.drop("s"), [4, 2]).collect()
+    assert {(r.dim, r.ndcg_10) for r in none} == {(4, 0.0), (2, 0.0)}
+    assert vectors.metrics(hits.drop("s"), relevant.where("false").drop("s"), [4]).count() == 0
