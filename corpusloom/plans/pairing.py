@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import components as C
 from corpusloom.operators import pairs as P
 from corpusloom.operators import reports as R
 from corpusloom.sources import tables
@@ -63,6 +64,12 @@ def split_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.leaks(train, held, "text_md5")
 
 
+def split_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs split by what is connected: no chunk and no anchor is in both parts."""
+    rows = C.split_components(_pairs(spark, sf_dir), "anchor", "chunk_id", "document_name", ("source_seq", "seq"))
+    return rows.select(F.col("source_seq").cast("long").alias("source_seq"), "seq", "chunk_id", F.md5(F.col("anchor").cast("binary")).alias("anchor_md5"), "component", "part")
+
+
 def eval_triple_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select(F.col("source").alias("cid"), F.md5(F.col("text").cast("binary")).alias("value"), F.col("doc_id").alias("seq"))
     return P.first_wins(rows, "cid", "value", "seq")
@@ -183,7 +190,7 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both[0].union(both[1])
 
 
-QUERIES = {f.__name__: f for f in (corpus_index, gold_lookup, evaluation_queries, evaluation_corpus, split_first_stratum, split_counts, training_table, json_lines_roundtrip, stream_scores, pairs_union, pairs_dedup_anchor, pairs_dedup_pair, split_chunk_level, split_stratified, split_leak_check, eval_triple_first_wins, eval_triple_last_wins, llm_json_extract, llm_validate, score_filter, score_stats, threshold_survival)}
+QUERIES = {f.__name__: f for f in (split_components, corpus_index, gold_lookup, evaluation_queries, evaluation_corpus, split_first_stratum, split_counts, training_table, json_lines_roundtrip, stream_scores, pairs_union, pairs_dedup_anchor, pairs_dedup_pair, split_chunk_level, split_stratified, split_leak_check, eval_triple_first_wins, eval_triple_last_wins, llm_json_extract, llm_validate, score_filter, score_stats, threshold_survival)}
 
 _PAIRS = r"""WITH p AS (
   SELECT 0::BIGINT AS source_seq, u.conv_id * 1000 + u.turn AS seq, u.conv_id || ':' || u.turn AS chunk_id, u.text AS anchor FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn WHERE u.role = 'user' AND a.role = 'assistant'
@@ -195,7 +202,19 @@ _SCORED = """WITH s AS (SELECT d.doc_id, 6 + quality * 2 - toxic * 2 AS relevanc
   5.5::DOUBLE + quality * 2.5::DOUBLE - toxic * 1.5::DOUBLE + d.doc_id % 3 * 0.5::DOUBLE AS overall FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 _DIMENSIONS = " UNION ALL ".join(f"SELECT '{n}' AS dimension, {n}::DOUBLE AS v FROM s WHERE {n} IS NOT NULL" for n in [*P.WEIGHTS, "overall"])
 _SETS = "WITH d AS (SELECT unnest(['combined', source]) AS eval_set, lang AS anchor, md5(text) AS positive, (doc_id // 3)::VARCHAR AS cid, doc_id FROM documents)"
+_COMPONENTS = """, n AS (SELECT *, 'c' || chunk_id AS c, 't' || md5(anchor) AS t FROM q
+), e AS (SELECT DISTINCT c AS u, t AS v FROM n WHERE c IS NOT NULL AND t IS NOT NULL UNION SELECT DISTINCT t, c FROM n WHERE c IS NOT NULL AND t IS NOT NULL
+), l AS (SELECT u AS node, least(u, min(v)) AS c FROM e GROUP BY u UNION SELECT e.v, l.c FROM l JOIN e ON e.u = l.node
+), m AS (SELECT node, min(c) AS component FROM l GROUP BY node
+), w AS (SELECT n.*, coalesce(m.component, n.c, n.t) AS component FROM n LEFT JOIN m ON m.node = coalesce(n.c, n.t)
+), k AS (SELECT component, arg_min(document_name, (source_seq, seq)) AS stratum, greatest(1, count(DISTINCT c)) AS weight, md5('42:' || component) AS turn FROM w WHERE component IS NOT NULL GROUP BY component
+), s AS (SELECT *, floor(sum(weight) OVER (PARTITION BY stratum) * 0.15::DOUBLE)::BIGINT AS room, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY weight, turn, component) AS light FROM k
+), f AS (SELECT *, sum(weight) OVER (PARTITION BY stratum ORDER BY turn, component) AS total FROM s WHERE weight <= greatest(1, room // 5)
+), h AS (SELECT stratum, component FROM f WHERE total <= room
+), held AS (SELECT component FROM h UNION SELECT component FROM s WHERE light = 1 AND (n > 1 OR weight = 1) AND NOT EXISTS (SELECT 1 FROM h WHERE h.stratum IS NOT DISTINCT FROM s.stratum))
+SELECT source_seq, seq, chunk_id, md5(anchor) AS anchor_md5, component, CASE WHEN component IN (SELECT component FROM held) THEN 'eval' ELSE 'train' END AS part FROM w"""
 SQL = {
+    "split_components": _PAIRS.replace("WITH p AS", "WITH RECURSIVE p AS").replace("u.text AS anchor", "u.text AS anchor, 'chat' AS document_name").replace("[1] FROM documents", "[1], source FROM documents") + ", q AS (SELECT * FROM p)" + _COMPONENTS,
     "corpus_index": "SELECT row_number() OVER (ORDER BY text) - 1 AS cid, md5(text) AS md5 FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)",
     "gold_lookup": "SELECT doc_id, dense_rank() OVER (ORDER BY text) - 1 AS cid FROM documents WHERE text IS NOT NULL",
     "evaluation_queries": _SETS + " SELECT eval_set, 'q_' || (row_number() OVER (PARTITION BY eval_set ORDER BY doc_id) - 1) AS qid, anchor AS text, cid FROM d WHERE eval_set IS NOT NULL",

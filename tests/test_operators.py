@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import chunking, pairs, reports, search, similarity, structure, vectors
+from corpusloom.operators import chunking, components, pairs, reports, search, similarity, structure, vectors
 from corpusloom.plans import legal
 
 
@@ -352,3 +352,83 @@ def test_metrics_of_dimensions_and_sets_without_hits(spark):
     none = vectors.metrics(hits.where("false").drop("s"), relevant.drop("s"), [4, 2]).collect()
     assert {(r.dim, r.ndcg_10) for r in none} == {(4, 0.0), (2, 0.0)}
     assert vectors.metrics(hits.drop("s"), relevant.where("false").drop("s"), [4]).count() == 0
+
+
+def united(edges):
+    """The smallest node that each node can reach."""
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return {x: root(x) for x in list(up)}
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    chain = [(f"n{i:04}", f"n{i + 1:04}") for i in range(0, 300)]
+    star = [("hub", f"leaf{i:04}") for i in range(2000)]
+    loose = [(f"x{rng.randrange(80)}", f"y{rng.randrange(80)}") for _ in range(70)]
+    edges = chain + star + loose + [("self", "self"), ("n0005", "n0005")]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in components.components(spark, spark.createDataFrame(edges, "u string, v string").repartition(4)).collect()}
+    assert got == {x: r for x, r in united(edges).items() if x != "self"}
+    assert components.components(spark, spark.createDataFrame([], "u string, v string")).count() == 0
+
+
+def test_split_by_components_leaks_nothing(spark):
+    """A text of a third of all rows, texts with several chunks, rows without a text, a chunk, a stratum, and repeated rows."""
+    rng = random.Random(2)
+    rows = [("hot", f"h{i}", "a") for i in range(300)]
+    rows += [(f"q{rng.randrange(500)}", f"c{rng.randrange(900)}", rng.choice(["a", "b", None, "lone"]) if i else "lone") for i in range(700)]
+    rows += [(None, f"only{i}", "b") for i in range(20)] + [(f"t{i}", None, "b") for i in range(20)] + [(None, None, "b"), ("", "", "b")] + [("solo", "s1", "one"), ("solo", "s2", "one")]
+    rows = [(i, *r, "extra") for i, r in enumerate(rows)] + [(5, "hot", "h5", "a", "extra")]
+    frame = spark.createDataFrame(rows, "seq long, text string, chunk string, stratum string, weight string").repartition(3)
+    got = components.split_components(frame, "text", "chunk", "stratum", ["seq"]).collect()
+    assert Counter((r.seq, r.text, r.chunk, r.stratum, r.weight) for r in got) == Counter(rows)
+    for side in ("text", "chunk"):
+        parts = {}
+        for r in got:
+            if r[side] is not None:
+                parts.setdefault(r[side], set()).add(r.part)
+        assert all(len(p) == 1 for p in parts.values())
+    assert {r.part for r in got if r.text == "hot"} == {"train"} and {r.part for r in got if r.text == "solo"} == {"train"}
+    assert {r.part for r in got if r.text is None and r.chunk is None} == {"train"}
+    # Components are those of a plain union; first rows give strata; shares are within the stated bounds.
+    own = united([("c" + c, t) for _, t, c, *_ in rows if t is not None and c is not None])
+    comp, first, chunks, part = {}, {}, {}, {}
+    for r in sorted(got, key=lambda r: r.seq):
+        if r.component is not None:
+            first.setdefault(r.component, r.stratum)
+            chunks.setdefault(r.component, set()).add(r.chunk)
+            part.setdefault(r.component, set()).add(r.part)
+            comp.setdefault(r.component, own.get("c" + r.chunk) if r.chunk is not None and r.text is not None else None)
+    assert all(len(p) == 1 for p in part.values())
+    named = [x for x in comp.values() if x is not None]
+    assert len(named) == len(set(named))
+    weight = {k: max(1, len(v - {None})) for k, v in chunks.items()}
+    for s in set(first.values()):
+        mine = [k for k in first if first[k] == s]
+        room = int(sum(weight[k] for k in mine) * 0.15)
+        held = sum(weight[k] for k in mine if part[k] == {"eval"})
+        small = [weight[k] for k in mine if weight[k] <= max(1, room // 5)]
+        if s != "one":
+            assert held <= max(1, room)
+            if sum(small) >= room:
+                assert held >= room - max(1, room // 5)
+
+
+def test_running_sum_over_ranges(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", "c"]), i, rng.randrange(5)) for i in range(3000)]
+    got = components.running_sum(spark.createDataFrame(rows, "g string, i long, v long"), "g", ["i"], "v", "sum").collect()
+    total, want = Counter(), set()
+    for g, i, v in rows:
+        total[g] += v
+        want.add((g, i, v, total[g]))
+    assert {(r.g, r.i, r.v, r["sum"]) for r in got} == want
