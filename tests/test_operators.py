@@ -223,13 +223,19 @@ def test_pairs_need_two_groups(spark):
     assert similarity.cosine_pairs(spark, weights, spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, g string"), 0.1, 1.0).count() == 1
 
 
-def test_greedy_rounds_equal_the_last_task(spark, monkeypatch):
+def test_greedy_rounds_over_many_ends(spark):
+    """Hubs with very many equal pairs, and chains that settle from one end."""
     rng = random.Random(6)
-    rows = [(i, j, rng.choice([0.3, 0.5, 0.7])) for i, j in sorted({(i, j) for i, j in ((rng.randrange(9), rng.randrange(9)) for _ in range(30)) if i < j})]
-    pairs = spark.createDataFrame(rows, "i long, j long, sim double")
-    whole = sorted(map(tuple, similarity.greedy(spark, pairs).collect()))
-    monkeypatch.setattr(similarity, "LOCAL_PAIRS", 0)
-    assert sorted(map(tuple, similarity.greedy(spark, pairs).collect())) == whole
+    rows = [(0, j, 0.8) for j in range(1, 200)] + [(1, j, 0.8) for j in range(2, 100)] + [(1000 + i, 1001 + i, 0.9 - i / 1000) for i in range(8)]
+    rows += [(2000 + i, 2000 + j, rng.choice([0.3, 0.5, 0.7])) for i, j in sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(150)}) if i < j]
+    for cap in (1, 3):
+        used, want = Counter(), set()
+        for i, j, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+            if used[i] < cap and used[j] < cap:
+                used.update((i, j))
+                want.add((i, j, s))
+        assert {tuple(r) for r in similarity.greedy(spark, spark.createDataFrame(rows, "i long, j long, sim double"), cap).collect()} == want
+    assert similarity.greedy(spark, spark.createDataFrame([], "i long, j long, sim double")).count() == 0
 
 
 def test_first_entries_with_ties():
@@ -432,3 +438,32 @@ def test_running_sum_over_ranges(spark):
         total[g] += v
         want.add((g, i, v, total[g]))
     assert {(r.g, r.i, r.v, r["sum"]) for r in got} == want
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_postings_of_a_term_in_half_of_all_documents(spark, block):
+    rng = random.Random(3)
+    docs = {}
+    for i in range(120):
+        words = {f"t{rng.randrange(12)}" for _ in range(3)} | {f"u{i // 4}"} | ({"everywhere"} if i % 2 else set())
+        weights = {w: rng.random() + (1.5 if w[0] == "u" and i % 3 else 0.1) for w in words}
+        norm = sum(x * x for x in weights.values()) ** 0.5
+        docs[i] = {w: x / norm for w, x in weights.items()}
+    df = Counter(w for d in docs.values() for w in d)
+    frame = spark.createDataFrame([(i, w, df[w], x) for i, d in docs.items() for w, x in d.items()], "doc_id long, term string, df long, weight double")
+    groups = {i: f"g{i % 5}" for i in docs}
+    by = spark.createDataFrame(list(groups.items()), "doc_id long, g string")
+    got = {(r.i, r.j, r.gi, r.gj): r.sim for r in similarity.cosine_pairs(spark, frame, by, 0.25, 0.85, block).collect()}
+    want = {}
+    for i in docs:
+        for j in range(i + 1, 120):
+            sim = sum(x * docs[j].get(w, 0.0) for w, x in docs[i].items())
+            if groups[i] != groups[j] and 0.25 <= sim <= 0.85:
+                want[i, j, groups[i], groups[j]] = sim
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    index = similarity.postings(spark, frame, by, 0.25, block)
+    assert all(r["count"] <= 2 * block for r in index.groupBy("term", "x", "y").count().collect())
+    if block == 4:
+        # Blocks of light weights do not meet.
+        n = index.where("term = 'everywhere'").select("block").distinct().count()
+        assert n >= 5 and index.where("term = 'everywhere'").select("x", "y").distinct().count() < n * (n + 1) // 2
