@@ -8,7 +8,7 @@ Texts are encoded where they lie; turns are then brought together per conversati
 of about ``PIECE`` ids, so that a conversation of any length passes through a task as a stream. Digests over a whole
 conversation are sequential by nature: they are fed piece by piece.
 
-Null text and null role are empty. Turns of one conversation are ordered by turn (nulls first), then role and text. Rows
+Null text and null role are empty. Turns of one conversation are ordered by turn (nulls first), then by a digest of role and text. Rows
 without a conv_id are one conversation. Repeated rows are turns of their own. Extra columns are ignored.
 """
 

@@ -12,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +108,14 @@ def settle(spark: SparkSession) -> None:
 FILES = 100_000
 
 
+def _has_places(docs: DataFrame) -> bool:
+    """Whether the source of docs knows a row's place in its file, as Parquet does and text formats do not."""
+    try:
+        return "row_index" in docs.select("_metadata.row_index").columns
+    except AnalysisException:
+        return False
+
+
 def numbered(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, str | None]:
     """(row, number): the rows of docs as one column, so that no name can clash, and a number of each that is equal in every scan.
 
@@ -116,7 +125,7 @@ def numbered(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame
     own = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     place = (F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
     # A plan without children: whatever is made of a table may hold a row of it twice.
-    straight = docs._jdf.queryExecution().analyzed().children().isEmpty() and 0 < len(docs.inputFiles()) <= FILES
+    straight = docs._jdf.queryExecution().analyzed().children().isEmpty() and _has_places(docs) and 0 < len(docs.inputFiles()) <= FILES
     if not straight:
         return materialize(spark, docs.select(own, F.monotonically_increasing_id().alias("number")), name)
     # One row per file.

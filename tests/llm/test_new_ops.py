@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusloom.llm import alignment, mixing, resampling
+from corpusloom.llm import alignment, decontaminate, mixing, ngram_join, resampling
 from corpusloom.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, number long, n long, size long, _part long, place long, rank string, weight string"
@@ -240,3 +240,31 @@ def test_group_numbers_are_running_counts_of_cuts(spark):
     frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
     found = alignment.cuts(alignment.encoded(spark, frame, *paths).repartition(2, "number"), alignment.load(*paths)).sort("end").collect()
     assert [r.group for r in found] == list(range(1, len(found) + 1)) and found[-1].end == len(text) + 1
+
+
+def test_short_items_with_and_without_end_marks(spark, monkeypatch):
+    """A short item is found as a sentence whether a mark ends it in the item, in the text, in both or in neither; several blocks of the benchmark give the same."""
+    items = [(1, "Paris is the capital"), (2, "So it goes!"), (3, "yes"), (4, "a: b"), (5, "one two three four five six seven eight")]
+    docs = [
+        (1, "Indeed. Paris is the capital. Yes."), (2, "Paris is the capital"), (3, "x\nParis is the capital!?\ny"), (4, "Paris is the capital city."), (5, "They say Paris is the capital. No."),
+        (6, "so it goes"), (7, "And. So it goes. On"), (8, "So it goes on."), (9, "No; a: b; c"), (10, "a b"), (11, "...\n?"), (12, "yes?"), (13, None), (14, "x one two three four five six seven eight y"),
+    ]
+    want = [(1, 1), (1, 3), (2, 1), (3, 1), (6, 2), (7, 2), (9, 4), (12, 3), (14, 5)]
+    table, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for words in (1_000_000, 6):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, table, benchmark).collect()) == want
+        assert {r.doc_id for r in decontaminate.uncontaminated(spark, table, benchmark).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
+def test_one_of_each_from_any_format(spark, tmp_path):
+    """Rows are told apart in tables whose files know no places, too, and in rows that are no table."""
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words), (2, words + " more"), (2, words), (3, "else"), (3, "else"), (None, words), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter([(1, words), (3, "else"), (None, None)])
+    for kind in ("json", "orc", "parquet"):
+        frame.write.format(kind).save(f"{tmp_path}/{kind}")
+        docs = spark.read.schema(frame.schema).format(kind).load(f"{tmp_path}/{kind}")
+        assert Counter(map(tuple, ngram_join.one_of_each(spark, docs).collect())) == want
+    assert Counter(map(tuple, ngram_join.one_of_each(spark, frame).collect())) == want
