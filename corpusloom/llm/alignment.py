@@ -46,28 +46,33 @@ class Encoders:
             self.bytes_a[i] = bytes(map(value.__getitem__, entry)) if all(c in value for c in entry) else entry.encode()
         spelt = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(token_counts.SPACE, " ").encode() for i, p in enumerate(spelt)]
-        # The library puts no space before an empty text.
-        self.memo = bpe_units.Memo(lambda s: self.b.encode(s[1:]) if len(s) > 1 else [self.b.piece_to_id(token_counts.SPACE)])
+        self.kind_a, self.kind_b = (np.dtype("<u2" if len(v) <= 1 << 16 else "<u4") for v in (self.bytes_a, self.bytes_b))
+        self.size_a = np.array([len(x) for x in self.bytes_a])
+        self.memo = bpe_units.Memo(self._stretch)
 
-    def pieces(self, text: str) -> list[int]:
-        """B's ids of a text: no piece crosses the start of a word, and the space that a stretch begins with is the one that the library puts."""
-        if not self.by_word:
-            return self.b.encode(text)
-        out: list[int] = []
-        for s in token_counts._RUNS.findall(" " + text):
-            out += self.memo[s]
-        return out
+    def _stretch(self, s: str) -> bytes | None:
+        """B's ids of a stretch, packed; none if they spell something else."""
+        # The library puts no space before an empty text.
+        ids = self.b.encode(s[1:]) if len(s) > 1 else [self.b.piece_to_id(token_counts.SPACE)]
+        return np.array(ids, self.kind_b).tobytes() if b"".join(map(self.bytes_b.__getitem__, ids)) == s.encode() else None
+
+    def pieces(self, text: str) -> np.ndarray | None:
+        """B's ids of a text, none if they spell something else than a space and the text. No piece crosses the start of a word, and the space that a stretch begins with is the one that the library puts."""
+        if self.by_word:
+            found = [self.memo[s] for s in token_counts._RUNS.findall(" " + text)]
+            if None not in found:
+                return np.frombuffer(b"".join(found), self.kind_b)
+        ids = self.b.encode(text)
+        return np.array(ids, self.kind_b) if b"".join(map(self.bytes_b.__getitem__, ids)) == (" " + text).encode() else None
 
     def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Both sides' ids; none where either side does not spell a space and the text."""
-        none = np.zeros(0, np.int64)
-        if not text:
-            return none, none
-        whole = (" " + text).encode()
-        a, b = np.frombuffer(self.a.ids(" " + text), self.a.dtype).astype(np.int64), self.pieces(text)
-        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-            return none, none
-        return a, np.array(b, np.int64)
+        none = np.zeros(0, self.kind_a), np.zeros(0, self.kind_b)
+        if not text or (b := self.pieces(text)) is None:
+            return none
+        a = np.frombuffer(self.a.ids(" " + text), self.a.dtype)
+        # A's entries are runs of bytes of the text, in order: what is missing shows in their length.
+        return (a, b) if int(self.size_a[a].sum()) == len(text.encode()) + 1 else none
 
 
 _loaded: dict[tuple[str, str], Encoders] = {}
@@ -94,7 +99,7 @@ def _encoded(byte_level: str, pieces: str) -> Callable:
             for ids, vocabulary in zip(sides, (both.bytes_a, both.bytes_b), strict=True):
                 kind, plain = _kinds(len(vocabulary))
                 ends = np.cumsum([0, *map(len, ids)])
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)]).astype(plain), kind)))
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, plain)]).astype(plain), kind)))
             yield pa.RecordBatch.from_arrays(columns, names=["number", "doc_id", "a", "b"])
         trim()
 
@@ -131,24 +136,21 @@ def cuts(rows: DataFrame, both: Encoders) -> DataFrame:
 def _rendered(n_a: int, n_b: int) -> Callable:
     """Rows (doc_id, a, b, ends of groups as (group, a_pos, b_pos)) to what the result has of a document by itself, and its links' pairs."""
     mask_a, mask_b = (0xFFFF if n <= 1 << 16 else -1 for n in (n_a, n_b))
-    names = {sep: [b"%d%b" % (i, sep) for i in range(max(n_a, n_b))] for sep in (b",", b"|", b";")}
+    top = max(n_a, n_b)
+    # Every id before each of its three separators.
+    names = np.array([b"%d%b" % (i, sep) for sep in (b",", b"|", b";") for i in range(top)], dtype=object)
 
     def digest(a: np.ndarray, b: np.ndarray, a_end: np.ndarray, b_end: np.ndarray) -> str:
-        part = []
-        comma, bar, semi = names[b","], names[b"|"], names[b";"]
-        a, b = a.tolist(), b.tolist()
-        i = j = 0
-        for p, q in zip(a_end.tolist(), b_end.tolist(), strict=True):
-            while i < p:
-                part.append(comma[a[i]])
-                i += 1
-            part.append(bar[a[p]])
-            while j < q:
-                part.append(comma[b[j]])
-                j += 1
-            part.append(semi[b[q]])
-            i, j = p + 1, q + 1
-        return hashlib.sha256(b"".join(part)[:-1]).hexdigest()
+        """a_end, b_end: the last token of each group."""
+        entries = np.empty(len(a) + len(b), np.int64)
+        a_group, b_group = (np.repeat(np.arange(len(x)), np.diff(x, prepend=-1)) for x in (a_end, b_end))
+        # A's tokens stand behind B's of the groups before, B's behind A's of their own too.
+        at_a = np.arange(len(a)) + np.concatenate([[0], b_end[:-1] + 1])[a_group]
+        at_b = np.arange(len(b)) + (a_end + 1)[b_group]
+        entries[at_a], entries[at_b] = a, b
+        entries[at_a[a_end]] += top
+        entries[at_b[b_end]] += 2 * top
+        return hashlib.sha256(b"".join(names[entries].tolist())[:-1]).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
