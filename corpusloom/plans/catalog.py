@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import grouping, legal, pairing, retrieval, texts
+from corpusloom.plans import flows, grouping, legal, pairing, retrieval, texts
 
-_PARTS = (retrieval, texts, pairing, grouping, legal)
+_PARTS = (retrieval, texts, pairing, grouping, legal, flows)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.SQL.items()}

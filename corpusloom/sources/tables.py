@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -149,3 +150,40 @@ def write_kept_rejected_scored(spark: SparkSession, scored: DataFrame, path: str
     rows.where(keep).drop(scores).write.mode("overwrite").json(f"{path}/kept")
     rows.where(~keep).write.mode("overwrite").json(f"{path}/rejected")
     rows.write.mode("overwrite").json(f"{path}/scored")
+
+
+def text_pages(content: bytes) -> Iterator[str]:
+    """Pages of a UTF-8 text, which form feeds end."""
+    for page in content.split(b"\f"):
+        yield page.decode("utf-8")
+
+
+def pdf_pages(content: bytes) -> Iterator[str]:
+    """Pages of a PDF file, by the pypdf library where it is installed."""
+    from io import BytesIO
+
+    import pypdf
+
+    for page in pypdf.PdfReader(BytesIO(content)).pages:
+        yield page.extract_text()
+
+
+def binary_pages(spark: SparkSession, path: str | Sequence[str], reader: Callable[[bytes], Iterator[str]] = text_pages, pattern: str = "*") -> DataFrame:
+    """doc, page, text, error of binary files: a row for each page, numbered from 0, which leaves its task as soon as it is read.
+
+    A file that cannot be read gives the pages before its fault, then a row with the kind of its fault and no text. A file of no bytes has no page. ``page_texts`` joins the pages of a file.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for doc, content in zip(f["path"], f["content"], strict=True):
+                n = 0
+                try:
+                    for text in reader(content):
+                        yield pd.DataFrame({"doc": [doc], "page": [n], "text": [text], "error": [None]}, dtype=object)
+                        n += 1
+                except Exception as e:  # noqa: BLE001  a file may be broken in any way; its row says how
+                    yield pd.DataFrame({"doc": [doc], "page": [n], "text": [None], "error": [type(e).__name__]}, dtype=object)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInPandas(run, "doc string, page long, text string, error string")
