@@ -13,6 +13,7 @@ from corpusloom.operators import calls, similarity, training
 from corpusloom.plans.retrieval import DIMS, _gold, _sides
 from corpusloom.sources import tables, versions
 from corpusloom.sources.files import put
+from corpusloom.sources.json_maps import json_map
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -104,6 +105,19 @@ def page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.substring(name, 1, 8).cast("long").alias("file"), "page", F.md5(F.col("text").cast("binary")).alias("md5"), "error")
 
 
+#: Documents of a map, and bytes of a range, so that entries lie across ranges.
+PER_MAP, RANGE = 200, 10_000
+
+
+def json_maps_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a text, written as JSON objects of some hundred each and read back in byte ranges."""
+    folder = _folder(spark, "maps")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null and text is not null")
+    entry = F.struct(F.col("doc_id").cast("string").alias("k"), F.col("text").alias("v"))
+    rows.groupBy(F.floor(F.col("doc_id") / PER_MAP).alias("map")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.partitionBy("map").text(folder)
+    return json_map(spark, folder, RANGE).select("id", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 #: Documents of a sample.
 SAMPLE = 25
 
@@ -114,7 +128,7 @@ def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.shuffled_cap(rows, F.col("doc_id"), SAMPLE)
 
 
-QUERIES = {f.__name__: f for f in (full_batches, contrastive_loss, score_versions, calls_resumed, page_scan, random_sample)}
+QUERIES = {f.__name__: f for f in (full_batches, contrastive_loss, score_versions, calls_resumed, page_scan, json_maps_scan, random_sample)}
 
 _DIMS = ", ".join(map(str, DIMS))
 SQL = {
@@ -134,5 +148,6 @@ SELECT 'current' AS version, CASE WHEN coalesce(score, 0) >= {SECOND} THEN 'kept
     "calls_resumed": "SELECT doc_id, length(text) || ':' || substr(text, 1, 20) AS reply, CASE WHEN sha256(text) < '8' THEN 2 WHEN text IS NOT NULL THEN 1 END::BIGINT AS run FROM documents",
     "page_scan": f"""WITH p AS (SELECT page_id // {PER_FILE} AS file, row_number() OVER (PARTITION BY page_id // {PER_FILE} ORDER BY page_id) - 1 AS page, md5(translate(coalesce(html, ''), chr(12), ' ')) AS md5 FROM pages)
 SELECT file, page, md5, NULL AS error FROM p UNION ALL SELECT file, count(*), NULL, 'UnicodeDecodeError' FROM p WHERE {BROKEN} GROUP BY file""",
+    "json_maps_scan": "SELECT doc_id::VARCHAR AS id, md5(text) AS md5 FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL",
     "random_sample": f"SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT {SAMPLE}",
 }

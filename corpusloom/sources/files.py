@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyarrow import fs
+from pyarrow import NativeFile, fs
 
 
 def _resolve(uri: str) -> tuple[fs.FileSystem, str]:
@@ -31,3 +31,8 @@ def contents(folder: str, suffix: str) -> list[bytes]:
             with store.open_input_stream(f.path) as data:
                 out.append(data.read())
     return out
+
+
+def open_input(uri: str) -> NativeFile:
+    store, path = _resolve(uri)
+    return store.open_input_file(path)

@@ -101,14 +101,15 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def json_map(spark: SparkSession, path: str) -> DataFrame:
-    """id, text of a JSON object of strings."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "text"))
+    """id, text of files that hold a JSON object of strings, read in byte ranges; a malformed file fails the read."""
+    from corpusloom.sources import json_maps  # which needs this module
+
+    return json_maps.json_map(spark, path)
 
 
 def json_relations(spark: SparkSession, path: str) -> DataFrame:
-    """qid, cid of a JSON object of arrays; each pair once."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("qid", "cids"))
+    """qid, cid of a JSON object of arrays; each pair once. A malformed file fails the read."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>", {"mode": "FAILFAST"})).alias("qid", "cids"))
     return rows.select("qid", F.explode("cids").alias("cid")).distinct()
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import calls, training
-from corpusloom.sources import tables, versions
+from corpusloom.sources import json_maps, tables, versions
 
 
 @pytest.mark.parametrize("size", [1, 7, 64])
@@ -173,3 +173,44 @@ def test_versions(spark, tmp_path):
     gone = versions.sweep(spark, path, 2)
     assert first in gone and versions.committed(spark, path) == [plain, staged]
     assert versions.read(spark, path, SCHEMA, back=1).count() == 1 and versions.sweep(spark, path, 2) == []
+
+
+def test_json_maps_in_ranges_of_any_size(spark, tmp_path):
+    """Escapes, backslashes and quotes across the edges of ranges, keys and values that look like the marks between them, and characters of several bytes."""
+    rng = random.Random(4)
+    odd = ["", ", ", ": ", '": "', "\\", '\\"', '"', '\\\\"', "}", "{", "é中𝒳", "\n\t", "\u2028", "a" * 300, "[1]"]
+    files = {"plain": {f"k{i}": rng.choice(odd) + rng.choice(odd) for i in range(40)}, "keys": {k + str(i): "v" for i, k in enumerate(odd)}, "one": {"": ""}, "none": {}}
+    for name, found in files.items():
+        text = json.dumps(found, ensure_ascii=name == "keys", indent=rng.choice([None, 1]))
+        (tmp_path / f"{name}.json").write_text(f" {text} \n", encoding="utf-8")
+    (tmp_path / "empty.json").write_text("")
+    want = Counter((k, v) for f in files.values() for k, v in f.items())
+    for path in tmp_path.iterdir():
+        length = path.stat().st_size
+        for size in (1, 2, 3, 7, 64, 10_000):
+            edges = [(s, min(s + size, length)) for s in range(0, length, size)]
+            seen, got = 0, []
+            for s, e in edges:
+                got += json_maps._entries(str(path), s, e, seen)
+                seen += len(json_maps._Range(str(path), s, e).quotes)
+            assert Counter(got) == Counter(files.get(path.stem, {}).items()), (path, size)
+    for size in (5, 1000):
+        assert Counter(map(tuple, json_maps.json_map(spark, str(tmp_path), size).collect())) == want
+
+
+@pytest.mark.parametrize("text", ['{"a": "b"', '{"a": 1}', '{"a": "b",}', '{"a": "b"} x', '["a", "b"]', '{"a" "b"}', '{"a": ["b"]}', '"a": "b"}', "x", '{"a": "b" "c": "d"}', '{"a": {"b": "c"}}', '{"a": "\x01"}'])
+def test_malformed_maps_fail(tmp_path, text):
+    path = tmp_path / "m.json"
+    path.write_text(text)
+    for size in (1, 3, 1000):
+        with pytest.raises(ValueError, match="."):
+            seen = 0
+            for s in range(0, len(text), size):
+                list(json_maps._entries(str(path), s, min(s + size, len(text)), seen))
+                seen += len(json_maps._Range(str(path), s, min(s + size, len(text))).quotes)
+
+
+def test_malformed_relations_fail(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"q": ["a", "b"')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        tables.json_relations(spark, str(tmp_path)).collect()
