@@ -57,6 +57,18 @@ def score_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.select(F.lit("current").alias("version"), "part", "doc_id", "score").union(before.select(F.lit("backup"), F.lit("kept"), "doc_id", "score"))
 
 
+def two_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in two renderings, as Parquet and as JSON lines with other column names, committed together and read back."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    path = _folder(spark, "outputs")
+    headed = rows.withColumn("text", F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.lit("] "), "text"))
+    plain = tables.renamed(rows, {"doc_id": "id", "text": "positive"})
+    versions.commit(spark, path, versions.stage_outputs(spark, path, {"headed": (headed, "parquet"), "plain": (plain, "json")}))
+    a = versions.read(spark, path, "doc_id long, source string, text string", "headed", kind="parquet").select(F.lit("headed").alias("output"), "doc_id", "text")
+    b = versions.read(spark, path, "id long, positive string", "plain").select(F.lit("plain"), "id", "positive")
+    return a.union(b).select("output", "doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 def _reply(prompt: str) -> str:
     return f"{len(prompt)}:{prompt[:20]}"
 
@@ -128,7 +140,7 @@ def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.shuffled_cap(rows, F.col("doc_id"), SAMPLE)
 
 
-QUERIES = {f.__name__: f for f in (full_batches, contrastive_loss, score_versions, calls_resumed, page_scan, json_maps_scan, random_sample)}
+QUERIES = {f.__name__: f for f in (full_batches, contrastive_loss, score_versions, two_outputs, calls_resumed, page_scan, json_maps_scan, random_sample)}
 
 _DIMS = ", ".join(map(str, DIMS))
 SQL = {
@@ -145,6 +157,7 @@ r AS (SELECT dim, batch, qid, ln(sum(exp(s))) - max(s) FILTER (own) AS loss FROM
 SELECT batch, dim::BIGINT AS dim, count(*) AS n_rows, round(avg(loss), 6) AS loss FROM r GROUP BY batch, dim""",
     "score_versions": f"""WITH s AS (SELECT doc_id, (6 + 2 * quality - 2 * toxic)::BIGINT AS score FROM documents LEFT JOIN labels USING (doc_id))
 SELECT 'current' AS version, CASE WHEN coalesce(score, 0) >= {SECOND} THEN 'kept' ELSE 'rejected' END AS part, doc_id, score FROM s UNION ALL SELECT 'backup', 'kept', doc_id, score FROM s WHERE score >= {FIRST}""",
+    "two_outputs": "SELECT 'headed' AS output, doc_id, md5('[' || coalesce(source, '') || '] ' || text) AS md5 FROM documents UNION ALL SELECT 'plain', doc_id, md5(text) FROM documents",
     "calls_resumed": "SELECT doc_id, length(text) || ':' || substr(text, 1, 20) AS reply, CASE WHEN sha256(text) < '8' THEN 2 WHEN text IS NOT NULL THEN 1 END::BIGINT AS run FROM documents",
     "page_scan": f"""WITH p AS (SELECT page_id // {PER_FILE} AS file, row_number() OVER (PARTITION BY page_id // {PER_FILE} ORDER BY page_id) - 1 AS page, md5(translate(coalesce(html, ''), chr(12), ' ')) AS md5 FROM pages)
 SELECT file, page, md5, NULL AS error FROM p UNION ALL SELECT file, count(*), NULL, 'UnicodeDecodeError' FROM p WHERE {BROKEN} GROUP BY file""",

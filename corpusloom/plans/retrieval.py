@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import search, vectors
+from corpusloom.operators import reports, search, vectors
 
 DIMS = (64, 32, 16)
 
@@ -80,6 +80,11 @@ def sweep_in_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.metrics(judged, relevant, DIMS, "eval_set").select("eval_set", F.col("dim").cast("long").alias("dim"), *[F.round(m, 6).alias(m) for m in vectors.METRICS])
 
 
+def best_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each set the dimension of the highest score, the smallest of equals."""
+    return reports.best(sweep_in_sets(spark, sf_dir), ["eval_set"], "dim", "ndcg_10")
+
+
 def _gold(q: DataFrame, c: DataFrame) -> DataFrame:
     """The gold row of a query is the smallest corpus id of its label."""
     first = c.groupBy("c_label").agg(F.min("cid").alias("gold_cid"))
@@ -142,7 +147,7 @@ def collapse_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", *[F.round(x, 6).alias(x) for x in out.columns if x != "id"])
 
 
-QUERIES = {f.__name__: f for f in (sweep_in_sets, retrieval_topk_bounded, retrieval_metrics_cut, mining_skips, collapse_diagnostic, retrieval_topk, retrieval_metrics, matryoshka_sweep, hard_negatives, hard_negatives_filtered, hard_negatives_wide, mining_counters)}
+QUERIES = {f.__name__: f for f in (best_dimension, sweep_in_sets, retrieval_topk_bounded, retrieval_metrics_cut, mining_skips, collapse_diagnostic, retrieval_topk, retrieval_metrics, matryoshka_sweep, hard_negatives, hard_negatives_filtered, hard_negatives_wide, mining_counters)}
 
 
 def _ranked(dims: tuple[int, ...], sets: bool = False) -> str:
@@ -180,6 +185,7 @@ SQL = {
     "retrieval_topk": f"WITH {_ranked((64,))} SELECT qid, cid, round(sim, 6) AS sim, rank FROM r WHERE rank <= 10",
     "retrieval_topk_bounded": f"WITH {_ranked(DIMS[:2])} SELECT dim::BIGINT AS dim, qid, cid, round(sim, 6) AS sim, rank FROM r WHERE rank <= 10",
     "sweep_in_sets": _metrics_sql(DIMS, sets=True),
+    "best_dimension": f"SELECT eval_set, dim, ndcg_10 FROM (SELECT *, row_number() OVER (PARTITION BY eval_set ORDER BY ndcg_10 DESC, dim) AS o FROM ({_metrics_sql(DIMS, sets=True)})) WHERE o = 1",
     "retrieval_metrics": _metrics_sql((64,)),
     "matryoshka_sweep": _metrics_sql(DIMS),
     "retrieval_metrics_cut": _metrics_sql((64,), LEAST),

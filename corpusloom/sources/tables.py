@@ -64,6 +64,16 @@ def json_lines(spark: SparkSession, paths: str | Sequence[str], schema: str) ->
     return spark.read.schema(schema).option("mode", "FAILFAST").json(paths)
 
 
+def renamed(rows: DataFrame, names: dict[str, str], others: bool = False) -> DataFrame:
+    """The columns {old: new} of rows under their new names, in that order, and with ``others`` those not named behind them. A column that is missing, or a name that two columns would have, is an error."""
+    left = [c for c in rows.columns if c not in names] if others else []
+    if missing := set(names) - set(rows.columns):
+        raise KeyError(f"no column {sorted(missing)}")
+    if len({*names.values(), *left}) < len(names) + len(left):
+        raise ValueError("two columns of one name")
+    return rows.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()], *[F.col(f"`{c}`") for c in left])
+
+
 def json_lines_if_any(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
     """Rows of the paths that exist; none give an empty table."""
     found = [p for p in paths if exists(spark, p)]

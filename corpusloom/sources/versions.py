@@ -42,6 +42,16 @@ def stage(rows: DataFrame, path: str, parts: dict[str, Column] | None = None) ->
     return name
 
 
+def stage_outputs(spark: SparkSession, path: str, outputs: dict[str, tuple[DataFrame, str]]) -> str:
+    """Writes several outputs, {name: (rows, json or parquet)}, as parts of one new version, and returns its name: a table and its JSON, or the same rows in two renderings. Rows that several outputs are made of should be a table already."""
+    name = f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    for part, (rows, kind) in outputs.items():
+        rows.write.format(kind).save(f"{path}/{name}/{PART}={part}")
+    at, files = _files(spark, path)
+    files.create(at(f"{path}/{name}/_SUCCESS")).close()
+    return name
+
+
 def commit(spark: SparkSession, path: str, name: str) -> None:
     """Makes a staged version the current one."""
     kind, files = _files(spark, path)
@@ -71,17 +81,17 @@ def write(rows: DataFrame, path: str, parts: dict[str, Column] | None = None) ->
     return name
 
 
-def read(spark: SparkSession, path: str, schema: str, part: str | None = None, back: int = 0) -> DataFrame:
-    """Rows of the current version, or of the one ``back`` commits before; of one part, or of all, with ``part`` where there are parts."""
+def read(spark: SparkSession, path: str, schema: str, part: str | None = None, back: int = 0, kind: str = "json") -> DataFrame:
+    """Rows of the current version, or of the one ``back`` commits before; of one part, in its format, or of all, with ``part`` where there are parts."""
     names = committed(spark, path)
     if back >= len(names):
         raise LookupError(f"{path} has {len(names)} versions")
     at = f"{path}/{names[back]}"
-    one = spark.read.option("mode", "FAILFAST")
+    one = spark.read.option("mode", "FAILFAST").format(kind)
     if part is not None:
         at = f"{at}/{PART}={part}"
-        return one.schema(schema).json(at) if exists(spark, at) else spark.createDataFrame([], schema)
-    return one.schema(f"{schema}, {PART} string").json(at) if _parted(spark, at) else one.schema(schema).json(at)
+        return one.schema(schema).load(at) if exists(spark, at) else spark.createDataFrame([], schema)
+    return one.schema(f"{schema}, {PART} string").load(at) if _parted(spark, at) else one.schema(schema).load(at)
 
 
 def _parted(spark: SparkSession, at: str) -> bool:

@@ -214,3 +214,23 @@ def test_malformed_relations_fail(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"q": ["a", "b"')
     with pytest.raises(Exception, match="MALFORMED|malformed"):
         tables.json_relations(spark, str(tmp_path)).collect()
+
+
+def test_outputs_committed_together(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.createDataFrame([(1, 2.0)], SCHEMA)
+    versions.commit(spark, path, versions.stage_outputs(spark, path, {"a": (rows, "parquet"), "b": (rows, "json")}))
+    broken = rows.withColumn("score", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        versions.commit(spark, path, versions.stage_outputs(spark, path, {"a": (rows.limit(0), "parquet"), "b": (broken, "json")}))
+    assert [tuple(r) for r in versions.read(spark, path, SCHEMA, "a", kind="parquet").collect()] == [tuple(r) for r in versions.read(spark, path, SCHEMA, "b").collect()] == [(1, 2.0)]
+
+
+def test_renamed_columns(spark):
+    rows = spark.createDataFrame([(1, "x", None)], "a long, `b.c` string, d string")
+    assert tables.renamed(rows, {"b.c": "text", "a": "id"}).columns == ["text", "id"]
+    assert tables.renamed(rows, {"a": "id"}, others=True).columns == ["id", "b.c", "d"]
+    with pytest.raises(KeyError):
+        tables.renamed(rows, {"z": "y"})
+    with pytest.raises(ValueError, match="two columns"):
+        tables.renamed(rows, {"a": "d"}, others=True)
