@@ -147,7 +147,23 @@ p AS (
 k AS (SELECT p.doc_id, source, part, max(part) OVER (PARTITION BY p.doc_id) AS n_parts, array_to_string(ss[a + 1:b], ' ') AS chunk FROM p JOIN t USING (doc_id)),
 i AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, part) - 1 AS chunk_id FROM k)"""
 )
+_MERGE = f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+c AS (SELECT doc_id::VARCHAR AS source, pos, text, length(text) // 4 AS tokens, CASE WHEN pos % 7 = 6 THEN 'b' ELSE 'a' END AS t, 'doc > ' || pos AS path FROM l),
+b AS (
+  SELECT source, pos, 0 AS g, text, tokens, t, path FROM c WHERE pos = 0
+  UNION ALL
+  SELECT source, pos, CASE WHEN m THEN g ELSE g + 1 END, CASE WHEN m THEN old || chr(10) || chr(10) || text ELSE text END, CASE WHEN m THEN (length(old) + 2 + length(text)) // 4 ELSE tokens END, t, CASE WHEN m THEN before || ' + ' || pos ELSE path END
+  FROM (SELECT c.*, b.g, b.text AS old, b.path AS before, c.tokens < {chunking.MIN_TOKENS} AND b.t = c.t AND b.tokens + c.tokens <= {chunking.MAX_TOKENS} AS m FROM b JOIN c ON c.source = b.source AND c.pos = b.pos + 1)
+), k AS (SELECT source, g, arg_max(text, pos) AS text, arg_max(tokens, pos) AS tokens, arg_max(t, pos) AS t, arg_max(path, pos) AS path FROM b GROUP BY source, g),
+f AS (
+  SELECT source, g, 0 AS n, text, tokens, t, path FROM k WHERE g = 0
+  UNION ALL
+  SELECT source, g, CASE WHEN m THEN n ELSE n + 1 END, CASE WHEN m THEN old || chr(10) || chr(10) || text ELSE text END, CASE WHEN m THEN (length(old) + 2 + length(text)) // 4 ELSE tokens END, t, CASE WHEN m THEN string_split(before, ' > ')[-1] || ' + ' || path ELSE path END
+  FROM (SELECT k.*, f.n, f.text AS old, f.path AS before, f.tokens < {chunking.MIN_TOKENS} AND f.t = k.t AND f.tokens + k.tokens <= {chunking.MAX_TOKENS} AS m FROM f JOIN k ON k.source = f.source AND k.g = f.g + 1)
+)
+SELECT source, n::BIGINT AS pos, md5(arg_max(text, g)) AS md5, arg_max(tokens, g)::INT AS tokens, arg_max(path, g) AS hierarchy_path FROM f GROUP BY source, n"""
 SQL = {
+    "chunk_merge_small": _MERGE,
     "doc_clean": r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^Page \d+$', '', 'g'), '([\pL\pN_])-\s*\n\s*([\pL\pN_])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)
 SELECT doc_id, md5(t) AS text_md5, length(t)::BIGINT AS n FROM c""",
     "sentence_split": f"WITH {_SENTENCES} SELECT doc_id, unnest(range(len(ss))) AS pos, md5(unnest(ss)) AS md5 FROM s",
