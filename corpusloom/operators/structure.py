@@ -1,25 +1,26 @@
 """Structured legal texts to passages: regions, headings with the state they set, bodies, paragraphs, definitions and annexes.
 
-A document's markers are found with their offsets in one Arrow batch function; a heading's body ends at the next heading that closes it, and what a heading
-sets (chapter, section) holds until the next one of its kind. Everything after that is packing and merging of passages.
+A text's headings are a relation: each kind's matches and the stretches between them give the offsets at which they begin and end. A heading's body ends at the next heading that closes it, and what a heading
+sets (chapter, section) holds until the next one of its kind; both are windows over a document's headings. Bodies are then cut at their marks, packed into the budget, and small ones merged.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import CHARS_PER_TOKEN
-from corpusloom.operators.chunking import MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS, merge_small
+from corpusloom.functions.text import clean_page, sentences, strip, token_estimate
+from corpusloom.operators.chunking import MAX_TOKENS, MIN_TOKENS, merge_small, pack
+from corpusloom.sources.tables import materialize
 
 CHUNK = "source string, chunk_id long, text string, section_type string, chapter string, chapter_number string, section string, article_number int, article_title string, paragraph_number int, annex_number string, annex_title string, hierarchy_path string, token_estimate int, context_header string"
 
-# Names of kinds of passages, words of their paths, and the headings and marks of the two formats, for re.MULTILINE.
+# Names of kinds of passages, words of their paths, and the headings and marks of the two formats, in which a line ends at a line feed only.
 RECITAL, ARTICLE, ANNEX, PREAMBLE = "overweging", "artikel", "bijlage", "preambule"
 EU_HEADINGS = {
     "chapter": r"(HOOFDSTUK\s+[IVXLC]+)\s*\n\s*((?![Aa][Ff][Dd][Ee][Ll][Ii][Nn][Gg])[A-Z][A-Z\- ,À-Þ]{2,}(?:\n(?![Aa][Ff][Dd][Ee][Ll][Ii][Nn][Gg])[A-Z][A-Z\- ,À-Þ]{2,})*)",
@@ -51,191 +52,206 @@ class Source:
     end_marker: str | None = None
 
 
-@dataclass
-class Passage:
-    text: str
-    kind: str
-    path: str
-    fields: dict = field(default_factory=dict)
-    #: The path as headers show it, where it differs.
-    shown: str = ""
-
-
-def tokens(text: str) -> int:
-    return len(text) // CHARS_PER_TOKEN
-
-
-def cleaned(text: str, footers: tuple[str, ...] = ()) -> str:
-    for f in footers:
-        text = re.sub(f, "", text)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(\w)-\s*\n\s*(\w)", r"\1\2", text)).strip()
-
-
-def stretches(text: str, mark: str) -> tuple[str, list[tuple[re.Match, str]]]:
-    """The text before the first mark, and each mark with what follows it up to the next."""
-    found = list(re.finditer(mark, text, re.M))
-    if not found:
-        return text, []
-    ends = [m.start() for m in found[1:]] + [len(text)]
-    return text[: found[0].start()], [(m, text[m.end() : e]) for m, e in zip(found, ends, strict=True)]
-
-
-def packed(text: str, budget: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[str]:
-    """Sentences filled into chunks of at most budget tokens, each next one with the last sentences that fit the overlap."""
-    parts = [p for s in re.split(r"(?<=[.;:])\s+|\n{2,}", text) if (p := s.strip())]
-    out, start = [], 0
-    sums = [0]
-    for p in parts:
-        sums.append(sums[-1] + tokens(p))
-    opened = 0
-    for i in range(len(parts)):
-        if i > opened and sums[i + 1] - sums[start] > budget:
-            out.append(" ".join(parts[start:i]))
-            opened, start = i, next(j for j in range(start, i + 1) if sums[i] - sums[j] <= overlap)
-    return out + [" ".join(parts[start:])] if parts else out
-
-
-def within_budget(p: Passage) -> list[Passage]:
-    if tokens(p.text) <= MAX_TOKENS:
-        return [p]
-    parts = packed(p.text)
-    if len(parts) < 2:
-        return [Passage(t, p.kind, p.path, p.fields, p.shown) for t in parts]
-    return [Passage(t, p.kind, f"{p.path} (deel {i}/{len(parts)})", p.fields) for i, t in enumerate(parts, 1)]
-
-
-def recitals(text: str) -> list[Passage]:
-    """Numbered recitals; of several marks of a number the last counts, and text before the first is no recital."""
-    last: dict[int, re.Match] = {}
-    for m in re.finditer(RECITAL_MARK, text, re.M):
-        last[int(m[1] or m[2])] = m
-    marks = sorted(last.items(), key=lambda x: x[1].start())
-    ends = [m.start() for _, m in marks[1:]] + [len(text)] * bool(marks)
-    found = [Passage(text[m.end() : e].strip(), RECITAL, f"Overwegingen > ({n})", {"paragraph_number": n}, f"Overwegingen > Overweging ({n})") for (n, m), e in zip(marks, ends, strict=True)]
-    return [q for p in found for q in within_budget(p)]
-
-
-def _paragraphs(p: Passage, mark: str) -> list[Passage]:
-    """The passage, or its numbered paragraphs if it is too long and has several; what stands before the first goes with it."""
-    intro, parts = stretches(p.text, mark)
-    if tokens(p.text) <= MAX_TOKENS or len(parts) < 2:
-        return within_budget(p)
-    out = []
-    for k, (m, body) in enumerate(parts):
-        text = (m[0] + body).strip()
-        if k == 0 and intro.strip():
-            text = f"{intro.strip()}\n\n{text}"
-        out += within_budget(Passage(text, p.kind, f"{p.path} > Lid {m[1]}", p.fields | {"paragraph_number": int(m[1])}))
-    return out
-
-
-def _definitions(p: Passage) -> list[Passage]:
+#: Unicode classes, lines that end at a line feed, and marks at the beginning of any line.
+_FLAGS = "(?Udm)"
+_FIELDS = ("chapter", "chapter_number", "section", "article_title", "annex_number", "annex_title")
+_PASSAGE = ("doc", "part", "seat", "text", "section_type", "path", "shown", *_FIELDS, "article_number", "paragraph_number")
+
+
+def _between(text: Column, mark: str) -> Column:
+    """The stretches before, between and behind the matches of a mark."""
+    return F.split(text, _FLAGS + mark, -1)
+
+
+def _all(text: Column, mark: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(_FLAGS + mark), F.lit(group))
+
+
+def _cut(text: Column, at: Column, to: Column | None = None) -> Column:
+    """Code points [at, to) of a text, none if to is before at."""
+    return F.substring(text, at + 1, F.greatest(F.lit(0), (F.length(text) if to is None else to) - at))
+
+
+def _marks(docs: DataFrame, text: str, kinds: dict[str, str], groups: int) -> DataFrame:
+    """doc, kind, at, to, g1 .. of all matches of each kind's pattern in a column of docs, with the code points at which they begin and end."""
+
+    def of(kind: str, pattern: str) -> DataFrame:
+        parts = {"gap": _between(F.col(text), pattern), "whole": _all(F.col(text), pattern)} | {f"g{i}": _all(F.col(text), pattern, i) for i in range(1, groups + 1)}
+        each = docs.select("doc", F.posexplode(F.arrays_zip(*[v.alias(n) for n, v in parts.items()])).alias("n", "m")).where("m.whole is not null")
+        to = F.sum(F.length("m.gap") + F.length("m.whole")).over(Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+        return each.select("doc", F.lit(kind).alias("kind"), (to - F.length("m.whole")).alias("at"), to.alias("to"), *[F.col(f"m.g{i}") for i in range(1, groups + 1)])
+
+    return reduce(DataFrame.union, [of(k, p) for k, p in kinds.items()])
+
+
+def _bodies(docs: DataFrame, text: str, ranges: DataFrame, *columns: str) -> DataFrame:
+    """ranges(doc, at, to, end, columns) with ``body``, what a column of docs has between to and end; a null end is the text's. A document's text is read once for all its ranges."""
+    listed = ranges.groupBy("doc").agg(F.collect_list(F.struct("at", "to", "end", *columns)).alias("ranges"))
+    cut = F.transform("ranges", lambda r: r.withField("body", strip(_cut(F.col(text), r["to"], F.coalesce(r["end"], F.length(text))))))
+    return docs.join(listed, "doc").select("doc", F.explode(cut).alias("r")).select("doc", "r.*")
+
+
+def _passages(rows: DataFrame, part: int, kind: str, **columns: Column) -> DataFrame:
+    """rows as passages of a kind; fields that are not given are empty."""
+    given = {"doc": F.col("doc"), "part": F.lit(part), "section_type": F.lit(kind)} | {f: F.lit("") for f in _FIELDS} | {f: F.lit(None).cast("int") for f in ("article_number", "paragraph_number")} | columns
+    given.setdefault("shown", given["path"])
+    return rows.select(*[given[c].alias(c) for c in _PASSAGE])
+
+
+def within_budget(passages: DataFrame) -> DataFrame:
+    """Passages that are too long, packed: what they are cut into says so in its path."""
+    parts = F.when(token_estimate(F.col("text")) > MAX_TOKENS, pack(sentences(F.col("text")))).otherwise(F.array("text"))
+    cut = passages.withColumn("parts", parts).select("*", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "t"))
+    several = F.col("n") > 1
+    path = F.when(several, F.format_string("%s (deel %d/%d)", "path", F.col("i") + 1, "n")).otherwise(F.col("path"))
+    made = {"seat": F.concat("seat", F.array("i")), "text": F.col("t"), "path": path, "shown": F.when(several, path).otherwise(F.col("shown"))}
+    return cut.select(*[made.get(c, F.col(c)).alias(c) for c in _PASSAGE])
+
+
+def recitals(docs: DataFrame) -> DataFrame:
+    """Numbered recitals of head; of several marks of a number the last counts, and text before the first is no recital."""
+    marks = _marks(docs, "head", {"recital": RECITAL_MARK}, 2).withColumn("number", F.coalesce(F.nullif("g1", F.lit("")), F.col("g2")).cast("int"))
+    last = F.row_number().over(Window.partitionBy("doc", "number").orderBy(F.desc("at")))
+    kept = marks.withColumn("last", last).where("last = 1").withColumn("end", F.lead("at").over(Window.partitionBy("doc").orderBy("at")))
+    found = _bodies(docs, "head", kept, "number")
+    made = _passages(found, 0, RECITAL, seat=F.array(F.col("at").cast("int")), text=F.col("body"), path=F.format_string("Overwegingen > (%d)", "number"), shown=F.format_string("Overwegingen > Overweging (%d)", "number"), paragraph_number=F.col("number"))
+    return within_budget(made)
+
+
+def _paragraphs(passages: DataFrame, mark: str) -> DataFrame:
+    """The passages, or the numbered paragraphs of those that are too long and have several; what stands before the first goes with it."""
+    gaps, heads, numbers = _between(F.col("text"), mark), _all(F.col("text"), mark), _all(F.col("text"), mark, 1)
+    found = passages.withColumns({"gaps": gaps, "heads": heads, "numbers": numbers})
+    intro = strip(F.col("gaps")[0])
+    text = lambda h, i: strip(F.concat(h, F.get("gaps", i + 1)))
+    paragraph = lambda h, i: F.struct(F.when((i == 0) & (intro != ""), F.concat(intro, F.lit("\n\n"), text(h, i))).otherwise(text(h, i)).alias("t"), F.get("numbers", i).alias("number"))
+    whole = F.array(F.struct(F.col("text").alias("t"), F.lit(None).cast("string").alias("number")))
+    items = F.when((token_estimate(F.col("text")) > MAX_TOKENS) & (F.size("heads") > 1), F.transform("heads", paragraph)).otherwise(whole)
+    each = found.select("*", F.posexplode(items).alias("i", "p"))
+    path = F.when(F.col("p.number").isNull(), F.col("path")).otherwise(F.concat("path", F.lit(" > Lid "), "p.number"))
+    made = {"seat": F.concat("seat", F.array("i")), "text": F.col("p.t"), "path": path, "shown": path, "paragraph_number": F.col("p.number").cast("int")}
+    return within_budget(each.select(*[made.get(c, F.col(c)).alias(c) for c in _PASSAGE]))
+
+
+def _definitions(passages: DataFrame) -> DataFrame:
     """Items of a definitions article; a small one joins the passage before. An article without items gives nothing."""
-    intro, parts = stretches(p.text, DEFINITION_MARK)
-    intro = intro.strip()
-    out = [Passage(intro, p.kind, f"{p.path} > Inleiding", p.fields)] if parts and tokens(intro) >= MIN_TOKENS else []
-    for m, body in parts:
-        text = (m[0] + body).strip()
-        item = Passage(text, p.kind, f"{p.path} > Definitie {m[1]}", p.fields | {"paragraph_number": int(m[1])})
-        if out and tokens(text) < MIN_TOKENS:
-            before = out[-1]
-            out[-1] = Passage(f"{before.text}\n\n{text}", before.kind, f"{before.path}, {m[1]}", before.fields, before.shown or before.path)
-        else:
-            out.append(item)
-    return out
-
-
-def articles(text: str, source: Source) -> list[Passage]:
-    """Articles with the chapter and section that hold at their heading. In a regulation the title is the body's first line, in a law it stands in the heading."""
-    eu = source.layout == "eu"
-    headings, label = EU_HEADINGS if eu else LAW_HEADINGS, LABEL[source.layout]
-    marks = sorted(((m.start(), kind, m) for kind, rx in headings.items() for m in re.finditer(rx, text, re.M)), key=lambda x: x[0])
-    state = {"chapter": "", "chapter_number": "", "section": ""}
-    out: list[Passage] = []
-    for k, (_, kind, m) in enumerate(marks):
-        if kind != "article":
-            number, title = m[1].strip(), m[2].strip()
-            if kind == "chapter":
-                state = {"chapter": f"{label[kind].format(number)} — {re.sub(r'\s+', ' ', title) if eu else title}", "chapter_number": number, "section": ""}
-            else:
-                state = state | {"section": f"{label[kind].format(number)} — {title}"}
-            continue
+    text = F.col("text")
+    found = passages.withColumns({"gaps": _between(text, DEFINITION_MARK), "heads": _all(text, DEFINITION_MARK), "numbers": _all(text, DEFINITION_MARK, 1)}).where(F.size("heads") > 0)
+    intro = strip(F.col("gaps")[0])
+    item = lambda t, n, p: F.struct(t.alias("t"), n.alias("number"), p.alias("own"))
+    items = F.transform("heads", lambda h, i: item(strip(F.concat(h, F.get("gaps", i + 1))), F.get("numbers", i), F.concat("path", F.lit(" > Definitie "), F.get("numbers", i))))
+    first = F.when(token_estimate(intro) >= MIN_TOKENS, F.array(item(intro, F.lit(None).cast("string"), F.concat("path", F.lit(" > Inleiding")))))
+    each = found.select("*", F.posexplode(F.concat(F.coalesce(first, F.slice(items, 1, 0)), items)).alias("i", "d"))
+    opens = (F.col("i") == 0) | (token_estimate(F.col("d.t")) >= MIN_TOKENS)
+    each = each.withColumn("group", F.count_if(opens).over(Window.partitionBy("doc", "seat").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    groups = each.groupBy("doc", "seat", "group").agg(F.array_sort(F.collect_list(F.struct("i", "d"))).alias("ds"), *[F.first(c).alias(c) for c in _PASSAGE if c not in ("doc", "seat", "text", "path", "shown", "paragraph_number")])
+    ds, own = F.col("ds"), F.col("ds")[0]["d"]
+    more = F.transform(F.slice(ds, 2, F.greatest(F.lit(0), F.size(ds) - 1)), lambda x: F.concat(F.lit(", "), x["d"]["number"]))
+    made = {"seat": F.concat("seat", F.array(F.col("group").cast("int"))), "text": F.array_join(F.transform(ds, lambda x: x["d"]["t"]), "\n\n"), "path": F.concat(own["own"], F.array_join(more, "")), "shown": own["own"], "paragraph_number": own["number"].cast("int")}
+    return groups.select(*[made.get(c, F.col(c)).alias(c) for c in _PASSAGE])
+
+
+def articles(docs: DataFrame, source: Source) -> DataFrame:
+    """Articles of body with the chapter and section that hold at their heading. In a regulation the title is the body's first line, in a law it stands in the heading."""
+    eu, label = source.layout == "eu", LABEL[source.layout]
+    headings = EU_HEADINGS if eu else LAW_HEADINGS
+    other = {k: p for k, p in headings.items() if not (eu and k == "article")}
+    marks = _marks(docs, "body", other, 2)
+    if eu:  # whose heading has no title
+        marks = marks.union(_marks(docs, "body", {"article": headings["article"]}, 1).withColumn("g2", F.lit("")))
+    order = F.when(F.col("kind") == "chapter", 0).when(F.col("kind") == "section", 1).otherwise(2)
+    so_far, after = (Window.partitionBy("doc").orderBy("at", order).rowsBetween(*r) for r in ((Window.unboundedPreceding, 0), (1, Window.unboundedFollowing)))
+    number, title = strip(F.col("g1")), strip(F.col("g2"))
+    named = lambda kind, t: F.concat(F.lit(label[kind].format("")), number, F.lit(" — "), t)
+    # What holds is the last chapter, and the last section if no chapter has come since.
+    chapter = F.struct(F.col("at"), order.alias("o"), named("chapter", F.regexp_replace(title, r"(?U)\s+", " ") if eu else title).alias("name"), number.alias("number"))
+    section = F.struct(F.col("at"), order.alias("o"), named("section", title).alias("name"))
+    held = marks.withColumns({
+        "c": F.last(F.when(F.col("kind") == "chapter", chapter), ignorenulls=True).over(so_far),
+        "s": F.last(F.when(F.col("kind") == "section", section), ignorenulls=True).over(so_far),
         # A section's heading does not close the article before it.
-        end = next((at for at, other, _ in marks[k + 1 :] if other != "section"), len(text))
-        body = text[m.end() : end].strip()
-        title = body.partition("\n")[0].strip() if eu else m[2].strip()
-        own = f"Artikel {m[1]} — {title}" if title or not eu else f"Artikel {m[1]}"
-        lead = [state["chapter"]] if eu or state["chapter"] else []
-        path = " > ".join([*lead, *([state["section"]] if state["section"] else []), own])
-        n = int(re.match(r"\d+", m[1])[0])
-        p = Passage(body, ARTICLE, path, state | {"article_number": n, "article_title": title})
-        out += _definitions(p) if eu and n == source.definitions_article else _paragraphs(p, PARAGRAPH_MARK[source.layout])
-    return out
-
-
-def annexes(text: str) -> list[Passage]:
-    """Annexes; the line below an annex's heading is its title and no part of its text."""
-    out = []
-    for m, body in stretches(text, ANNEX_HEADING)[1]:
-        title = (m[2] or "").strip()
-        path = f"Bijlage {m[1]} — {title}" if title else f"Bijlage {m[1]}"
-        out += within_budget(Passage(body.strip(), ANNEX, path, {"annex_number": m[1], "annex_title": title}))
-    return out
-
-
-def regions(text: str, source: Source) -> tuple[str, str, str]:
+        "end": F.first(F.when(F.col("kind") != "section", F.col("at")), ignorenulls=True).over(after),
+    }).where("kind = 'article'")
+    lasts = F.col("c").isNull() | (F.col("s.at") > F.col("c.at")) | ((F.col("s.at") == F.col("c.at")) & (F.col("s.o") > F.col("c.o")))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    held = held.withColumns({"chapter": empty(F.col("c.name")), "chapter_number": empty(F.col("c.number")), "section": empty(F.when(lasts, F.col("s.name")))})
+    found = _bodies(docs, "body", held, "g1", "g2", "chapter", "chapter_number", "section")
+    title = strip(F.substring_index("body", "\n", 1)) if eu else strip(F.col("g2"))
+    own = F.concat(F.lit("Artikel "), F.col("g1"), F.when((title != "") | F.lit(not eu), F.concat(F.lit(" — "), title)).otherwise(""))
+    lead = F.array("chapter") if eu else F.when(F.col("chapter") != "", F.array("chapter")).otherwise(F.array().cast("array<string>"))
+    path = F.array_join(F.concat(lead, F.when(F.col("section") != "", F.array("section")).otherwise(F.array().cast("array<string>")), F.array(own)), " > ")
+    same = {c: F.col(c) for c in ("chapter", "chapter_number", "section")}
+    made = _passages(found, 1, ARTICLE, seat=F.array(F.col("at").cast("int")), text=F.col("body"), path=path, article_title=title, article_number=F.regexp_extract("g1", r"\d+", 0).cast("int"), **same)
+    if not eu or source.definitions_article is None:
+        return _paragraphs(made, PARAGRAPH_MARK[source.layout])
+    defining = F.col("article_number") == source.definitions_article
+    return _paragraphs(made.where(~defining), PARAGRAPH_MARK["eu"]).union(_definitions(made.where(defining)))
+
+
+def annexes(docs: DataFrame) -> DataFrame:
+    """Annexes of tail; the line below an annex's heading is its title and no part of its text."""
+    marks = _marks(docs, "tail", {"annex": ANNEX_HEADING}, 2).withColumn("end", F.lead("at").over(Window.partitionBy("doc").orderBy("at")))
+    found = _bodies(docs, "tail", marks, "g1", "g2").withColumn("title", strip(F.col("g2")))
+    path = F.concat(F.lit("Bijlage "), "g1", F.when(F.col("title") != "", F.concat(F.lit(" — "), "title")).otherwise(""))
+    return within_budget(_passages(found, 2, ANNEX, seat=F.array(F.col("at").cast("int")), text=F.col("body"), path=path, annex_number=F.col("g1"), annex_title=F.col("title")))
+
+
+def regions(text: Column, source: Source) -> tuple[Column, Column, Column]:
     """What comes before the articles, the articles, and the annexes."""
+    before = lambda mark: F.split(text, _FLAGS + mark, 2)
     if source.layout == "law":
-        m = re.search(LAW_HEADINGS["chapter"], text, re.M)
-        at = m.start() if m else 0
-        return text[:at], text[at:], ""
-    first = re.search(r"^Artikel\s+1\s*$", text, re.M)
-    at = 0
-    if first:
-        chapter = text.rfind("HOOFDSTUK I", 0, first.start())
-        at = chapter if chapter >= 0 else first.start()
-    end = re.search(r"^BIJLAGE\s+I\s*$", text, re.M) if source.annexes else None
-    stop = end.start() if end else len(text)
-    return text[:at], text[at:stop], text[stop:]
-
-
-def passages(text: str, source: Source) -> list[dict]:
-    """A document's chunks, small ones merged and numbered from 0."""
-    if source.layout == "law":  # plain text: only footers go
-        for f in source.footers:
-            text = re.sub(f, "", text)
-    else:
-        text = cleaned(text, source.footers)
-    if source.end_marker and source.end_marker in text:
-        text = text[: text.index(source.end_marker)].strip()
-    head, body, tail = regions(text, source)
+        parts = before(LAW_HEADINGS["chapter"])
+        at = F.when(F.size(parts) > 1, F.length(parts[0])).otherwise(0)
+        return _cut(text, F.lit(0), at), _cut(text, at), F.lit("")
+    first, opening = before(r"^Artikel\s+1\s*$"), "HOOFDSTUK I"
+    lead = F.length(first[0]) - F.when(F.contains(first[0], F.lit(opening)), F.length(F.substring_index(first[0], opening, -1)) + len(opening)).otherwise(0)
+    at = F.when(F.size(first) > 1, lead).otherwise(0)
+    end = before(r"^BIJLAGE\s+I\s*$")
+    stop = F.when(F.size(end) > 1, F.length(end[0])).otherwise(F.length(text)) if source.annexes else F.length(text)
+    return _cut(text, F.lit(0), at), _cut(text, at, stop), _cut(text, stop)
+
+
+def _text(source: Source) -> Column:
+    """A text as it is parsed: a law is plain text, of which only footers go."""
+    text = F.coalesce("text", F.lit(""))
+    text = reduce(lambda t, f: F.regexp_replace(t, f, ""), source.footers, text) if source.layout == "law" else clean_page(text, source.footers)
+    if source.end_marker:
+        text = F.when(F.contains(text, F.lit(source.end_marker)), strip(F.substring_index(text, source.end_marker, 1))).otherwise(text)
+    return text
+
+
+def passages(docs: DataFrame, source: Source) -> DataFrame:
+    """All passages of docs(doc, text) of one source, in columns ``_PASSAGE``; part and seat are their order."""
+    cleaned = docs.select("doc", _text(source).alias("text"))
+    parts = cleaned.select("doc", *[r.alias(n) for n, r in zip(("head", "body", "tail"), regions(F.col("text"), source), strict=True)])
     if source.layout == "law":
-        found = within_budget(Passage(head.strip(), PREAMBLE, "Preambule")) if tokens(head.strip()) >= MIN_TOKENS else []
+        lead = parts.select("doc", strip(F.col("head")).alias("lead")).where(token_estimate(F.col("lead")) >= MIN_TOKENS)
+        first = within_budget(_passages(lead, 0, PREAMBLE, seat=F.array(F.lit(0)), text=F.col("lead"), path=F.lit("Preambule")))
     else:
-        found = recitals(head)
-    found += articles(body, source) + annexes(tail)
-    rows = [
-        {"text": p.text, "tokens": tokens(p.text), "section_type": p.kind, "hierarchy_path": p.path, "context_header": f"{source.display} > {p.shown or p.path}:"}
-        | {k: p.fields.get(k, "") for k in ("chapter", "chapter_number", "section", "article_title", "annex_number", "annex_title")}
-        | {k: p.fields.get(k) for k in ("article_number", "paragraph_number")}
-        for p in found
-    ]
-    return [r | {"source": source.label, "chunk_id": i, "token_estimate": r["tokens"]} for i, r in enumerate(merge_small(rows))]
-
-
-def chunked(docs: DataFrame, sources: list[Source], key: str | None = None) -> DataFrame:
-    """Chunks of docs(source, text), one document per row; sources without a description are left out. ``key`` names a column that tells documents of a source apart and is kept."""
-    known = {s.label: s for s in sources}
-    columns = [c.split()[0] for c in CHUNK.split(", ")]
+        first = recitals(parts)
+    return first.union(articles(parts, source)).union(annexes(parts))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [r | {"key": k} for k, label, text in zip(b["key"], b["source"], b["text"], strict=True) if label in known for r in passages(text or "", known[label])]
-            frame = pd.DataFrame(rows, columns=["key", *columns])
-            yield frame.astype({"article_number": "Int32", "paragraph_number": "Int32"})
 
-    made = docs.select((F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"), "source", "text").mapInPandas(run, f"key string, {CHUNK}")
-    return made.withColumnRenamed("key", key) if key else made.drop("key")
+def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.astype(object).where(rows.notna(), None)
+    found = sorted(rows.to_dict("records"), key=lambda r: (r["part"], tuple(r["seat"])))
+    out = pd.DataFrame([r | {"chunk_id": i, "token_estimate": r["tokens"]} for i, r in enumerate(merge_small(found))])
+    return out[["doc", *[c.split()[0] for c in CHUNK.split(", ")]]]
+
+
+def chunked(docs: DataFrame, sources: Sequence[Source], key: str | None = None) -> DataFrame:
+    """Chunks of docs(source, text), one document per row; sources without a description are left out. ``key`` names a column that tells documents of a source apart and is kept."""
+    own = F.col(key).cast("string") if key else F.lit(None).cast("string")
+    numbered = materialize(docs.sparkSession, docs.select(F.monotonically_increasing_id().alias("doc"), own.alias("_key"), "source", "text"), "legal")
+    found = []
+    for s in sources:
+        header = F.concat(F.lit(f"{s.display} > "), "shown", F.lit(":"))
+        one = passages(numbered.where(F.col("source") == s.label).select("doc", "text"), s)
+        found.append(one.select("*", F.lit(s.label).alias("source"), header.alias("context_header"), F.col("path").alias("hierarchy_path"), token_estimate(F.col("text")).alias("tokens")).drop("path", "shown"))
+    # One group is one document's passages.
+    made = reduce(DataFrame.union, found).groupBy("doc").applyInPandas(_merged, f"doc long, {CHUNK}")
+    kept = made.join(numbered.select("doc", "_key"), "doc").drop("doc")
+    return kept.withColumnRenamed("_key", key) if key else kept.drop("_key")
 
 
 def statistics(chunks: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The structural parser on two short made-up texts."""
+"""The structural parser on short texts that are made of the tables' rows."""
 
 from __future__ import annotations
 
@@ -47,8 +47,11 @@ SOURCES = [structure.Source("eu", "Verordening", definitions_article=2, annexes=
 
 
 def structure_parse_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.createDataFrame([("eu", EU_TEXT), ("wet", LAW_TEXT)], "source string, text string")
-    return structure.chunked(docs, SOURCES).select("source", "chunk_id", "section_type", "chapter_number", "section", F.col("article_number").cast("long").alias("article_number"), "hierarchy_path", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    """Both texts for each nation, whose name is the title of an article."""
+    texts = F.explode(F.array(*[F.struct(F.lit(n).alias("source"), F.lit(t).alias("text")) for n, t in (("eu", EU_TEXT), ("wet", LAW_TEXT))]))
+    docs = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("doc"), texts.alias("t")).select("doc", "t.source", F.replace("t.text", F.lit("Onderwerp"), F.col("doc")).alias("text"))
+    found = structure.chunked(docs, SOURCES, "doc")
+    return found.select("source", "doc", "chunk_id", "section_type", "chapter_number", "section", F.col("article_number").cast("long").alias("article_number"), "hierarchy_path", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def _of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +104,7 @@ _TABLES = r"""WITH l AS (
   UNION ALL SELECT 'eu', r_name, count(*), 'bijlage', '', '', NULL, '', 'Lijst', 'Bijlage I — Lijst', 'Verordening', 'Einde.' FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)"""
 SQL = {
     # What the rules give for the two texts, by hand.
-    "structure_parse_golden": "SELECT source, chunk_id, section_type, chapter_number, section, article_number, hierarchy_path, md5(text) AS text_md5 FROM (VALUES "
+    "structure_parse_golden": "SELECT source, n_name AS doc, chunk_id, section_type, chapter_number, section, article_number, replace(hierarchy_path, 'Onderwerp', n_name) AS hierarchy_path, md5(replace(text, 'Onderwerp', n_name)) AS text_md5 FROM nation, (VALUES "
     + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in _GOLDEN)
     + ") AS t(source, chunk_id, section_type, chapter_number, section, article_number, hierarchy_path, text)",
     "structure_parse_tables": _TABLES + " SELECT * EXCLUDE (display), display || ' > ' || hierarchy_path || ':' AS context_header, (length(text) // 4)::BIGINT AS token_estimate FROM l",

@@ -1,6 +1,7 @@
 """The operators against plain re-statements of their rules."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -53,12 +54,30 @@ def test_render_keeps_braces_of_values(spark):
     assert one(spark, T.render("{{{a}}} {b}", {"a": F.lit("{b}"), "b": F.lit("x")})) == "{{b}} x"
 
 
+def plain_pack(text, budget, overlap):
+    """Sentences filled into chunks of at most budget tokens, each next one with the last sentences that fit the overlap."""
+    parts = [p for s in re.split(r"(?<=[.;:])\s+|\n{2,}", text) if (p := s.strip())]
+    out, start, opened = [], 0, 0
+    size = lambda a, b: sum(len(p) // 4 for p in parts[a:b])
+    for i in range(len(parts)):
+        if i > opened and size(start, i + 1) > budget:
+            out.append(" ".join(parts[start:i]))
+            opened, start = i, next(j for j in range(start, i + 1) if size(j, i) <= overlap)
+    return out + [" ".join(parts[start:])] if parts else out
+
+
+def parsed(spark, text, source):
+    """One text's chunks in order."""
+    found = structure.chunked(spark.createDataFrame([(source.label, text)], "source string, text string"), [source])
+    return [r.asDict() for r in found.orderBy("chunk_id").collect()]
+
+
 def test_pack_equals_loop(spark):
     rng = random.Random(3)
     for budget, overlap in ((20, 5), (10, 0)):
         for _ in range(6):
             parts = ["w" * rng.choice([3, 8, 17, 40, 90]) for _ in range(rng.randint(0, 14))]
-            assert one(spark, chunking.pack(F.array(*map(F.lit, parts)) if parts else F.array().cast("array<string>"), budget, overlap)) == structure.packed(". ".join(parts).replace(". ", "\n\n"), budget, overlap)
+            assert one(spark, chunking.pack(F.array(*map(F.lit, parts)) if parts else F.array().cast("array<string>"), budget, overlap)) == plain_pack(". ".join(parts).replace(". ", "\n\n"), budget, overlap)
 
 
 def test_merge_small():
@@ -131,8 +150,8 @@ def test_best_takes_the_earliest_of_equals(spark):
     assert tuple(reports.best(rows, ["model"], "step", "score").first()) == ("m", 2, 0.9)
 
 
-def test_structure_of_eu_text():
-    rows = structure.passages(legal.EU_TEXT, legal.SOURCES[0])
+def test_structure_of_eu_text(spark):
+    rows = parsed(spark, legal.EU_TEXT, legal.SOURCES[0])
     assert rows[0]["text"].startswith("Overwegende dat dit de eerste overweging is, met gegevens.")
     assert [r["article_number"] for r in rows if r["section_type"] == "artikel"] == [1, 2, 3]
     assert rows[-1]["annex_number"] == "I" and [r["chunk_id"] for r in rows] == list(range(len(rows)))
@@ -142,18 +161,18 @@ def test_structure_of_eu_text():
     assert first["text"].endswith("Eerste afdeling")
 
 
-def test_structure_of_law_text():
-    rows = structure.passages(legal.LAW_TEXT, legal.SOURCES[1])
+def test_structure_of_law_text(spark):
+    rows = parsed(spark, legal.LAW_TEXT, legal.SOURCES[1])
     assert [(r["article_number"], r["article_title"], r["section"]) for r in rows] == [(1, "Begrippen", "Paragraaf 1.1 — Begrippen"), (12, "Slot", "Paragraaf 1.1 — Begrippen")]
     assert all("Lasten" not in r["text"] for r in rows)
 
 
-def test_long_article_is_cut_at_its_paragraphs():
+def test_long_article_is_cut_at_its_paragraphs(spark):
     body = "Inleiding hier.\n" + "\n".join(f"{i}.\n" + "woord " * 500 + "." for i in (1, 2, 3))
-    rows = structure.passages(f"HOOFDSTUK I\nX\nArtikel 1\n{body}\n", structure.Source("s", "S"))
+    rows = parsed(spark, f"HOOFDSTUK I\nX\nArtikel 1\n{body}\n", structure.Source("s", "S"))
     assert [r["paragraph_number"] for r in rows] == [1, 2, 3]
     assert rows[0]["text"].startswith("Inleiding hier.\n\n1.\nwoord")
-    assert structure.passages("geen artikelen", structure.Source("s", "S")) == []
+    assert parsed(spark, "geen artikelen", structure.Source("s", "S")) == []
 
 
 EU = structure.Source("s", "S", definitions_article=9, annexes=True)
@@ -181,8 +200,8 @@ LONG = "woord " * 700 + "einde."
         (LAW, "Hoofdstuk 1 Zonder punt\nHoofdstuk 2. Met punt\nAfdeling 3. Geen deel\nArtikel 4a. Titel\nTekst.\n", [("Hoofdstuk 2 — Met punt > Artikel 4a — Titel", "Tekst.")]),
     ],
 )
-def test_structure_rules(source, text, want):
-    got = [(r["hierarchy_path"], r["text"]) for r in structure.passages(text, source)]
+def test_structure_rules(spark, source, text, want):
+    got = [(r["hierarchy_path"], r["text"]) for r in parsed(spark, text, source)]
     if want is None:
         assert [p for p, _ in got] == [" > Artikel 1 — Titel > Lid 1", " > Artikel 1 — Titel > Lid 2"] or got[0][0].startswith(" > Artikel 1 — Titel > Lid 1 (deel 1/")
     elif want and want[0][1] is None:
@@ -191,8 +210,8 @@ def test_structure_rules(source, text, want):
         assert got == want
 
 
-def test_long_preamble_is_packed():
-    rows = structure.passages("Wij. " * 2000 + "\nHoofdstuk 1. Een\nArtikel 1. T\nTekst.\n", LAW)
+def test_long_preamble_is_packed(spark):
+    rows = parsed(spark, "Wij. " * 2000 + "\nHoofdstuk 1. Een\nArtikel 1. T\nTekst.\n", LAW)
     assert [r["section_type"] for r in rows] == ["preambule"] * (len(rows) - 1) + ["artikel"] and len(rows) > 2
     assert rows[0]["context_header"] == f"W > Preambule (deel 1/{len(rows) - 1}):"
 
@@ -467,3 +486,29 @@ def test_postings_of_a_term_in_half_of_all_documents(spark, block):
         # Blocks of light weights do not meet.
         n = index.where("term = 'everywhere'").select("block").distinct().count()
         assert n >= 5 and index.where("term = 'everywhere'").select("x", "y").distinct().count() < n * (n + 1) // 2
+
+
+def test_structure_of_random_texts_equals_loops(spark):
+    """Headings, marks, long and empty bodies, footers and end marks in any order, in both layouts; several documents of a source, null and unknown ones."""
+    import plain_structure
+
+    rng = random.Random(11)
+    long = "woord " * 300 + "einde. "
+    eu = ["HOOFDSTUK I\n", "HOOFDSTUK II\n", "ALGEMENE BEPALINGEN\n", "SLOT ÉN\nMEER\n", "Afdeling 1\n", "Eerste  afdeling\n", "Afdeling 2\nTweede\n", "Artikel 1\n", "Artikel 2\n", "Artikel 9\n", " Artikel 3\n", "Titel hier\n", "Tekst. Nog een zin; en meer.\n"]
+    eu += ["(1)\n", "(2) Tweede.\n", "(1) Een weer\n", "1.\n", "2.\n", "3. geen\n", f"{long}\n", f"{long * 3}\n", "1) een;\n", "2) twee.\n", "3)drie\n", "BIJLAGE I\n", "BIJLAGE II\nLijst\n", "BIJLAGE III \n\nX\n", "ge-\ngeven\n", "\n", "\n\n\n", "pagina 3\n", "einde der\n", "é𝒳 teken\n"]
+    law = ["Hoofdstuk 1. Een\n", "Hoofdstuk 2. Twee  woorden\n", "Paragraaf 1.1. Deel\n", "Paragraaf 2. D\n", "Artikel 1. T\n", "Artikel 4a. Titel x\n", "Artikel 5 zonder\n", "Wij, preambule. " * 20 + "\n", "tekst.\n", "1.\tlid een\n", "2.\tlid twee\n", f"{long * 4}\n", "pagina 4\n", "einde der\n", "\n"]
+    sources = [
+        structure.Source("e", "E", footers=(r"(?m)^pagina \d+$",), definitions_article=9, annexes=True),
+        structure.Source("w", "W", layout="law", footers=(r"pagina \d+\n",), end_marker="einde der"),
+        structure.Source("f", "F", end_marker="einde der"),
+    ]
+    docs = [(i, k, "".join(rng.choice(law if k == "w" else eu) for _ in range(rng.randrange(16)))) for i, k in enumerate(rng.choice("eewf") for _ in range(150))]
+    docs += [(900, "e", None), (901, "other", "x"), (902, "w", "")]
+    got = {}
+    for r in structure.chunked(spark.createDataFrame(docs, "id long, source string, text string").repartition(3), sources, "id").collect():
+        got.setdefault(int(r.id), []).append(r.asDict())
+    known = {s.label: s for s in sources}
+    columns = [c.split()[0] for c in structure.CHUNK.split(", ")]
+    for i, k, text in docs:
+        want = [{c: r.get(c) for c in columns} for r in plain_structure.passages(text or "", known[k])] if k in known else []
+        assert [{c: r[c] for c in columns} for r in sorted(got.get(i, []), key=lambda r: r["chunk_id"])] == want
