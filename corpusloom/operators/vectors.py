@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from corpusloom.operators import search
 
 
+#: Rows and columns of each row's k largest entries.
+_first = search._first
+
+
 def normalised(v: Column, dim: int | None = None, least: float = 1e-9) -> Column:
     """The first dim entries at unit length; a zero vector stays zero."""
     part = F.slice(v, 1, dim) if dim else v
