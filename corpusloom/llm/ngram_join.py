@@ -23,6 +23,7 @@ returned as often as given, with that id's component. Rows without a doc_id have
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -182,11 +183,42 @@ def _counted(size: int) -> Callable:
     return run
 
 
-def pivots(rank: np.ndarray, counts: np.ndarray, parts: int = FRAGMENTS) -> list[tuple[int, int]]:
-    """Places (rank, hash) that cut the order into fragments of about equal load."""
+def _load(rank: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """N-grams of each rank."""
     load = np.zeros(256)
     for k in range(0, len(rank), 1 << 20):
         load += np.bincount(rank[k : k + (1 << 20)], weights=counts[k : k + (1 << 20)], minlength=256)
+    return load
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block of the summed sketch: its ranks, which take a quarter of its counts' bytes, and the n-grams of each rank."""
+    for b in batches:
+        for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist(), strict=True):
+            counts = np.frombuffer(zlib.decompress(data), np.uint32)
+            rank = np.ceil(4 * np.log2(np.maximum(counts, 1).astype(np.float64))).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "data": pa.array([zlib.compress(rank.tobytes(), 1)], pa.binary()), "load": pa.array([_load(rank, counts).tolist()], pa.list_(pa.float64()))})
+    trim()
+
+
+def ranks(spark: SparkSession, grams: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each place of a sketch of grams' sets, and the n-grams of each rank. Counts are summed and ranked in tasks; the driver gets a byte for each place, of at most 2^24."""
+    counted, counted_at = materialize(spark, grams.select("grams").mapInArrow(_counted(size), reduce.SCHEMA), "partial-sums")
+    blocks, blocks_at = materialize(spark, reduce.merged(counted).mapInArrow(_ranked, "block int, data binary, load array<double>"), "ranks")
+    rank = reduce.filled(blocks, size, "uint8")
+    load = np.sum([r[0] for r in blocks.select("load").collect()], axis=0, initial=0.0) + np.zeros(256)
+    discard(spark, counted_at, blocks_at)
+    return rank, load
+
+
+def pivots(rank: np.ndarray, counts: np.ndarray, parts: int = FRAGMENTS) -> list[tuple[int, int]]:
+    """Places (rank, hash) that cut the order into fragments of about equal load."""
+    return pivots_of(_load(rank, counts), parts)
+
+
+def pivots_of(load: np.ndarray, parts: int = FRAGMENTS) -> list[tuple[int, int]]:
+    """``pivots`` of the n-grams of each rank."""
+    load = load.copy()
     load[0] = 0  # n-grams of one set are not sent
     upto = np.cumsum(load)
     out = []
@@ -491,16 +523,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     size = 1 << _bits(8 * reps.count(), BLOOM_BITS)
     bits = reduce.total(reps.select("doc_id").mapInArrow(_bloom(0, size), reduce.SCHEMA), size >> 3, "uint8", "or")
     bloom = spark.sparkContext.broadcast(bits.tobytes())
+    del bits
     grams, grams_at = materialize(spark, source.mapInArrow(_wanted_sets(n, bloom), "doc_id long, grams binary"), "sets")
     load = grams.agg(F.coalesce(F.sum(F.length("grams")), F.lit(0))).first()[0] // 8
     size = 1 << _bits(load // 4, SKETCH_BITS)
-    counts = reduce.total(grams.select("grams").mapInArrow(_counted(size), reduce.SCHEMA), size)
-    rank = np.zeros(size, np.uint8)
-    for k in range(0, size, 1 << 20):  # in parts, for the driver's memory
-        rank[k : k + (1 << 20)] = np.ceil(4 * np.log2(np.maximum(counts[k : k + (1 << 20)], 1).astype(np.float64)))
-    cuts = pivots(rank, counts)
-    del counts
+    bloom.destroy()
+    rank, loads = ranks(spark, grams, size)
+    cuts = pivots_of(loads)
     sketch = spark.sparkContext.broadcast(rank.tobytes())
+    del rank
     n_buckets = max(partitions(spark), 1 + load * (100 - percent) // 100 // BUCKET)
     prefixes, prefixes_at = materialize(spark, grams.mapInArrow(_prefixes(percent, n_buckets, sketch), PREFIX), "prefixes")
     near = prefixes.where("bucket >= 0").groupBy("bucket").applyInPandas(_bucket_edges(percent), EDGES)
@@ -543,6 +574,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     out = rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     result, _ = materialize(spark, out, "jaccard")
     discard(spark, *paths, final_at)
+    sketch.destroy()
     return result
 
 

@@ -40,14 +40,26 @@ def total(rows: DataFrame, size: int, dtype: str = "uint32", how: str = "add") -
     return out
 
 
-def total_of(rows: DataFrame, size: int, dtype: str = "uint32", how: str = "add") -> np.ndarray:
-    """``total`` of rows that are a table already."""
+def merged(rows: DataFrame, dtype: str = "uint32", how: str = "add") -> DataFrame:
+    """A row of each block that is not empty, with its sum, of rows that are a table already."""
     n = rows.count()
     fan = max(1, int((n / BLOCKS) ** 0.5))
     once = rows.withColumn("part", F.pmod("part", F.lit(fan))).groupBy("block", "part").applyInPandas(_sum(dtype, how), SCHEMA)
-    twice = once.groupBy("block").applyInPandas(_sum(dtype, how), SCHEMA)
+    return once.groupBy("block").applyInPandas(_sum(dtype, how), SCHEMA)
+
+
+def filled(blocks: DataFrame, size: int, dtype: str) -> np.ndarray:
+    """The array of a table of blocks, brought to the driver one at a time."""
     out = np.zeros(size, dtype)
     pieces = np.array_split(out, BLOCKS)
-    for r in twice.select("block", "data").collect():
+    for r in blocks.select("block", "data").toLocalIterator():
         pieces[r[0]][:] = np.frombuffer(zlib.decompress(r[1]), dtype)
     return out
+
+
+def total_of(rows: DataFrame, size: int, dtype: str = "uint32", how: str = "add") -> np.ndarray:
+    """``total`` of rows that are a table already."""
+    sums, at = materialize(rows.sparkSession, merged(rows, dtype, how), "sums")
+    out = filled(sums, size, dtype)
+    discard(rows.sparkSession, at)
+    return out

@@ -268,3 +268,25 @@ def test_one_of_each_from_any_format(spark, tmp_path):
         docs = spark.read.schema(frame.schema).format(kind).load(f"{tmp_path}/{kind}")
         assert Counter(map(tuple, ngram_join.one_of_each(spark, docs).collect())) == want
     assert Counter(map(tuple, ngram_join.one_of_each(spark, frame).collect())) == want
+
+
+def test_ranks_of_the_sketch_are_made_in_tasks(spark):
+    """The driver holds a byte for each place of the sketch, not its counts."""
+    import tracemalloc
+
+    from corpusloom.llm.bytetext import mix
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(mix(rng.zipf(1.3, 400).astype(np.uint64))) for _ in range(60)]
+    size = 1 << 22
+    grams = spark.createDataFrame([(bytearray(s.tobytes()),) for s in sets], "grams binary")
+    tracemalloc.start()
+    rank, load = ngram_join.ranks(spark, grams, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = np.bincount(ngram_join._slot(np.concatenate(sets), size), minlength=size)
+    assert (rank == np.ceil(4 * np.log2(np.maximum(counts, 1)))).all() and counts.max() > 20
+    assert load[1:].sum() == counts[counts > 1].sum() and ngram_join.pivots_of(load) == ngram_join.pivots(rank, counts)
+    assert peak < 2.5 * size
+    empty, none = ngram_join.ranks(spark, grams.limit(0), size)
+    assert not empty.any() and not none.any()
