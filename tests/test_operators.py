@@ -512,3 +512,26 @@ def test_structure_of_random_texts_equals_loops(spark):
     for i, k, text in docs:
         want = [{c: r.get(c) for c in columns} for r in plain_structure.passages(text or "", known[k])] if k in known else []
         assert [{c: r[c] for c in columns} for r in sorted(got.get(i, []), key=lambda r: r["chunk_id"])] == want
+
+
+def test_pairs_of_blocks_grow_with_what_is_found(spark):
+    """Documents that all share terms and are hardly alike: what leaves the tasks are the pairs in the band, in blocks of any size, and the histogram counts them in the tasks."""
+    rng = random.Random(9)
+    docs = {i: {f"t{k}": rng.random() * (0.2 if k < 8 else 1.0) for k in [*range(8), *rng.sample(range(8, 60), 5)]} for i in range(90)}
+    docs = {i: {t: x / sum(v * v for v in d.values()) ** 0.5 for t, x in d.items()} for i, d in docs.items()}
+    df = Counter(t for d in docs.values() for t in d)
+    frame = spark.createDataFrame([(i, t, df[t], x) for i, d in docs.items() for t, x in d.items()], "doc_id long, term string, df long, weight double")
+    groups = {i: None if i == 7 else f"g{i % 4}" for i in docs}
+    by = spark.createDataFrame(list(groups.items()), "doc_id long, g string")
+    sims = {(i, j): sum(x * docs[j].get(t, 0.0) for t, x in docs[i].items()) for i in docs for j in docs if i < j and None not in (groups[i], groups[j]) and groups[i] != groups[j]}
+    want = {p: s for p, s in sims.items() if 0.4 <= s <= 0.7}
+    assert 50 < len(want) < len(sims) / 2
+    for block in (7, 40, 8192):
+        got = similarity.cosine_pairs(spark, frame, by, 0.4, 0.7, block)
+        rows = got.collect()
+        assert {(r.i, r.j): round(r.sim, 9) for r in rows} == {p: round(s, 9) for p, s in want.items()} and len(rows) == len(want)
+        assert all((r.gi, r.gj) == (groups[r.i], groups[r.j]) for r in rows)
+        counts = similarity.pair_histogram(spark, frame, by, 0.4, 0.7, block)
+        assert {(r.a, r.b): r.n for r in counts.collect()} == Counter(tuple(sorted((groups[i], groups[j]))) for i, j in want)
+    # No candidates are joined with their terms.
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString().split("FlatMapGroupsInArrow")[0]
