@@ -535,3 +535,17 @@ def test_pairs_of_blocks_grow_with_what_is_found(spark):
         assert {(r.a, r.b): r.n for r in counts.collect()} == Counter(tuple(sorted((groups[i], groups[j]))) for i, j in want)
     # No candidates are joined with their terms.
     assert "SortMergeJoin" not in got._jdf.queryExecution().toString().split("FlatMapGroupsInArrow")[0]
+
+
+def test_small_blocks_grow_with_the_input(spark):
+    """Pairs of blocks of a fixed small size grow as the square of the rows; results do not depend on the size."""
+    import numpy as np
+
+    assert [search.grown(n, 64, 8192) for n in (10, 4096, 6400, 10**6, 10**8)] == [64, 64, 100, 8192, 8192] and search.grown(10**6, 20_000, 8192) == 20_000
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1300)]
+    c, q = spark.createDataFrame(rows, "cid long, vec array<double>"), spark.createDataFrame(rows[:400], "qid long, vec array<double>")
+    hits, met = search.search(q, c, 3, [8], query_block=2, corpus_block=5)
+    assert met.first()["n_pairs"] <= search.SMALL_BLOCKS**2
+    key = lambda r: (r.qid, r.cid, r["rank"])
+    assert set(map(key, hits.collect())) == set(map(key, search.search(q, c, 3, [8])[0].collect()))
