@@ -549,3 +549,20 @@ def test_small_blocks_grow_with_the_input(spark):
     assert met.first()["n_pairs"] <= search.SMALL_BLOCKS**2
     key = lambda r: (r.qid, r.cid, r["rank"])
     assert set(map(key, hits.collect())) == set(map(key, search.search(q, c, 3, [8])[0].collect()))
+
+
+def test_a_pair_of_blocks_is_bounded(monkeypatch):
+    """A full block of queries at three dimensions and 100 rows each: rows that are returned, and what the products take beside them."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    frame = lambda name, n: pd.DataFrame({name: np.arange(n), "vec": list(rng.normal(size=(n, 64)).astype(np.float32))})
+    q, c = frame("qid", search.QUERY_BLOCK), frame("cid", search.CORPUS_BLOCK)
+    tracemalloc.start()
+    out = search._best((64, 32, 16), 100)(("",), q, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 3 * 100 * len(q) and peak < 150e6
