@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. One pass over all documents counts the passages of ``PASSAGE`` words that hold each hashed term (a fixed-size sum by a tree, which gives the inverse
-   document frequencies) and keeps one passage of every document, which a hash of its words picks.
-2. Latent space: a single-pass randomised SVD of the TF-IDF matrix of those passages, of all passages of the benchmark and of its items' answers. Each task multiplies its rows
-   into A'(A G) for a seeded Gaussian G over ``SPACE_BITS`` hashed terms; the tree's sum, of fixed size whatever the input, gives singular values and right vectors in
+   document frequencies).
+2. Latent space: a single-pass randomised SVD of the TF-IDF matrix of all passages of all documents, of all passages of the benchmark and of its items' answers. A second pass over the texts
+   multiplies each task's passages into A'(A G) for a seeded Gaussian G over ``SPACE_BITS`` hashed terms; the tree's sum, of fixed size whatever the input, gives singular values and right vectors in
    Nystroem form. ``RANK`` is far below the number of passages, so terms that occur together share directions.
 3. Candidates: every whole document is searched by cosine in the latent space: windows of ``PASSAGE`` words against the item's passages and its answer, with a cut of ``COSINE``. Only
    windows that can still pass step 4 are projected: a stretch that passes holds ``LCS_LIKELY`` of an item's words, and the ``SKIP`` commonest of the item can stand for
@@ -40,6 +40,8 @@ TERM_BITS, SPACE_BITS = 18, 15
 #: Words in a passage; those of items overlap by half, a document's windows move by a third.
 PASSAGE = 24
 RANK, OVERSAMPLE, SEED = 64, 16, 11
+#: Passages that are multiplied at once, 8 MB for each array; tasks of that pass for each core, as each returns 10 MB.
+AT_ONCE, TASKS = 1024, 4
 #: Least cosine of a candidate; it decides alone what is checked, so it is low: the README has its recall.
 COSINE = 0.15
 #: Words of the benchmark in a block, and items counted at once.
@@ -84,21 +86,18 @@ def _packed_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages that hold each term, and in one more entry all passages; and, as rows of block -1, the terms of a passage of each text, padded with -1."""
+    """Passages that hold each term, and in one more entry all passages."""
     df = np.zeros((1 << TERM_BITS) + 1, np.uint32)
     part = TaskContext.get().partitionId()
     for b in batches:
-        for _, h, term, at in _rows(b, 0):
-            row, start, end = _spans(at, PASSAGE, PASSAGE)
+        for _, _, term, at in _rows(b, 0):
+            row, start, _ = _spans(at, PASSAGE, PASSAGE)
             if len(row):
                 # Passages of a row may overlap at its end only; each word counts for the first one that holds it.
                 first = np.searchsorted(start, np.arange(len(term)), "right") - 1
                 pair = np.unique((first.astype(np.uint64) << np.uint64(TERM_BITS)) | term.astype(np.uint64))
                 df[: 1 << TERM_BITS] += np.bincount((pair & np.uint64((1 << TERM_BITS) - 1)).astype(np.int64), minlength=1 << TERM_BITS).astype(np.uint32)
                 df[-1] += len(row)
-                heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                pick = heads + (mix(h[start[heads]]) % np.diff(np.append(heads, len(row))).astype(np.uint64)).astype(np.int64)
-                yield _packed_rows([(-1, part, _padded(term, start[pick], end[pick]).tobytes())])
     yield _packed_rows(reduce.packed(df, part))
     trim()
 
@@ -144,23 +143,47 @@ def _gaussian() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((1 << SPACE_BITS, RANK + OVERSAMPLE), np.float32)
 
 
-def _range_finder(idf_bytes) -> Callable:
+def _multiplied(passages: np.ndarray, idf: np.ndarray, test: np.ndarray, y: np.ndarray) -> None:
+    """Adds A'(A G) of some passages (rows of terms, padded with -1) to y."""
+    for lo in range(0, len(passages), AT_ONCE):
+        term, w = _weighed(passages[lo : lo + AT_ONCE], idf)
+        x = np.einsum("ij,ijk->ik", w, test[term])
+        # What a term gets is summed over its occurrences first.
+        held = np.flatnonzero(w.ravel())
+        held = held[np.argsort(term.ravel()[held], kind="stable")]
+        if len(held):
+            some = term.ravel()[held]
+            heads = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
+            y[some[heads]] += np.add.reduceat(w.ravel()[held, None] * x[held // term.shape[1]], heads, axis=0)
+
+
+def _range_finder(idf_bytes, found: Callable) -> Callable:
+    """A'(A G) of a task's passages; ``found`` gives those of a batch, a part at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, test = np.frombuffer(idf_bytes.value, np.float32), _gaussian()
         y = np.zeros_like(test)
         for b in batches:
-            for data in b.column(0).to_pylist():
-                rows = np.frombuffer(data, np.int32).reshape(-1, PASSAGE)
-                for some in np.array_split(rows, -(-len(rows) // 512)):
-                    term, w = _weighed(some, idf)
-                    x = np.einsum("ij,ijk->ik", w, test[term])
-                    np.add.at(y, term.ravel(), (w[:, :, None] * x[:, None, :]).reshape(-1, y.shape[1]))
+            for passages in found(b):
+                _multiplied(passages, idf, test, y)
         yield _packed_rows(reduce.packed(y, TaskContext.get().partitionId()))
         trim()
 
     return run
 
 
+def _text_passages(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """All passages of the texts."""
+    for _, _, term, at in _rows(batch, 0):
+        _, start, end = _spans(at, PASSAGE, PASSAGE)
+        for lo in range(0, len(start), AT_ONCE):
+            yield _padded(term, start[lo : lo + AT_ONCE], end[lo : lo + AT_ONCE])
+
+
+def _item_passages(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield item_passages(batch.column(0).to_pylist())[1]
+
+
 def item_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Item of each passage and its terms: an item's overlapping passages, then its answer's."""
     owner, rows = [], []
@@ -174,17 +197,16 @@ def item_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(owner), np.concatenate(rows)) if rows else (np.zeros(0, np.int64), np.zeros((0, PASSAGE), np.int32))
 
 
-def _benchmark_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        _, rows = item_passages(b.column(0).to_pylist())
-        if len(rows):
-            yield pa.RecordBatch.from_pydict({"data": pa.array([rows.tobytes()], pa.binary())})
+def latent_space(texts: DataFrame, items: DataFrame, idf_bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (terms, RANK) and singular values of all passages of texts(text) and of items(text).
 
-
-def latent_space(passages: DataFrame, idf_bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (terms, RANK) and singular values of passages(data: rows of terms)."""
+    A task returns an array of fixed size, so texts are read by some tasks for each core, not by more the more there are.
+    """
+    spark = texts.sparkSession
+    texts = texts.coalesce(TASKS * spark.sparkContext.defaultParallelism)
+    sums = texts.mapInArrow(_range_finder(idf_bytes, _text_passages), reduce.SCHEMA).union(items.mapInArrow(_range_finder(idf_bytes, _item_passages), reduce.SCHEMA))
     test = _gaussian()
-    y = reduce.total(passages.mapInArrow(_range_finder(idf_bytes), reduce.SCHEMA), test.size, "float32").reshape(test.shape)
+    y = reduce.total(sums, test.size, "float32").reshape(test.shape)
     # A'A is about Y (G'Y)^-1 Y'. With a small shift for stability that is X X' for X = Y L^-T and G'Y = L L'; X'X, of the width of G, has the same eigenvalues.
     shift = np.float32(1e-6 * max(float(np.linalg.norm(y)), 1e-12) / np.sqrt(len(y)))
     y += shift * test
@@ -454,11 +476,10 @@ def _search(space, block, keep: int | None = None) -> Callable:
 def _blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Iterator:
     """Broadcasts of the latent space, which is the same each time, and of each block of the benchmark's items, with whether it is the last; a block is freed when the next is asked for."""
     items, items_at = materialize(spark, benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and length(text) > 0").distinct(), "items")
-    counts, counts_at = materialize(spark, docs.select(F.col("text").cast("string")).mapInArrow(_document_frequencies, reduce.SCHEMA), "passages")
-    idf = _inverse(reduce.total_of(counts.where("block >= 0"), (1 << TERM_BITS) + 1))
+    texts = docs.select(F.col("text").cast("string"))
+    idf = _inverse(reduce.total(texts.mapInArrow(_document_frequencies, reduce.SCHEMA), (1 << TERM_BITS) + 1))
     idf_bytes = spark.sparkContext.broadcast(idf.tobytes())
-    passages = counts.where("block < 0").select("data").union(items.select("text").mapInArrow(_benchmark_passages, "data binary"))
-    vectors, _ = latent_space(passages, idf_bytes)
+    vectors, _ = latent_space(texts, items.select("text"), idf_bytes)
     idf_bytes.unpersist()
     space = spark.sparkContext.broadcast((idf.tobytes(), vectors))
     size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
@@ -471,7 +492,7 @@ def _blocks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Itera
             held.unpersist()
         held = spark.sparkContext.broadcast(rows)
         yield space, held, k == blocks - 1
-    discard(spark, items_at, counts_at)
+    discard(spark, items_at)
     trim()
 
 

@@ -290,3 +290,26 @@ def test_ranks_of_the_sketch_are_made_in_tasks(spark):
     assert peak < 2.5 * size
     empty, none = ngram_join.ranks(spark, grams.limit(0), size)
     assert not empty.any() and not none.any()
+
+
+def test_the_latent_space_is_of_all_passages(spark):
+    """Few passages have all their singular values in the space: those of every passage of every text, not of one of each."""
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(n)) for n in (300, 30, 7)] + ["", None]
+    items = ["what " * 3 + " ".join(f"w{k}" for k in range(20)) + "."]
+    idf = np.linspace(1, 3, 1 << decontaminate.TERM_BITS).astype(np.float32)
+    frame = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string")
+    _, values = decontaminate.latent_space(frame(texts).repartition(3), frame(items), spark.sparkContext.broadcast(idf.tobytes()))
+    passages = [p for t in texts if t for w in [t.split()] for k in range(0, len(w), decontaminate.PASSAGE) for p in [w[max(0, min(k, len(w) - decontaminate.PASSAGE)) :][: decontaminate.PASSAGE]]]
+    passages += [items[0].split(), *[decontaminate.answer_of(items[0]).split()] * 1]
+    a = np.zeros((len(passages), 1 << decontaminate.SPACE_BITS))
+    for k, p in enumerate(passages):
+        full = np.zeros(1 << decontaminate.TERM_BITS)
+        for h in decontaminate._hashes([" ".join(p)])[0]:
+            t = int(h) >> (64 - decontaminate.TERM_BITS)
+            full[t] += idf[t]
+        full /= np.linalg.norm(full)
+        np.add.at(a[k], np.arange(len(full)) >> (decontaminate.TERM_BITS - decontaminate.SPACE_BITS), full)
+    want = np.linalg.svd(a, compute_uv=False)
+    assert len(passages) > 14
+    np.testing.assert_allclose(values[: len(want)], want, atol=0.02)
