@@ -12,14 +12,19 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import NativeFile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.sources.files import open_input
 from corpusloom.sources.tables import materialize
 
-#: Bytes of a range, and those read at once behind its end.
-RANGE, MORE = 16 << 20, 64 << 10
+#: Bytes of a range, and most and least of those read at once behind its end: each read is twice as long as the one before.
+RANGE, MORE, LEAST = 16 << 20, 64 << 10, 2 << 10
+#: Bytes of small ranges that follow each other in one task.
+STRETCH = 1 << 20
+#: Bytes of ranges whose entries leave a task at once.
+SENT = 1 << 20
 _MARK = re.compile(rb'\\.|"', re.DOTALL)
 _BLANK = b" \t\r\n"
 
@@ -27,10 +32,10 @@ _BLANK = b" \t\r\n"
 class _Range:
     """Bytes of a file from ``start``, of which more can be read, and the places of unescaped quotes among them."""
 
-    def __init__(self, path: str, start: int, end: int) -> None:
-        self.file, self.start = open_input(path), start
+    def __init__(self, path: str, start: int, end: int, file: NativeFile | None = None) -> None:
+        self.file, self.start = file or open_input(path), start
         self.length = self.file.size()
-        self.data, self.quotes, self.done = b"", [], 0
+        self.data, self.quotes, self.done, self.step = b"", [], 0, LEAST
         back = start
         while back and self._at(back - 1, back) == b"\\":
             back -= 1
@@ -41,8 +46,10 @@ class _Range:
         self.file.seek(lo)
         return self.file.read(hi - lo)
 
-    def more(self, n: int) -> bool:
-        """Reads n bytes on; whether there were any."""
+    def more(self, n: int | None = None) -> bool:
+        """Reads n bytes on, or a step; whether there were any."""
+        if n is None:
+            n, self.step = self.step, min(MORE, 2 * self.step)
         at = self.start + len(self.data)
         if at >= self.length:
             return False
@@ -57,18 +64,33 @@ class _Range:
         return True
 
 
+class _Open:
+    """The file that was asked for last."""
+
+    def __init__(self) -> None:
+        self.path, self.file = None, None
+
+    def __call__(self, path: str) -> NativeFile:
+        if path != self.path:
+            if self.file is not None:
+                self.file.close()
+            self.path, self.file = path, open_input(path)
+        return self.file
+
+
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    last = _Open()
     for f in frames:
-        n = [len(_Range(p, s, e).quotes) for p, s, e in zip(f["path"], f["start"], f["end"], strict=True)]
+        n = [len(_Range(p, s, e, last(p)).quotes) for p, s, e in zip(f["path"], f["start"], f["end"], strict=True)]
         yield f.assign(quotes=n)
 
 
-def _entries(path: str, start: int, end: int, seen: int) -> Iterator[tuple[str, str]]:
-    r = _Range(path, start, end)
+def _entries(path: str, start: int, end: int, seen: int, file: NativeFile | None = None) -> Iterator[tuple[str, str]]:
+    r = _Range(path, start, end, file)
     wrong = lambda at: ValueError(f"{path} is not an object of strings, at byte {start + at}")
     own, first = len(r.quotes), -seen % 4
     if start == 0:
-        while not r.quotes and r.more(MORE):
+        while not r.quotes and r.more():
             pass
         if r.quotes:
             if r.data[: r.quotes[0]].strip(_BLANK) != b"{":
@@ -77,7 +99,7 @@ def _entries(path: str, start: int, end: int, seen: int) -> Iterator[tuple[str,
             raise wrong(0)
     for i in range(first, own, 4):
         # Up to the quote behind the entry, or the end of the file.
-        while len(r.quotes) <= i + 4 and r.more(MORE):
+        while len(r.quotes) <= i + 4 and r.more():
             pass
         if len(r.quotes) < i + 4:
             raise wrong(r.quotes[i])
@@ -90,19 +112,29 @@ def _entries(path: str, start: int, end: int, seen: int) -> Iterator[tuple[str,
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    last, found, size = _Open(), [], 0
+    frame = lambda rows: pd.DataFrame({"id": pd.Series([k for k, _ in rows], dtype=object), "text": pd.Series([v for _, v in rows], dtype=object)})
     for f in frames:
         for p, s, e, n in zip(f["path"], f["start"], f["end"], f["seen"], strict=True):
-            found = list(_entries(p, s, e, n))
-            yield pd.DataFrame({"id": pd.Series([k for k, _ in found], dtype=object), "text": pd.Series([v for _, v in found], dtype=object)})
+            found += _entries(p, s, e, n, last(p))
+            size += e - s
+            if size >= SENT:
+                yield frame(found)
+                found, size = [], 0
+    if found:
+        yield frame(found)
 
 
 def json_map(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """id, text of files that hold a JSON object of strings each, in ranges of ``size`` bytes. A key that a file repeats has a row each time; an empty file fails nothing and has none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
     each = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start"))
-    ranges = each.select("path", "start", F.least(F.col("start") + size, F.col("length")).alias("end")).repartition("path", "start")
+    ranges = each.select("path", "start", F.least(F.col("start") + size, F.col("length")).alias("end"))
+    # A stretch of ranges of a file goes to one task, which opens the file once.
+    near = F.floor(F.col("start") / F.lit(max(size, STRETCH)))
+    ranges = ranges.repartition("path", near).sortWithinPartitions("path", "start")
     counted = materialize(spark, ranges.mapInPandas(_counted, "path string, start long, end long, quotes long"), "ranges")
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range.
-    placed = counted.withColumn("seen", F.coalesce(F.sum("quotes").over(before), F.lit(0))).repartition("path", "start")
+    placed = counted.withColumn("seen", F.coalesce(F.sum("quotes").over(before), F.lit(0))).repartition("path", near).sortWithinPartitions("path", "start")
     return placed.mapInPandas(_read, "id string, text string")

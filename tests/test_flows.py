@@ -234,3 +234,22 @@ def test_renamed_columns(spark):
         tables.renamed(rows, {"z": "y"})
     with pytest.raises(ValueError, match="two columns"):
         tables.renamed(rows, {"a": "d"}, others=True)
+
+
+def test_a_range_reads_little_behind_its_end(tmp_path, monkeypatch):
+    """Small ranges read on by small steps, and a task opens a file once for all of its ranges."""
+    import pandas as pd
+
+    path = tmp_path / "map.json"
+    path.write_text(json.dumps({str(i): "text " * 150 for i in range(300)}))
+    n, read, opened = path.stat().st_size, [], []
+    at, plain = json_maps._Range._at, json_maps.open_input
+    monkeypatch.setattr(json_maps._Range, "_at", lambda r, lo, hi: read.append(hi - lo) or at(r, lo, hi))
+    monkeypatch.setattr(json_maps, "open_input", lambda uri: opened.append(uri) or plain(uri))
+    starts = list(range(0, n, 10_000))
+    frame = pd.DataFrame({"path": str(path), "start": starts, "end": [min(s + 10_000, n) for s in starts]})
+    counted = next(json_maps._counted(iter([frame])))
+    seen = counted["quotes"].cumsum() - counted["quotes"]
+    got = [x for f in json_maps._read(iter([frame.assign(seen=seen)])) for x in zip(f["id"], f["text"], strict=True)]
+    assert got == [(str(i), "text " * 150) for i in range(300)]
+    assert sum(read) < 3 * n and len(opened) == 2
