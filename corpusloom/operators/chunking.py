@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,14 +90,44 @@ def merge_small(chunks: Sequence[dict], budget: int = MAX_TOKENS, least: int = M
 MERGED = "source string, pos long, text string, tokens int, section_type string, article_number int, annex_number string, hierarchy_path string"
 
 
-def merged(chunks: DataFrame) -> DataFrame:
-    """merge_small per source of chunks with the columns of ``MERGED``; pos is renumbered from 0. One group is one document."""
+_NAMES = [c.split()[0] for c in MERGED.split(", ")]
+
+
+def _documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[dict]]]:
+    """Each source and its chunks, of batches in which a source's rows follow each other."""
+    source, rows = None, []
+    for b in batches:
+        columns = [b.column(c).to_pylist() for c in _NAMES]
+        for values in zip(*columns, strict=True):
+            if rows and values[0] != source:
+                yield source, rows
+                rows = []
+            source = values[0]
+            rows.append(dict(zip(_NAMES, values, strict=True)))
+    if rows:
+        yield source, rows
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in pdf.sort_values("pos").to_dict("records")]
-        return pd.DataFrame([r | {"pos": i} for i, r in enumerate(merge_small(rows))], columns=[c.split()[0] for c in MERGED.split(", ")])
 
-    return chunks.groupBy("source").applyInPandas(run, MERGED)
+def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[dict] = []
+    schema = pa.schema([(c, {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[kind]) for c, kind in (c.split() for c in MERGED.split(", "))])
+    for _, rows in _documents_of(batches):
+        out += [r | {"pos": i} for i, r in enumerate(merge_small(rows))]
+        if len(out) >= MERGED_ROWS:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
+#: Merged chunks that leave a task at once.
+MERGED_ROWS = 2000
+
+
+def merged(chunks: DataFrame) -> DataFrame:
+    """merge_small per source of chunks with the columns of ``MERGED``; pos is renumbered from 0. Sources are sorted in a task and pass through it one after the other, a document at a time."""
+    ordered = chunks.select(*[F.col(c).cast(kind).alias(c) for c, kind in (c.split() for c in MERGED.split(", "))]).repartition("source").sortWithinPartitions("source", "pos")
+    return ordered.mapInArrow(_merged_rows, MERGED)
 
 
 def numbered(chunks: DataFrame, source: str, *order: str) -> DataFrame:

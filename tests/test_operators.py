@@ -566,3 +566,20 @@ def test_a_pair_of_blocks_is_bounded(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(out) == 3 * 100 * len(q) and peak < 150e6
+
+
+def test_documents_are_merged_as_they_pass(spark, monkeypatch):
+    """No call of Python for each document: a task's documents pass through it in order, cut by no batch."""
+    monkeypatch.setattr(chunking, "MERGED_ROWS", 5)
+    rng = random.Random(14)
+    rows = [(f"d{d}", p, "x" * n, n // 4, rng.choice("aab"), rng.choice([None, 1]), "", f"r > {p}") for d in range(40) for p in range(rng.randrange(1, 12)) for n in [rng.choice([8, 60, 400])]]
+    rows.append((None, 0, "alone", 1, "a", None, None, "r"))
+    names = [c.split()[0] for c in chunking.MERGED.split(", ")]
+    want = set()
+    for d in {r[0] for r in rows}:
+        own = [dict(zip(names, r, strict=True)) for r in rows if r[0] == d]
+        want |= {tuple((r | {"pos": i}).values()) for i, r in enumerate(chunking.merge_small(own))}
+    shuffled = spark.createDataFrame(rng.sample(rows, len(rows)), chunking.MERGED).repartition(3)
+    got = chunking.merged(shuffled)
+    assert {tuple(r) for r in got.collect()} == want
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
