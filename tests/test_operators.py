@@ -583,3 +583,20 @@ def test_documents_are_merged_as_they_pass(spark, monkeypatch):
     got = chunking.merged(shuffled)
     assert {tuple(r) for r in got.collect()} == want
     assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_in_pieces(monkeypatch):
+    """Terms of several texts of a document, in pieces of a few words, against plain counts; no pair crosses two texts."""
+    import pyarrow as pa
+
+    rng = random.Random(15)
+    docs = [(k, [[rng.choice("aä bb ccc dd".split()) for _ in range(rng.randrange(9))] for _ in range(rng.randrange(3))]) for k in range(30)] + [(99, None), (100, [[], ["aä"], []])]
+    want = Counter()
+    for d, texts in docs:
+        for w in texts or []:
+            want.update((d, t) for t in w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "words": pa.array([t for _, t in docs], pa.list_(pa.list_(pa.string())))})
+    for words in (1, 10, 10_000):
+        monkeypatch.setattr(similarity, "WORDS", words)
+        rows = [r for b in similarity._counted(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+        assert len(rows) == len(want) and {(r["doc_id"], r["term"]): r["tf"] for r in rows} == want
