@@ -568,6 +568,29 @@ def test_a_pair_of_blocks_is_bounded(monkeypatch):
     assert len(out) == 3 * 100 * len(q) and peak < 150e6
 
 
+def test_greedy_by_lists_equals_a_loop(spark):
+    """Lists of a few pairs, filled again where they did not last, choose what a loop over all pairs does; only lists are written."""
+    rng = random.Random(12)
+    weights, groups = [], []
+    for d in range(90):
+        terms = rng.sample(range(12), 4)
+        w = [rng.choice([0.2, 0.5, 0.9]) for _ in terms]
+        n = sum(x * x for x in w) ** 0.5
+        weights += [(d, f"t{t}", 5, x / n) for t, x in zip(terms, w, strict=True)]
+        groups.append((d, rng.choice("xyz")))
+    frame, by = spark.createDataFrame(weights, "doc_id long, term string, df long, weight double"), spark.createDataFrame(groups, "doc_id long, g string")
+    pairs = similarity.cosine_pairs(spark, frame, by, 0.25, 0.85).collect()
+    for cap, keep, block in ((2, 4, 50),):
+        used, want = Counter(), set()
+        for r in sorted(pairs, key=lambda r: (-r.sim, r.i, r.j)):
+            if used[r.i] < cap and used[r.j] < cap:
+                used.update((r.i, r.j))
+                want.add((r.i, r.j))
+        got = similarity.greedy_pairs(spark, frame, by, 0.25, 0.85, cap, block, keep).collect()
+        assert len(got) == len(want) and {(r.i, r.j) for r in got} == want
+    assert similarity.greedy_pairs(spark, frame, by.where("g = 'x'"), 0.25, 0.85).count() == 0
+
+
 def test_documents_are_merged_as_they_pass(spark, monkeypatch):
     """No call of Python for each document: a task's documents pass through it in order, cut by no batch."""
     monkeypatch.setattr(chunking, "MERGED_ROWS", 5)
