@@ -568,6 +568,33 @@ def test_a_pair_of_blocks_is_bounded(monkeypatch):
     assert len(out) == 3 * 100 * len(q) and peak < 150e6
 
 
+def test_a_worker_holds_columns_and_tiles():
+    """What a full pair of blocks sends on is held once, as Arrow's columns, and pivots are met by some rows of a batch at a time, so that neither grows with a batch or with the number of pivots."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    def peak(run):
+        tracemalloc.start()
+        arrow = pa.total_allocated_bytes()
+        out = run()
+        most = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - arrow
+        tracemalloc.stop()
+        return out, most
+
+    rng = np.random.default_rng(2)
+    frame = lambda name, n: pd.DataFrame({name: np.arange(n), "vec": list(rng.normal(size=(n, 64)).astype(np.float32))})
+    q, c = frame("qid", search.QUERY_BLOCK), frame("cid", search.CORPUS_BLOCK)
+    out, most = peak(lambda: search._best((64, 32, 16), 100)(("",), q, c))
+    assert len(out) == 3 * 100 * len(q) and most < 60e6
+    pivots, rows = rng.normal(size=(search.PIVOTS, 64)), frame("cid", 10_000)
+    (placed,), most = peak(lambda: list(search._placed(pivots, (64, 16))([rows])))
+    left, right = search.unit(search._stacked(rows), 64), search.unit(pivots, 64)
+    assert (left * right[placed["pivot"]]).sum(axis=1) == pytest.approx((left @ right.T).max(axis=1)) and most < 40e6
+
+
 def test_greedy_by_lists_equals_a_loop(spark):
     """Lists of a few pairs, filled again where they did not last, choose what a loop over all pairs does; only lists are written."""
     rng = random.Random(12)
