@@ -40,8 +40,8 @@ TERM_BITS, SPACE_BITS = 18, 15
 #: Words in a passage; those of items overlap by half, a document's windows move by a third.
 PASSAGE = 24
 RANK, OVERSAMPLE, SEED = 64, 16, 11
-#: Passages that are multiplied at once, 8 MB for each array; tasks of that pass for each core, as each returns 10 MB.
-AT_ONCE, TASKS = 1024, 4
+#: Passages that are multiplied at once, those whose vectors are gathered at once, 1 MB, and tasks of that pass for each core, as each returns 10 MB.
+AT_ONCE, GATHERED, TASKS = 4096, 128, 4
 #: Least cosine of a candidate; it decides alone what is checked, so it is low: the README has its recall.
 COSINE = 0.15
 #: Words of the benchmark in a block, and items counted at once.
@@ -93,10 +93,9 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         for _, _, term, at in _rows(b, 0):
             row, start, _ = _spans(at, PASSAGE, PASSAGE)
             if len(row):
-                # Passages of a row may overlap at its end only; each word counts for the first one that holds it.
-                first = np.searchsorted(start, np.arange(len(term)), "right") - 1
-                pair = np.unique((first.astype(np.uint64) << np.uint64(TERM_BITS)) | term.astype(np.uint64))
-                df[: 1 << TERM_BITS] += np.bincount((pair & np.uint64((1 << TERM_BITS) - 1)).astype(np.int64), minlength=1 << TERM_BITS).astype(np.uint32)
+                # Passages of a row may overlap at its end only; each word counts for the last one that holds it.
+                order, new = _sorted(_padded(term, start, np.append(start[1:], len(term))))
+                df[: 1 << TERM_BITS] += np.bincount(order[new & (order >= 0)], minlength=1 << TERM_BITS).astype(np.uint32)
                 df[-1] += len(row)
     yield _packed_rows(reduce.packed(df, part))
     trim()
@@ -108,6 +107,14 @@ def _padded(term: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.where(place < end[:, None], term[np.minimum(place, len(term) - 1)], -1).astype(np.int32)
 
 
+def _sorted(passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's terms in order, and where one differs from that before it."""
+    order = np.sort(passages, axis=1)
+    new = np.ones(order.shape, bool)
+    new[:, 1:] = order[:, 1:] != order[:, :-1]
+    return order, new
+
+
 def _inverse(df: np.ndarray) -> np.ndarray:
     return (np.log((1 + float(df[-1])) / (1 + df[:-1].astype(np.float64))) + 1).astype(np.float32)
 
@@ -118,10 +125,8 @@ def _weighed(passages: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     Each word's weight adds up at its term, so a term's entry is its count times its inverse document frequency.
     """
     w = np.where(passages >= 0, idf[passages], np.float32(0))
-    order = np.sort(passages, axis=1)
+    order, new = _sorted(passages)
     real = order >= 0
-    new = np.ones(order.shape, bool)
-    new[:, 1:] = order[:, 1:] != order[:, :-1]
     run = np.cumsum(new.ravel()) - 1
     times = np.bincount(run, weights=real.ravel())
     heads = (new & real).ravel()
@@ -145,16 +150,36 @@ def _gaussian() -> np.ndarray:
 
 def _multiplied(passages: np.ndarray, idf: np.ndarray, test: np.ndarray, y: np.ndarray) -> None:
     """Adds A'(A G) of some passages (rows of terms, padded with -1) to y."""
-    for lo in range(0, len(passages), AT_ONCE):
-        term, w = _weighed(passages[lo : lo + AT_ONCE], idf)
-        x = np.einsum("ij,ijk->ik", w, test[term])
-        # What a term gets is summed over its occurrences first.
-        held = np.flatnonzero(w.ravel())
-        held = held[np.argsort(term.ravel()[held], kind="stable")]
-        if len(held):
-            some = term.ravel()[held]
-            heads = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
-            y[some[heads]] += np.add.reduceat(w.ravel()[held, None] * x[held // term.shape[1]], heads, axis=0)
+    term, w = _weighed(passages, idf)
+    x = np.empty((len(term), test.shape[1]), np.float32)
+    for lo in range(0, len(term), GATHERED):
+        np.einsum("ij,ijk->ik", w[lo : lo + GATHERED], test[term[lo : lo + GATHERED]], out=x[lo : lo + GATHERED])
+    # What a term gets is summed over its occurrences first: in runs of lengths that are powers of two, all of one length together, as the bits of its number of occurrences say.
+    held = np.flatnonzero(w.ravel())
+    held = held[np.argsort(term.ravel()[held], kind="stable")]
+    some, weight, row = term.ravel()[held], w.ravel()[held], held // term.shape[1]
+    heads = np.flatnonzero(np.append(True, some[1:] != some[:-1])) if len(held) else held
+    n = np.diff(np.append(heads, len(held)))
+    for k in range(int(n.max(initial=0)).bit_length()):
+        size = 1 << k
+        has = np.flatnonzero(n >> k & 1)
+        first, step = heads[has] + (n[has] & (size - 1)), max(1, GATHERED * PASSAGE // size)
+        for lo in range(0, len(has), step):
+            at = first[lo : lo + step, None] + np.arange(size)
+            y[some[at[:, 0]]] += np.einsum("ij,ijk->ik", weight[at], x[row[at]])
+
+
+def _gathered(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The same passages, ``AT_ONCE`` in each array but the last."""
+    kept, n = [], 0
+    for part in parts:
+        while n + len(part) >= AT_ONCE:
+            yield np.concatenate([*kept, part[: AT_ONCE - n]])
+            part, kept, n = part[AT_ONCE - n :], [], 0
+        kept.append(part)
+        n += len(part)
+    if n:
+        yield np.concatenate(kept)
 
 
 def _range_finder(idf_bytes, found: Callable) -> Callable:
@@ -163,9 +188,8 @@ def _range_finder(idf_bytes, found: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, test = np.frombuffer(idf_bytes.value, np.float32), _gaussian()
         y = np.zeros_like(test)
-        for b in batches:
-            for passages in found(b):
-                _multiplied(passages, idf, test, y)
+        for passages in _gathered(part for b in batches for part in found(b)):
+            _multiplied(passages, idf, test, y)
         yield _packed_rows(reduce.packed(y, TaskContext.get().partitionId()))
         trim()
 

@@ -4,13 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from corpusloom.llm import alignment, decontaminate, mixing, ngram_join, resampling
+from corpusloom.llm import alignment, decontaminate, mixing, ngram_join, reduce, resampling
 from corpusloom.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, number long, n long, size long, _part long, place long, rank string, weight string"
@@ -313,3 +314,48 @@ def test_the_latent_space_is_of_all_passages(spark):
     want = np.linalg.svd(a, compute_uv=False)
     assert len(passages) > 14
     np.testing.assert_allclose(values[: len(want)], want, atol=0.02)
+
+
+def test_products_of_passages_are_summed_in_runs():
+    """A'(A G) in float64, and in less than 0.7 of the time of one reduction for each term."""
+    rng = np.random.default_rng(7)
+    passages = (rng.zipf(1.2, (4 * decontaminate.AT_ONCE // 3, decontaminate.PASSAGE)) * 2654435761 % (1 << decontaminate.TERM_BITS)).astype(np.int32)
+    passages[::5, 20:] = -1
+    passages[7] = -1
+    idf, test = rng.random(1 << decontaminate.TERM_BITS, np.float32) + 1, decontaminate._gaussian()
+
+    def reduced(some, y):
+        term, w = decontaminate._weighed(some, idf)
+        held = np.flatnonzero(w.ravel())
+        held = held[np.argsort(term.ravel()[held], kind="stable")]
+        of = term.ravel()[held]
+        heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        y[of[heads]] += np.add.reduceat(w.ravel()[held, None] * np.einsum("ij,ijk->ik", w, test[term])[held // term.shape[1]], heads, axis=0)
+
+    def timed(multiply):
+        took = []
+        for _ in range(3):
+            y, start = np.zeros_like(test), time.thread_time()
+            multiply(y)
+            took.append(time.thread_time() - start)
+        return y, min(took)
+
+    got, new = timed(lambda y: [decontaminate._multiplied(p, idf, test, y) for p in decontaminate._gathered(iter(np.array_split(passages, 9)))])
+    _, old = timed(lambda y: [reduced(passages[lo : lo + 1024], y) for lo in range(0, len(passages), 1024)])
+    term, w = decontaminate._weighed(passages, idf)
+    want = np.zeros(test.shape)
+    np.add.at(want, term.ravel(), (w[:, :, None] * np.einsum("ij,ijk->ik", w.astype(float), test[term].astype(float))[:, None, :]).reshape(-1, test.shape[1]))
+    np.testing.assert_allclose(got, want, atol=1e-5 * np.abs(want).max())
+    assert new < 0.7 * old
+    empty = np.zeros_like(test)
+    decontaminate._multiplied(np.full((3, decontaminate.PASSAGE), -1, np.int32), idf, test, empty)
+    assert not empty.any() and not list(decontaminate._gathered(iter([])))
+
+
+def test_dense_floats_are_stored_as_they_are():
+    dense, sparse = np.random.default_rng(3).standard_normal(1 << 16, np.float32), np.zeros(1 << 16, np.float32)
+    sparse[:99] = 1.5
+    for a in (dense, sparse, np.arange(1 << 16, dtype=np.uint32)):
+        got = b"".join(zlib.decompress(d) for _, _, d in reduce.packed(a, 0))
+        assert got == a.tobytes()[: len(got)] and not any(a.tobytes()[len(got) :])
+    assert sum(len(d) for _, _, d in reduce.packed(dense, 0)) >= dense.nbytes > 50 * sum(len(d) for _, _, d in reduce.packed(sparse, 0))
