@@ -54,6 +54,69 @@ class Memo(dict):
         return value
 
 
+    def lacking(self, keys: set) -> set:
+        """Those of keys that are neither remembered nor were so lately."""
+        return keys.difference(self).difference(self.old)
+
+    def fill(self, keys: list, values: list) -> None:
+        if len(self) + len(keys) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(keys, values, strict=True))
+
+
+class Merges:
+    """Joins neighbouring symbols of many words at once: in each round the first pair of least rank in every word, until no word has a pair that joins."""
+
+    NONE = 1 << 30
+
+    def __init__(self, left: list[int], right: list[int], rank: list[int], made: list[int]) -> None:
+        """Pairs of symbols, distinct, with their ranks and what they make; symbols are below 2^31."""
+        keys = np.array(left, np.int64) << 31 | np.array(right, np.int64)
+        order = np.argsort(keys)
+        self.keys, self.rank, self.made = keys[order], np.array(rank, np.int64)[order], np.array(made, np.int64)[order]
+
+    def _found(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = left << 31 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], self.NONE), self.made[at]
+
+    def joined(self, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is left of words of n symbols each, at least one, and each word's number of these."""
+        symbols, word = symbols.astype(np.int64), np.repeat(np.arange(len(n)), n)
+        rank, made = (np.append(x, self.NONE) for x in self._found(symbols[:-1], symbols[1:]))
+        rank[np.cumsum(n) - 1] = self.NONE
+        done = []
+        while len(word):
+            heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), heads)
+            going = best >> 32 < self.NONE
+            at = best[going] & 0xFFFFFFFF
+            symbols[at] = made[at]
+            rank[at] = rank[at + 1]
+            made[at] = made[at + 1]
+            stays = np.repeat(going, np.diff(np.append(heads, len(word))))
+            done.append((word[~stays], symbols[~stays]))
+            stays[at + 1] = False
+            at = (np.cumsum(stays) - 1)[at]
+            word, symbols, rank, made = word[stays], symbols[stays], rank[stays], made[stays]
+            # Both pairs of what was made.
+            near = np.concatenate([at, at - 1])
+            near = near[(near >= 0) & (near < len(word) - 1)]
+            near = near[word[near] == word[near + 1]]
+            rank[near], made[near] = self._found(symbols[near], symbols[near + 1])
+        if not done:
+            return symbols, np.zeros(0, np.int64)
+        word, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
+        return symbols[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(n))
+
+
+def cut(packed: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Each word's bytes of an array that holds n entries of each."""
+    raw, at = packed.tobytes(), (np.append(0, np.cumsum(n)) * packed.itemsize).tolist()
+    return [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: itself where it prints, else the next one from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -95,6 +158,18 @@ class ByteBpe:
         alphabet = byte_alphabet()
         self.shown = {b: alphabet[b] for b in range(256)}
         self.memo = Memo(self._stretch)
+        self.merges = None
+        model, known = spec["model"], self.library.get_vocab()
+        if model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) and all(c in known for c in alphabet):
+            pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self.merges = Merges(*([known[p[k]] for p in pairs] for k in (0, 1)), list(range(len(pairs))), [known["".join(p)] for p in pairs])
+            self.of_byte = np.array([known[c] for c in alphabet])
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The same as _stretch of each word, which the published pattern leaves whole."""
+        raw = [w.encode() for w in words]
+        ids, n = self.merges.joined(self.of_byte[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(x) for x in raw]))
+        return cut(ids.astype(self.dtype), n)
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -115,13 +190,29 @@ class ByteBpe:
             return b"".join(map(self._piece, self.pieces.findall(s)))
         return self._pack(self.library.encode(s, add_special_tokens=False).ids)
 
-    def ids(self, text: str) -> bytes:
+    def _cut(self, text: str) -> list[str] | None:
+        """The stretches of a text, none if it holds an added token's string."""
         if any(a in text for a in self.added):
-            return self._pack(self.library.encode(text, add_special_tokens=False).ids)
+            return None
         if uncut(text):
-            return b"".join(map(self.memo.__getitem__, _STRETCH.findall(text)))
-        cut = text.replace(" ", "\x01 ").replace(".", "\x01.").replace(",", "\x01,").replace("\n", "\x01\n").split("\x01")
-        return b"".join(map(self.memo.__getitem__, cut if cut[0] else cut[1:]))
+            return _STRETCH.findall(text)
+        parts = text.replace(" ", "\x01 ").replace(".", "\x01.").replace(",", "\x01,").replace("\n", "\x01\n").split("\x01")
+        return parts if parts[0] else parts[1:]
+
+    def ids(self, text: str) -> bytes:
+        return self._joined(text, self._cut(text))
+
+    def _joined(self, text: str, parts: list[str] | None) -> bytes:
+        return self._pack(self.library.encode(text, add_special_tokens=False).ids) if parts is None else b"".join(map(self.memo.__getitem__, parts))
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """ids of each text; words that are not remembered are made together."""
+        parts = [self._cut(t) for t in texts]
+        if self.merges is not None:
+            new = self.memo.lacking(set().union(*[p for p in parts if p]))
+            if words := [w for w in new if len(w) <= LONGEST and _WORD.fullmatch(w)]:
+                self.memo.fill(words, self._words(words))
+        return [self._joined(t, p) for t, p in zip(texts, parts, strict=True)]
 
 
 _loaded: dict[str, ByteBpe] = {}

@@ -359,3 +359,26 @@ def test_dense_floats_are_stored_as_they_are():
         got = b"".join(zlib.decompress(d) for _, _, d in reduce.packed(a, 0))
         assert got == a.tobytes()[: len(got)] and not any(a.tobytes()[len(got) :])
     assert sum(len(d) for _, _, d in reduce.packed(dense, 0)) >= dense.nbytes > 50 * sum(len(d) for _, _, d in reduce.packed(sparse, 0))
+
+
+def test_words_are_made_together(monkeypatch):
+    """Ids of words that are joined at once are the libraries'; neither library is asked for a word of letters by itself."""
+    paths = [tokenizer_path(v) for v in VOCABULARIES]
+    both = alignment.Encoders(*paths)
+    rng = random.Random(21)
+    words = list({"".join(rng.choice("aabcdeeefghiilmnoorsttuyzABCéü") for _ in range(rng.randrange(1, 16))) for _ in range(4000)}) + ["aaaaaaaa", "z"]
+    strange = ["中文字", "x-1", "don't", "\x00", "😀b", "", "12"]
+    want_b = [both._asked(w) for w in words + strange]
+    want_a = [both.a._stretch(" " + w) for w in words]
+    with monkeypatch.context() as m:
+        m.setattr(both, "_asked", lambda w: pytest.fail(w))
+        m.setattr(both.a, "_piece", lambda w: pytest.fail(w))
+        texts = [" ".join(words[k : k + 40]) for k in range(0, len(words), 40)]
+        for text, (a, b) in zip(texts, both.all_ids(texts), strict=True):
+            assert a.tobytes() == b"".join(both.a.memo[" " + w] for w in text.split(" "))
+            assert b.tobytes() == b"".join(both.words[w] for w in text.split(" "))
+    assert both._made(words + strange) == want_b and both.a._words([" " + w for w in words]) == want_a
+    monkeypatch.setattr(alignment.bpe_units, "LIMIT", 100)
+    both.words, both.old = {}, {}
+    assert [b.tolist() for _, b in both.all_ids(texts)] == [both.b.encode(t) for t in texts]
+    assert len(both._known({"one", "two"})) <= 100 and both.all_ids([]) == []
