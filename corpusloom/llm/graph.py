@@ -72,19 +72,20 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> tuple[DataFr
 
     Each round sends every node's larger neighbours, then its smaller ones, to its smallest neighbour. Both steps group by
     node with a map-side minimum, so a centre of many edges costs one row per partition. Rounds end when all are stars.
+    Joins are sorted at every size: their sides grow with the edges, and Spark's estimate of a side, which does not count the copies of ``salted_join``, would let many times as much pass through the driver.
     """
     now, at = materialize(spark, edges.select("u", "v").where("u <> v").mapInArrow(contract, EDGES), f"{name}-edges")
     for _ in range(ROUNDS):
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # A centre's edges are dealt to several tasks.
-        large = salted_join(both, least, ["u"], ["v"], salts=8).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both, least.hint("merge"), ["u"], ["v"], salts=8).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smaller = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, smaller, ["u"], ["v"], salts=8).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = salted_join(large, smaller.hint("merge"), ["u"], ["v"], salts=8).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after, path = materialize(spark, small, f"{name}-edges")
         # A round that finds only stars (every node has one edge, no centre is a leaf) has nothing left to join.
         leaves = after.groupBy("u").count()
-        open_ends = leaves.where("count > 1").select("u").union(after.select(F.col("v").alias("u")).distinct().join(leaves, "u", "left_semi"))
+        open_ends = leaves.where("count > 1").select("u").union(after.select(F.col("v").alias("u")).distinct().join(leaves.hint("merge"), "u", "left_semi"))
         done = open_ends.limit(1).count() == 0
         discard(spark, at)
         now, at = after, path

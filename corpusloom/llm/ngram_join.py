@@ -509,7 +509,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     spread, spread_at = materialize(spark, source.mapInArrow(_spread(n, n_buckets), SPREAD), "fragments")
     shared = spread.where("bucket >= 0").select("part", "seq", "bucket", "tokens", "owners").groupBy("bucket").applyInPandas(_shared, "part int, seq int, owners binary, counts binary")
     summed = shared.groupBy("part", "seq").applyInPandas(_summed, "part int, seq int, shared array<long>")
-    flushes = spread.where("bucket < 0").select("part", "seq", "doc_id", "n", "fp1", "fp2", "local").join(summed, ["part", "seq"], "left")
+    flushes = spread.where("bucket < 0").select("part", "seq", "doc_id", "n", "fp1", "fp2", "local").join(summed.hint("merge"), ["part", "seq"], "left")
     each = flushes.select("shared", F.posexplode(F.arrays_zip("doc_id", "n", "fp1", "fp2", "local")).alias("at", "d"))
     found = F.col("d.local") + F.coalesce(F.get("shared", F.col("at")), F.lit(0))
     rows, rows_at = materialize(spark, each.select("d.doc_id", F.col("d.n").cast("long").alias("n_shingles"), "d.fp1", "d.fp2", (100 * found >= percent * F.col("d.n")).alias("may_link")), "signatures")
@@ -517,7 +517,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
 
     known = rows.where("doc_id is not null and n_shingles > 0 and may_link")
     alike, reps_at = materialize(spark, known.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "representatives")
-    same = balanced_join(known, alike.where("copies > 1"), ["fp1", "fp2", "n_shingles"], ["doc_id"], "copies").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    same = balanced_join(known, alike.where("copies > 1").hint("merge"), ["fp1", "fp2", "n_shingles"], ["doc_id"], "copies").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     reps = alike.select(F.col("first").alias("doc_id"))
     # About 16 bits for each document in the filter, and a counter for each n-gram that passes it.
     size = 1 << _bits(8 * reps.count(), BLOOM_BITS)
@@ -563,7 +563,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     if placed.where("blocks > 1").limit(1).count():
         large = sets.where("blocks > 1")
         so_far, so_far_at = components(spark, first, "block-links")
-        labelled = large.join(so_far.select(F.col("node").alias("doc_id"), F.col("component").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).withColumn("block", block)
+        labelled = large.join(so_far.select(F.col("node").alias("doc_id"), F.col("component").alias("label")).hint("merge"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")).withColumn("block", block)
         # A block meets each other block once, in the task of the pair.
         paired = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
         paired = paired.select("doc_id", "component", "grams", "label", F.when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
@@ -571,7 +571,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
         every = first.union(second)
         paths += [so_far_at, second_at]
     final, final_at = components(spark, every, "components")
-    out = rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = rows.join(final.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     result, _ = materialize(spark, out, "jaccard")
     discard(spark, *paths, final_at)
     sketch.destroy()
