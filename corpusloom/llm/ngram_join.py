@@ -588,12 +588,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int =
     found = jaccard_components(spark, rows.select(F.col("number").alias("doc_id"), "row.text"), n, percent)
     groups = found.where("component_id <> doc_id").select(F.col("component_id").alias("c")).distinct()
     # Of all rows of a group, counted map-side; a group's rows never meet in one task.
-    members = salted_join(found.select(F.col("component_id").alias("c"), F.col("doc_id").alias("number")), groups, ["c"], ["number"])
+    members = salted_join(found.select(F.col("component_id").alias("c"), F.col("doc_id").alias("number")), groups.hint("merge"), ["c"], ["number"])
     ids = rows.select("number", F.col("row.doc_id").cast("long").alias("id"))
     seats = members.join(ids.hint("merge"), "number").select("c", F.struct(F.col("id").isNull().alias("none"), "id", "number").alias("seat"))
     seats, seats_at = materialize(spark, seats, "seats")
     first = seats.groupBy("c").agg(F.min("seat").alias("first"))
-    gone, gone_at = materialize(spark, salted_join(seats, first, ["c"], ["seat"]).where(F.col("seat") != F.col("first")).select("seat.number"), "gone")
+    gone, gone_at = materialize(spark, salted_join(seats, first.hint("merge"), ["c"], ["seat"]).where(F.col("seat") != F.col("first")).select("seat.number"), "gone")
     discard(spark, seats_at)
     # Both sides grow with the input, so the join is sorted at every size.
     return rows.join(gone.hint("merge"), "number", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusloom.llm import alignment, decontaminate, mixing, ngram_join, reduce, resampling
+from corpusloom.llm import alignment, decontaminate, graph, mixing, ngram_join, reduce, resampling
 from corpusloom.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, number long, n long, size long, _part long, place long, rank string, weight string"
@@ -382,3 +382,26 @@ def test_words_are_made_together(monkeypatch):
     both.words, both.old = {}, {}
     assert [b.tolist() for _, b in both.all_ids(texts)] == [both.b.encode(t) for t in texts]
     assert len(both._known({"one", "two"})) <= 100 and both.all_ids([]) == []
+
+
+def test_links_are_joined_without_growing_broadcasts(spark, monkeypatch):
+    """What grows with the documents never passes through the driver, however small Spark thinks it is; lists of bounded size may."""
+    plans = []
+
+    def noted(own):
+        def run(spark, df, name):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+            return own(spark, df, name)
+
+        return run
+
+    for module in (graph, ngram_join):
+        monkeypatch.setattr(module, "materialize", noted(module.materialize))
+    shown = [(k, " ".join(f"w{k // 3}x{i}" for i in range(30)) + (" end" if k % 3 == 2 else "")) for k in range(60)]
+    out = ngram_join.one_of_each(spark, spark.createDataFrame(shown, "doc_id long, text string"))
+    plans.append(("one_of_each", out._jdf.queryExecution().executedPlan().toString()))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 60, 3))
+    # Of the joins of these tables one has a list of bounded size: the frequent keys of equal sets.
+    assert {n for n, p in plans if "BroadcastHashJoin" in p} <= {"links"}
+    assert all(p.count("BroadcastHashJoin") <= 1 for n, p in plans), [(n, p.count("BroadcastHashJoin")) for n, p in plans]
+    assert sum("SortMergeJoin" in p for n, p in plans if n.endswith("-edges")) >= 2
