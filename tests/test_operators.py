@@ -650,3 +650,21 @@ def test_terms_are_counted_in_pieces(monkeypatch):
         monkeypatch.setattr(similarity, "WORDS", words)
         rows = [r for b in similarity._counted(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
         assert len(rows) == len(want) and {(r["doc_id"], r["term"]): r["tf"] for r in rows} == want
+
+
+def test_pairs_of_blocks_are_met_without_a_copy_for_each(spark):
+    """Tiles are dealt once and read by the tasks of their pairs; a shuffle by pairs of blocks would write each as often as there are blocks."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    w = rng.random((64, 12)) * (rng.random((64, 12)) < 0.4)
+    w[:, 0] = 0.1
+    w /= np.sqrt((w**2).sum(1))[:, None]
+    frame = spark.createDataFrame([(i, f"t{k}", 5, float(w[i, k])) for i in range(64) for k in range(12) if w[i, k]], "doc_id long, term string, df long, weight double")
+    by = spark.createDataFrame([(i, "xyz"[i % 3]) for i in range(64)], "doc_id long, g string")
+    want = {(i, j) for i in range(64) for j in range(i + 1, 64) if i % 3 != j % 3 and 0.25 <= round(float(w[i] @ w[j]), 12) <= 0.85}
+    pairs = similarity.cosine_pairs(spark, frame, by, 0.25, 0.85, 8)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "hashpartitioning" not in plan, plan
+    assert {(r.i, r.j) for r in pairs.collect()} == want and pairs.count() == len(want)
+    assert sum(r.n for r in similarity.pair_histogram(spark, frame, by, 0.25, 0.85, 8).collect()) == len(want)
